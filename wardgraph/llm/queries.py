@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import flatids, langid, packing, simhash
-from .common import documents, scratch
+from . import cotrain, flatids, langid, packing, simhash
+from .common import documents
 
 #: The tokenizers' files; the place is a parameter of every operator that uses one.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,10 +27,14 @@ def op8_flat_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatids.flat_round_trip(spark, documents(spark, sf_dir), BYTE_BPE)
 
 
+def op9_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.score_documents(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), BYTE_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash, op6_language_id, op8_flat_ids, op10_packing)}
+QUERIES = {f.__name__: f for f in (op5_simhash, op6_language_id, op8_flat_ids, op9_cotraining, op10_packing)}
 #: SQL where it can express a query.
 ORACLES: dict[str, str] = {}
