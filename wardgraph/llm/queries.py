@@ -4,12 +4,41 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import cotrain, flatids, langid, packing, simhash
-from .common import documents
+from . import cotrain, flatids, langid, licenses, media, packing, pieces, rules, simhash
+from .common import documents, scratch
+from .sharding import ShardStore
 
 #: The tokenizers' files; the place is a parameter of every operator that uses one.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table arrives in eight batches, each half as large as the one before; what the compacted store holds, by document:
+    n_bytes and text_crc32 of the text read back, the shard's name and the version."""
+    docs = documents(spark, sf_dir)
+    h = F.xxhash64("doc_id")
+    store = ShardStore(spark, scratch(spark, "shards"))
+    store.append(docs, F.least(F.length(F.regexp_extract(F.bin(h), "(0*)$", 1)), F.lit(7)))
+    version = store.compact()
+    store.vacuum()
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    shard = F.regexp_extract(F.col("_metadata.file_path"), "/data/(.*)$", 1)
+    return store.read(version).select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.crc32(text).alias("text_crc32"), shard.alias("shard"), F.lit(version).cast("long").alias("version"))
+
+
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_round_trip(documents(spark, sf_dir))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.apply_rules(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(documents(spark, sf_dir), PIECE_BPE)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +52,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir))
+
+
 def op8_flat_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatids.flat_round_trip(spark, documents(spark, sf_dir), BYTE_BPE)
 
@@ -35,6 +68,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), BYTE_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash, op6_language_id, op8_flat_ids, op9_cotraining, op10_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_size_tiered_shards, op2_media, op3_quality_rules, op4_sentencepiece, op5_simhash, op6_language_id, op7_licenses, op8_flat_ids, op9_cotraining, op10_packing)
+}
 #: SQL where it can express a query.
 ORACLES: dict[str, str] = {}
