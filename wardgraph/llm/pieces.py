@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import small_batches, texts
+from .wordcache import uneven
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -188,7 +189,7 @@ class Transducer:
         """Ids as little-endian integers of ``width``."""
         if not text:
             return b""
-        if not self.simple or not self.prefix or MARK in text or _UNEVEN.search(text):
+        if not self.simple or not self.prefix or MARK in text or uneven(text):
             s = self.normalised(text)
             return self._spell(self.cut.findall(s) if self.cut else [s])
         words, out = self.words, []
@@ -208,8 +209,6 @@ class Transducer:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
-#: Spaces or newlines side by side or at an end.
-_UNEVEN = re.compile(r"[ \n][ \n]|\A[ \n]|[ \n]\Z")
 _COMPILED: dict[str, Transducer] = {}
 
 
