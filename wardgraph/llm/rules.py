@@ -6,7 +6,7 @@ grown on two thirds of the labelled rows by FOIL gain, and its last conditions a
 is precise there, the rows it covers are set aside, and the next rule is grown. The list becomes one ordered Spark conditional
 expression: the first rule that holds rejects, and a row that no rule covers is kept.
 
-Candidate thresholds are quantiles, overall and of bad rows. Labelled rows are reduced to cells (a bin for each statistic) with
+Candidate thresholds are quantiles of good rows and of bad ones. Labelled rows are reduced to cells (a bin for each statistic) with
 counts; each step of growing and pruning is an aggregate of the cells, of which the driver gets a count for each bin.
 
 A null text has no words. A row without a word, or with a null id, is treated like any other (so it fails the base rule). Several
@@ -105,13 +105,14 @@ def _all(conditions, form) -> Column:
 
 
 def thresholds(rows: DataFrame, steps: int = 16) -> dict[str, list[float]]:
-    """Quantiles of each statistic, over all rows and over bad ones."""
-    at = F.array(*[F.lit(i / steps) for i in range(1, steps)])
-    found = rows.agg(*[F.array_union(F.percentile_approx(f"s_{s}", at, 1000), F.percentile_approx(F.when(~F.col("good"), F.col(f"s_{s}")), at, 1000)).alias(s) for s in STATISTICS]).first()
-    return {s: sorted(x for x in found[s] if x is not None) for s in STATISTICS}
+    """Quantiles of each statistic, ends included, of good rows and of bad ones."""
+    at = F.array(*[F.lit(i / steps) for i in range(steps + 1)])
+    of = lambda s, rows: F.coalesce(F.percentile_approx(F.when(rows, F.col(f"s_{s}")), at, 1000), F.array().cast("array<double>"))
+    found = rows.agg(*[F.array_union(of(s, F.col("good")), of(s, ~F.col("good"))).alias(s) for s in STATISTICS]).first()
+    return {s: sorted(found[s]) for s in STATISTICS}
 
 
-def learn_rules(rows: DataFrame, max_rules: int = 8, max_conditions: int = 4, precision: float = 0.9, least_share: float = 0.001) -> list[Rule]:
+def learn_rules(rows: DataFrame, max_rules: int = 8, max_conditions: int = 4, precision: float = 0.95, least_share: float = 0.001) -> list[Rule]:
     """A decision list from rows with doc_id, the s_ columns and good (boolean). A taken rule covers at least ``least_share``
     of the bad rows and has ``precision`` on the pruning rows."""
     at = thresholds(rows)
@@ -135,7 +136,7 @@ def learn_rules(rows: DataFrame, max_rules: int = 8, max_conditions: int = 4, pr
             k = -max(worth)[1]
             rule = rule[: k + 1]
             hit, miss = sums[f"c{k}_0"], sums[f"c{k}_1"]
-            if hit < precision * (hit + miss) or hit < max(1, least_share * total_bad / 3):
+            if hit < precision * (hit + miss) or hit < max(2, least_share * total_bad / 3):
                 break
             rules.append(rule)
             left = left.where(~_all(rule, Condition.on_bins))
