@@ -59,12 +59,13 @@ def simple_routes(edges: DataFrame, top: DataFrame, suspects: DataFrame, max_dep
     local = near.join(hops, near["id"] == hops["src"]).join(goals, "dst", "left").select("origin", "src", "dst", "attack", F.coalesce("goal", F.lit(False)).alias("goal"))
 
     def search(key: tuple, table: pa.Table) -> pa.Table:
+        origin = key[0].as_py()
         onward: dict[str, list[tuple[str, bool, bool]]] = {}
         for r in table.to_pylist():
             onward.setdefault(r["src"], []).append((r["dst"], r["attack"], r["goal"]))
         left, answer = budget, None
         for limit in range(1, max_depth + 1):
-            stack = [(key[0], False, frozenset([key[0]]), 0)]
+            stack = [(origin, False, frozenset([origin]), 0)]
             while stack and answer is None and left > 0:
                 at, attacked, passed, depth = stack.pop()
                 left -= 1
@@ -78,7 +79,7 @@ def simple_routes(edges: DataFrame, top: DataFrame, suspects: DataFrame, max_dep
                         stack.append((to, attacked or attack, passed | {to}, depth + 1))
             if answer is not None or left <= 0:
                 break
-        return pa.table({"id": pa.array([key[0]], pa.string()), "hops": pa.array([answer], pa.int32()), "verified": pa.array([answer is not None or left > 0])})
+        return pa.table({"id": pa.array([origin], pa.string()), "hops": pa.array([answer], pa.int32()), "verified": pa.array([answer is not None or left > 0])})
 
     out = materialise(local.groupBy("origin").applyInArrow(search, "id string, hops int, verified boolean"), "simple")
     hops.unpersist()

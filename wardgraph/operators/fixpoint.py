@@ -9,10 +9,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import materialise, scratch
+from ..storage import scratch
+
+
+class Rounds:
+    """Tables of equal columns, one for each round, in a folder of their own."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.root, self.written, self.schema = spark, scratch(spark, label), [], None
+
+    @property
+    def count(self) -> int:
+        return len(self.written)
+
+    def add(self, rows: DataFrame) -> int:
+        """Writes a round and returns its number of rows, which the write itself counts."""
+        seen = Observation()
+        self.schema = self.schema or rows.schema
+        self.written.append(f"{self.root}/{self.count:05d}")
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(self.written[-1])
+        return seen.get["n"]
+
+    def last(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.written[-1])
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.written)
 
 
 def semi_naive(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], max_depth: int | None = None, depth: str = "depth") -> DataFrame:
@@ -20,19 +45,12 @@ def semi_naive(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: l
 
     ``step`` takes the newest states (keys) and returns states one step on, in any number of copies.
     """
-    spark = start.sparkSession
-    root, at = scratch(spark, "fixpoint"), 0
-    new = start.select(*keys).distinct().withColumn(depth, F.lit(0))
-    schema, written = new.schema, []
-    while True:
-        written.append(f"{root}/{at:05d}")
-        new.write.parquet(written[-1])
-        seen = spark.read.schema(schema).parquet(*written)
-        new = spark.read.schema(schema).parquet(written[-1])
-        if at == max_depth or new.isEmpty():
-            return seen
-        at += 1
-        new = step(new.select(*keys)).select(*keys).distinct().join(seen.select(*keys), keys, "left_anti").withColumn(depth, F.lit(at))
+    rounds = Rounds(start.sparkSession, "fixpoint")
+    n = rounds.add(start.select(*keys).distinct().withColumn(depth, F.lit(0)))
+    while n and rounds.count <= (max_depth if max_depth is not None else rounds.count):
+        found = step(rounds.last().select(*keys)).select(*keys).distinct()
+        n = rounds.add(found.join(rounds.all().select(*keys), keys, "left_anti").withColumn(depth, F.lit(rounds.count)))
+    return rounds.all()
 
 
 def closure(start: DataFrame, edges: DataFrame, from_col: str = "src", to_col: str = "dst", max_depth: int | None = None) -> DataFrame:
@@ -51,16 +69,16 @@ def relax(start: DataFrame, hops: DataFrame, keys: list[str], max_rounds: int =
     """
     *rest, last = keys
     hops = hops.select(F.col("id").alias(last), "next", "weight").persist(StorageLevel.MEMORY_AND_DISK)
-    known = materialise(start.groupBy(*keys).agg(F.min("cost").alias("cost")), "costs")
-    new = known
-    for _ in range(max_rounds):
-        found = new.join(hops, last).select(*rest, F.col("next").alias(last), (F.col("cost") + F.col("weight")).alias("cost")).groupBy(*keys).agg(F.min("cost").alias("cost"))
-        before = known.withColumnRenamed("cost", "old")
-        new = materialise(found.join(before, keys, "left").where("old is null or cost < old - 1e-9").select(*keys, "cost"), "relaxed")
-        if new.isEmpty():
-            break
-        known = materialise(known.union(new).groupBy(*keys).agg(F.min("cost").alias("cost")), "costs")
-    else:
-        raise RuntimeError(f"costs did not settle in {max_rounds} rounds")
-    hops.unpersist()
-    return known
+    least = lambda rows: rows.groupBy(*keys).agg(F.min("cost").alias("cost"))
+    rounds = Rounds(start.sparkSession, "costs")
+    n = rounds.add(least(start))
+    try:
+        while n:
+            if rounds.count > max_rounds:
+                raise RuntimeError(f"costs did not settle in {max_rounds} rounds")
+            found = least(rounds.last().join(hops, last).select(*rest, F.col("next").alias(last), (F.col("cost") + F.col("weight")).alias("cost")))
+            before = least(rounds.all()).withColumnRenamed("cost", "old")
+            n = rounds.add(found.join(before, keys, "left").where("old is null or cost < old - 1e-9").select(*keys, "cost"))
+    finally:
+        hops.unpersist()
+    return least(rounds.all())
