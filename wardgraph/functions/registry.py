@@ -106,6 +106,47 @@ TIER0_BUILTIN = ["S-1-5-32-544", "S-1-5-32-548", "S-1-5-32-549", "S-1-5-32-550",
 TIER0_TYPES = ["EnterpriseCA", "RootCA", "AIACA", "NTAuthStore", "Domain"]
 TIER0_CLOUD_ROLES = ["62E90394-69F5-4237-9190-012177145E10", "E8611AB8-C189-46E8-94E1-60213AB1F814", "7BE44C8A-ADAF-4E2A-84D6-AB2649E08A13", "E00E864A-17C5-4A4B-9C06-F5B95A8D5BD8"]
 
+#: Names of well-known ids, and of accounts by the ending of their id.
+WELL_KNOWN_SIDS = {
+    "S-1-1-0": "EVERYONE",
+    "S-1-3-0": "CREATOR OWNER",
+    "S-1-5-7": "ANONYMOUS LOGON",
+    "S-1-5-9": "ENTERPRISE DOMAIN CONTROLLERS",
+    "S-1-5-10": "SELF",
+    "S-1-5-11": "AUTHENTICATED USERS",
+    "S-1-5-18": "LOCAL SYSTEM",
+    "S-1-5-32-544": "ADMINISTRATORS",
+    "S-1-5-32-545": "USERS",
+    "S-1-5-32-548": "ACCOUNT OPERATORS",
+    "S-1-5-32-549": "SERVER OPERATORS",
+    "S-1-5-32-550": "PRINT OPERATORS",
+    "S-1-5-32-551": "BACKUP OPERATORS",
+    "S-1-5-32-554": "PRE-WINDOWS 2000 COMPATIBLE ACCESS",
+    "S-1-5-32-555": "REMOTE DESKTOP USERS",
+    "S-1-5-32-560": "WINDOWS AUTHORIZATION ACCESS GROUP",
+    "S-1-5-32-562": "DISTRIBUTED COM USERS",
+    "S-1-5-32-580": "REMOTE MANAGEMENT USERS",
+}
+WELL_KNOWN_RIDS = {
+    "498": "ENTERPRISE READ-ONLY DOMAIN CONTROLLERS",
+    "500": "ADMINISTRATOR",
+    "501": "GUEST",
+    "502": "KRBTGT",
+    "512": "DOMAIN ADMINS",
+    "513": "DOMAIN USERS",
+    "514": "DOMAIN GUESTS",
+    "515": "DOMAIN COMPUTERS",
+    "516": "DOMAIN CONTROLLERS",
+    "517": "CERT PUBLISHERS",
+    "518": "SCHEMA ADMINS",
+    "519": "ENTERPRISE ADMINS",
+    "520": "GROUP POLICY CREATOR OWNERS",
+    "521": "READ-ONLY DOMAIN CONTROLLERS",
+    "525": "PROTECTED USERS",
+    "526": "KEY ADMINS",
+    "527": "ENTERPRISE KEY ADMINS",
+}
+
 ATTACK = sorted(e[0] for e in EDGES if e[2] == "attack")
 NON_TRAVERSABLE = sorted(e[0] for e in EDGES if e[2] == "input")
 #: Nesting that can't be cut and shows nothing to observe; the second also costs an attacker nothing.

@@ -20,6 +20,17 @@ def both_rights(first: DataFrame, second: DataFrame, edges: DataFrame) -> DataFr
     return both.join(above, "id", "left_anti")
 
 
+def name_uncollected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(object_id, name, node_type): groups that edges name but that weren't collected, by well-known ids and endings of ids."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("object_id")).where("object_id is not null").distinct().join(nodes.select("object_id"), "object_id", "left_anti")
+    known = lambda pairs: F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+    prefix, sid = F.upper(F.regexp_extract("object_id", r"^(.*)-S-1-\d", 1)), F.regexp_extract("object_id", r"(S-1-\d+(?:-\d+)*)$", 1)
+    rid = F.when(sid.startswith("S-1-5-21-"), F.element_at(F.split(sid, "-"), -1))
+    name = F.coalesce(F.element_at(known(registry.WELL_KNOWN_SIDS), sid), F.element_at(known(registry.WELL_KNOWN_RIDS), rid))
+    rows = ends.select("object_id", name.alias("name"), prefix.alias("domain")).where("name is not null")
+    return rows.select("object_id", F.when(F.col("domain") != "", F.concat_ws("@", "name", "domain")).otherwise(F.col("name")).alias("name"), F.lit("Group").alias("node_type"))
+
+
 def dcsync(edges: DataFrame, top: DataFrame) -> DataFrame:
     """(src, dst, edge_type): DCSync of highest holders of both replication rights on a domain, but tier 0 and those who have it."""
     rights = edges.where(F.col("edge_type").isin("GetChanges", "GetChangesAll")).select("src", "dst", "edge_type").distinct()
@@ -111,24 +122,6 @@ def shadow_tier0(nodes: DataFrame, edges: DataFrame, controllers: DataFrame, nam
     return derived.union(named.join(derived.select("id"), "id", "left_anti"))
 
 
-def certificate_abuse(templates: DataFrame, authorities: DataFrame, enrollers: DataFrame, top: DataFrame) -> DataFrame:
-    """(src, dst, edge_type): ADCSESC1 onto the domain, of who may enrol in a published template that lets the requester name the subject,
-    needs no approval or signature and serves for logon. templates: template, names_subject, approval, signatures, for_logon;
-    authorities: ca, template, domain, trusted; enrollers: src, template. Tier 0 is left out."""
-    open_ = templates.where("names_subject and not approval and signatures = 0 and for_logon").select("template")
-    usable = authorities.where("trusted").join(open_, "template").select("template", "domain").distinct()
-    found = enrollers.join(usable, "template").select("src", F.col("domain").alias("dst"), F.lit("ADCSESC1").alias("edge_type")).distinct()
-    return found.join(top.select(F.col("id").alias("src")), "src", "left_anti")
-
-
-def cloud_links(apps: DataFrame, principals: DataFrame, users: DataFrame) -> DataFrame:
-    """(src, dst, edge_type): an application runs as the service principals with its app id (apps: id, app_id; principals: id, app_id); a
-    directory account is synchronised to the cloud user that names its id (users: id, on_premises_id, synced)."""
-    runs = apps.select(F.col("id").alias("src"), "app_id").join(principals.select(F.col("id").alias("dst"), "app_id"), "app_id").select("src", "dst", F.lit("AZRunsAs").alias("edge_type"))
-    synced = users.where("on_premises_id is not null and coalesce(synced, true)").select(F.col("on_premises_id").alias("src"), F.upper("id").alias("dst"), F.lit("SyncedTo").alias("edge_type"))
-    return runs.union(synced).distinct()
-
-
 def merge_collections(edges: DataFrame) -> DataFrame:
     """(src, dst, edge_type, seen): the union of collections (collection_id), each edge once; seen counts the collections that hold it."""
     return edges.groupBy("src", "dst", "edge_type").agg(F.count_distinct("collection_id").alias("seen"))

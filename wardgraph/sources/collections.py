@@ -52,10 +52,14 @@ LISTS = [
     ("AllowedToAct", "AllowedToAct", True),
     ("ChildObjects", "Contains", False),
     ("HasSIDHistory", "HasSIDHistory", False),
+    ("DumpSMSAPassword", "ReadGMSAPassword", False),
     ("Sessions", "HasSession", False),
     ("PrivilegedSessions", "HasSession", False),
     ("RegistrySessions", "HasSession", False),
 ]
+#: Local groups by the ending of their id, and lists of rights that a policy hands to the computers it affects.
+LOCAL_GROUPS = {"544": "AdminTo", "555": "CanRDP", "562": "ExecuteDCOM", "580": "CanPSRemote"}
+POLICY_LISTS = {"LocalAdmins": "AdminTo", "RemoteDesktopUsers": "CanRDP", "DcomUsers": "ExecuteDCOM", "PSRemoteUsers": "CanPSRemote"}
 FLAGS = ["hasspn", "dontreqpreauth", "passwordnotreqd", "pwdneverexpires", "sensitive", "unconstraineddelegation", "trustedtoauth", "haslaps", "isdc", "smbsigning", "ldapsigning", "webclientrunning"]
 STAMPS = ["lastlogontimestamp", "lastlogon", "pwdlastset", "whencreated", "machineaccountquota"]
 TEXTS = ["description", "operatingsystem", "functionallevel", "distinguishedname", "samaccountname", "domainsid"]
@@ -130,6 +134,22 @@ def edges(objects: DataFrame) -> DataFrame:
         out = out.union(found.select(F.col("x" if inward else "id"), F.col("id" if inward else "x"), F.lit(kind)))
     primary = rows.select(own, _text("$.PrimaryGroupSID").alias("x")).where("x is not null")
     out = out.union(primary.select("id", "x", F.lit("MemberOf")))
+    member = F.coalesce(*[F.try_variant_get("m", p, "string") for p in ("$.ObjectIdentifier", "$.MemberId", "$.UserSID", "$.UserId", "$")])
+    inside = rows.select(own, _text("$.ContainedBy.ObjectIdentifier").alias("x")).where("x is not null and x <> id")
+    out = out.union(inside.select("x", "id", F.lit("Contains")))
+    served = rows.select(own, F.explode(F.coalesce(F.try_variant_get("o", "$.SPNTargets", "array<variant>"), F.try_variant_get("o", "$.SpnTargets", "array<variant>"))).alias("m"))
+    served = served.where(F.lower(F.try_variant_get("m", "$.Service", "string")) == "sqladmin")
+    out = out.union(served.select("id", F.try_variant_get("m", "$.ComputerSID", "string"), F.lit("SQLAdmin")))
+    local = rows.select(own, entry("$.LocalGroups")).select("id", F.element_at(F.split(F.try_variant_get("m", "$.ObjectIdentifier", "string"), "-"), -1).alias("rid"), F.explode(F.try_variant_get("m", "$.Results", "array<variant>")).alias("m"))
+    local = local.select(member.alias("src"), F.col("id").alias("dst"), F.element_at(F.create_map(*[F.lit(x) for pair in LOCAL_GROUPS.items() for x in pair]), F.col("rid")).alias("edge_type"))
+    out = out.union(local)
+    pushed = rows.select(F.try_variant_get("o", "$.GPOChanges", "variant").alias("g")).where("g is not null")
+    for field, kind in POLICY_LISTS.items():
+        some = pushed.select("g", F.explode(F.try_variant_get("g", f"$.{field}", "array<variant>")).alias("m")).select("g", member.alias("who"))
+        some = some.select("who", F.explode(F.try_variant_get("g", "$.AffectedComputers", "array<variant>")).alias("m")).select("who", member.alias("at"), F.lit(kind))
+        out = out.union(some)
+    first = lambda *keys: F.coalesce(*[F.try_variant_get("o", f"$.{k}", "string") for k in keys])
+    out = out.union(objects.select(first("SourceSID", "source", "ID_start"), first("TargetSID", "target", "ID_end"), first("Kind", "label")))
     sessions = objects.where("kind = 'sessions'").select(_text("$.ComputerSID"), _text("$.UserSID"), F.lit("HasSession"))
     return out.union(sessions).where("src is not null and dst is not null and edge_type is not null").distinct()
 
