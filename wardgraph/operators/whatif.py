@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import registry, scalars
 from .exposure import exposed
+from .fixpoint import semi_naive
 from .tiering import tier0
 
 #: Verbs of the change language. Verb, operation, kind of edge (empty: named in the line), least and most arguments.
@@ -135,6 +136,45 @@ def impact(nodes: DataFrame, before: DataFrame, after: DataFrame) -> Impact:
     return Impact(rows.select("id", "hops_before", "hops_after", "effect"), tiers)
 
 
+def scenario_exposure(edges: DataFrame, top: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame:
+    """(scenario, id, hops): exposure in each scenario, all in one search. top: scenario, id; removed, added: scenario, src, dst, edge_type.
+
+    The edges are shared: a scenario costs its own deltas and the states that it reaches.
+    """
+    columns = ["src", "dst", "edge_type"]
+    kept = edges.where(~F.col("edge_type").isin(registry.NON_TRAVERSABLE)).select(*columns).persist()
+    new_edges = added.where(~F.col("edge_type").isin(registry.NON_TRAVERSABLE)).select("scenario", *columns)
+    attack = F.col("attacked") | F.col("edge_type").isin(registry.ATTACK)
+    ends = top.select("scenario", F.col("id").alias("src"))
+
+    def step(new: DataFrame) -> DataFrame:
+        from_base = new.join(kept, new["id"] == kept["dst"]).join(removed.select("scenario", *columns), ["scenario", *columns], "left_anti")
+        from_new = new.join(new_edges.select(F.col("scenario").alias("s"), *columns), (F.col("id") == F.col("dst")) & (F.col("scenario") == F.col("s")))
+        both = from_base.select("scenario", "src", attack.alias("attacked")).union(from_new.select("scenario", "src", attack))
+        return both.join(ends, ["scenario", "src"], "left_anti").select("scenario", F.col("src").alias("id"), "attacked")
+
+    found = semi_naive(top.select("scenario", "id", F.lit(False).alias("attacked")), step, ["scenario", "id", "attacked"])
+    kept.unpersist()
+    return found.where("attacked").select("scenario", "id", F.col("depth").alias("hops")).join(top, ["scenario", "id"], "left_anti")
+
+
+def marginal(edges: DataFrame, top: DataFrame, changes: DataFrame) -> DataFrame:
+    """(idx, new_exposure, secured): what each added or removed edge of ``changes`` (resolved) does alone, in objects. Tier 0 is taken as it is."""
+    spark = edges.sparkSession
+    one = changes.where(F.col("op").isin("add", "remove")).select(F.col("idx").alias("scenario"), "op", "src", "dst", "edge_type")
+    scenarios = one.select("scenario").union(spark.createDataFrame([(-1,)], "scenario int")).distinct()
+    tops = scenarios.crossJoin(top.select("id"))  # change files are small, and so is tier 0 times their lines
+    found = scenario_exposure(edges, tops, one.where("op = 'remove'"), one.where("op = 'add'"))
+    base = found.where("scenario = -1").select("id", F.lit(True).alias("was"))
+    now = found.where("scenario <> -1").select("scenario", "id", F.lit(True).alias("now"))
+    new = now.join(base, "id", "left_anti").groupBy("scenario").agg(F.count("*").alias("new_exposure"))
+    # secured: exposed before, and not among those still exposed
+    still = now.join(base, "id", "left_semi").groupBy("scenario").agg(F.count("*").alias("still"))
+    total = base.agg(F.count("*").alias("total"))  # one row
+    rows = one.select("scenario").join(new, "scenario", "left").join(still, "scenario", "left").crossJoin(total)
+    return rows.select(F.col("scenario").alias("idx"), F.coalesce("new_exposure", F.lit(0)).alias("new_exposure"), (F.col("total") - F.coalesce("still", F.lit(0))).alias("secured"))
+
+
 def judged(findings: DataFrame, nodes: DataFrame, waivers: DataFrame, block_at: str = "critical", review_at: str = "medium", today: str | None = None) -> DataFrame:
     """(effect, severity, actors, waived, verdict): of an impact's exposure rows by effect. waivers: effect, pattern (glob on names), expires;
     a group is waived if live waivers cover all its objects. Verdicts: block, review, pass."""
