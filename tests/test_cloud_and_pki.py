@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from wardgraph.operators import adcs, cloud, derive
+from wardgraph.operators import access, adcs, audit, cloud, derive
 from wardgraph.sources import cloud as source
 from wardgraph.sources import collections, pki
 
@@ -134,3 +134,43 @@ def test_more_ways_in(spark):
     assert rows(edges, "src", "dst", "edge_type") == [("A", "C", "AdminTo"), ("C", "M", "ReadGMSAPassword"), ("OU", "C", "Contains"), ("R", "C", "CanRDP"), ("S", "C", "SQLAdmin"), ("X", "Y", "GenericAll")]
     named = derive.name_uncollected(collections.nodes(objects), spark.createDataFrame([("S-1-5-21-1-2-3-513", "CORP.LOCAL-S-1-5-11", "x"), ("odd", None, "x")], "src string, dst string, edge_type string"))
     assert rows(named, "object_id", "name") == [("CORP.LOCAL-S-1-5-11", "AUTHENTICATED USERS@CORP.LOCAL"), ("S-1-5-21-1-2-3-513", "DOMAIN USERS")]
+
+
+def policy(spark, **changes):
+    base = {"id": "p1", "displayName": "Admins", "state": "enabled", "conditions": {"users": {"includeUsers": ["All"], "excludeUsers": ["boss"]}, "applications": {"includeApplications": ["All"]}}, "grantControls": {"operator": "OR", "builtInControls": ["mfa"]}}
+    return access.policies(parsed(spark, [{**base, **changes}]))
+
+
+def test_sign_in_policies(spark):
+    nodes = spark.createDataFrame([("BOSS", "BOSS", "AZUser"), ("ADA", "ADA", "AZUser"), ("BEN", "BEN", "AZUser"), ("G", "G", "AZGroup")], "object_id string, name string, node_type string")
+    edges = spark.createDataFrame([("BOSS", GA, "MemberOf"), ("ADA", "G", "MemberOf"), ("G", GA, "MemberOf")], "src string, dst string, edge_type string")
+    found = lambda rules: {(r["finding"], r["object_id"]) for r in access.gaps(nodes, edges, rules).collect()}
+    legacy = ("ca-legacy-auth", "tenant")
+    assert found(policy(spark)) == {("ca-admin-uncovered", "BOSS"), ("ca-admin-excluded", "BOSS"), legacy}
+    none = {("ca-no-admin-mfa", "BOSS"), ("ca-no-admin-mfa", "ADA"), legacy}
+    assert found(policy(spark, state="enabledForReportingButNotEnforced")) == none | {("ca-report-only", "ADA")}
+    assert found(policy(spark, grantControls={"operator": "OR", "builtInControls": ["mfa", "compliantDevice"]})) == none
+    groups = {"users": {"includeGroups": ["g"]}, "applications": {"includeApplications": ["All"]}}
+    assert found(policy(spark, conditions=groups)) == {("ca-admin-uncovered", "BOSS"), legacy}
+    blocking = {"users": {"includeUsers": ["All"]}, "clientAppTypes": ["exchangeActiveSync", "other"]}
+    assert found(policy(spark, conditions=blocking, grantControls={"builtInControls": ["block"]})) == none - {legacy}
+
+
+def test_cloud_audit(spark, tenant):
+    tiered = source.nodes(tenant).selectExpr("object_id", "name", "node_type", "enabled", "admin_count", "2 tier")
+    activations = spark.createDataFrame([("CUSTOM", False, False), (GA, True, False)], "role string, mfa boolean, approval boolean")
+    edges = source.edges(tenant).union(spark.createDataFrame([("LONELY", "CUSTOM", "AZEligibleRole"), ("U1", GA, "AZEligibleRole")], "src string, dst string, edge_type string"))
+    facts = {"credentials": source.credentials(tenant), "activations": activations, "unevaluated": source.unevaluated_roles(tenant), "policies": policy(spark)}
+    found = rows(audit.found(audit.Context(tiered, edges, None, facts)), "finding", "object_id")
+    # of the privileged only U1 is in these edges, and the policy for all covers U1
+    assert {f for f, _ in found} == {"fic-external-issuer", "pim-activation-no-mfa", "pim-activation-no-approval", "keyvault-secret-readers", "azure-roles-unevaluated", "ca-legacy-auth"}
+    assert ("pim-activation-no-mfa", "CUSTOM") in found and ("pim-activation-no-approval", GA) in found and ("keyvault-secret-readers", "V1") in found
+    without = rows(audit.found(audit.Context(tiered, edges), ["ca-not-collected", "fic-external-issuer"]), "finding", "object_id")
+    assert without == [("ca-not-collected", "tenant")]
+
+
+def test_weak_encryption(spark):
+    tiered = spark.createDataFrame([("1", "krbtgt@c", "User", None, None, 2, 0, False), ("2", "a", "User", True, True, 2, 4, True), ("3", "b", "User", True, None, 2, 4, True), ("4", "c", "Computer", True, None, 2, 7, None), ("5", "d", "User", True, None, 2, 28, True), ("6", "e", "User", True, None, 2, None, True), ("7", "f", "User", False, None, 2, 4, True)], "object_id string, name string, node_type string, enabled boolean, admin_count boolean, tier int, supportedencryptiontypes int, hasspn boolean")
+    edges = spark.createDataFrame([], "src string, dst string, edge_type string")
+    found = audit.found(audit.Context(tiered, edges), ["weak-kerberos-enc", "weak-kerberos-enc-spn", "weak-kerberos-enc-privileged"])
+    assert rows(found, "finding", "object_id") == [("weak-kerberos-enc", "4"), ("weak-kerberos-enc-privileged", "1"), ("weak-kerberos-enc-privileged", "2"), ("weak-kerberos-enc-spn", "3")]

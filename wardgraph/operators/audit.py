@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import registry, scalars
+from . import access
 from .tiering import group_members
 
 DAY = 86400
@@ -20,15 +21,20 @@ DAY = 86400
 
 @dataclass
 class Context:
-    """tiered: nodes with tier and whatever property columns were collected. clock: epoch seconds, the latest stamp unless given."""
+    """tiered: nodes with tier and whatever property columns were collected. clock: epoch seconds, the latest stamp unless given.
+
+    facts: tables beside the graph, by name; a rule names the one it needs as ``fact:name``. credentials, activations (role, mfa, approval), shadow (id,
+    reason), unevaluated (definition), unresolved (who, role, scope), neutralized (src, dst, edge_type), policies (as ``access.policies``).
+    """
 
     tiered: DataFrame
     edges: DataFrame
     clock: float | None = None
+    facts: dict[str, DataFrame] = field(default_factory=dict)
     columns: set[str] = field(init=False)
 
     def __post_init__(self):
-        self.columns = set(self.tiered.columns)
+        self.columns = {*self.tiered.columns, *(f"fact:{name}" for name in self.facts)}
         stamps = [c for c in ("lastlogontimestamp", "lastlogon", "pwdlastset", "whencreated") if c in self.columns]
         if self.clock is None and stamps:
             self.clock = self.tiered.agg(F.max(F.greatest(*stamps) if len(stamps) > 1 else F.col(stamps[0]))).first()[0]
@@ -174,7 +180,7 @@ def _tier0_session(c: Context) -> DataFrame:
 def _broad(c: Context) -> DataFrame:
     """Everyone, authenticated users and domain users or computers, if they hold a right that is an attack step."""
     held = c.edges.where(F.col("edge_type").isin(registry.ATTACK)).select(F.col("src").alias("object_id"))
-    return c.tiered.where(F.col("object_id").rlike("(S-1-1-0|S-1-5-11|-513|-515)$") & (F.col("tier") != 0)).join(held, "object_id", "left_semi")
+    return c.tiered.where(F.col("object_id").rlike(_EVERYONE) & (F.col("tier") != 0)).join(held, "object_id", "left_semi")
 
 
 @rule("trust-no-sid-filtering", "high")
@@ -185,6 +191,114 @@ def _trusts(c: Context) -> DataFrame:
     return c.tiered.join(open_, "object_id", "left_semi")
 
 
+def _subject(pattern: str) -> F.Column:
+    return F.coalesce(F.col("subject").rlike(pattern), F.lit(False))
+
+
+def _credential(finding: str, severity: str, condition: Callable[[], F.Column]) -> None:
+    rule(finding, severity, "fact:credentials")(lambda c: c.facts["credentials"].where(condition()).select(F.col("credential").alias("object_id"), "name"))
+
+
+_pull = lambda: _subject(r"(?i)^repo:[^:]+:pull_request$")
+_credential("fic-wildcard-subject", "high", lambda: F.coalesce(F.col("subject").contains("*"), F.lit(False)))
+_credential("fic-pull-request-trigger", "high", _pull)
+_credential("fic-no-ref-pin", "medium", lambda: _subject(r"(?i)^repo:") & ~_subject(r"(?i)(?:^|:)(?:ref:refs/|environment:)|\*") & ~_pull())
+_credential("fic-external-issuer", "info", lambda: (F.col("issuer") != "") & ~F.col("issuer").contains("login.microsoftonline.com"))
+
+
+def _named(rows: DataFrame, context: Context) -> DataFrame:
+    """(object_id, name) of ids (object_id); an id that wasn't collected is its own name."""
+    return rows.select("object_id").distinct().join(context.tiered.select("object_id", "name"), "object_id", "left").select("object_id", F.coalesce("name", "object_id").alias("name"))
+
+
+def _shadow(finding: str, severity: str, derived: bool) -> None:
+    rule(finding, severity, "fact:shadow")(lambda c: _named(c.facts["shadow"].where((F.col("reason") == "derived") == derived).select(F.col("id").alias("object_id")), c))
+
+
+_shadow("shadow-tier0-derived", "high", True)
+_shadow("shadow-tier0-by-name", "medium", False)
+
+
+def _activation(finding: str, severity: str, mfa: bool) -> None:
+    def query(c: Context) -> DataFrame:
+        eligible = c.edges.where("edge_type = 'AZEligibleRole'").select(F.col("dst").alias("role")).distinct()
+        weak = c.facts["activations"].where(~_yes("approval") & (_yes("mfa") == mfa)).join(eligible, "role", "left_semi")
+        return _named(weak.select(F.col("role").alias("object_id")), c)
+
+    rule(finding, severity, "fact:activations")(query)
+
+
+_activation("pim-activation-no-mfa", "high", False)
+_activation("pim-activation-no-approval", "medium", True)
+
+
+@rule("keyvault-secret-readers", "info")
+def _vaults(c: Context) -> DataFrame:
+    return _named(c.edges.where("edge_type = 'AZGetSecrets'").select(F.col("dst").alias("object_id")), c)
+
+
+@rule("azure-roles-unevaluated", "info", "fact:unevaluated")
+def _unevaluated(c: Context) -> DataFrame:
+    return c.facts["unevaluated"].select(F.col("definition").alias("object_id"), F.col("definition").alias("name"))
+
+
+@rule("entra-scoped-roles-unresolved", "info", "fact:unresolved")
+def _unresolved(c: Context) -> DataFrame:
+    return _named(c.facts["unresolved"].select(F.col("who").alias("object_id")), c)
+
+
+@rule("protected-users-neutralizes-delegation", "info", "fact:neutralized")
+def _neutralized(c: Context) -> DataFrame:
+    return _named(c.facts["neutralized"].select(F.col("dst").alias("object_id")), c)
+
+
+@rule("pwd-attributes", "critical", "password_attributes")
+def _stored(c: Context) -> DataFrame:
+    """password_attributes: how many attributes of an account hold password material."""
+    return c.tiered.where("node_type = 'User' and password_attributes > 0")
+
+
+def _encryption(finding: str, severity: str, which: str) -> None:
+    def query(c: Context) -> DataFrame:
+        """supportedencryptiontypes: the bit mask; 0 is not defined, bits 8 and 16 are AES. The ticket-granting account counts where not defined, too."""
+        kinds = F.col("supportedencryptiontypes").cast("int")
+        granting = (F.col("node_type") == "User") & (F.upper(scalars.display_name(F.col("name"))) == "KRBTGT") & (kinds.bitwiseAND(24) == 0)
+        weak = (kinds != 0) & (kinds.bitwiseAND(24) == 0) & F.coalesce("enabled", F.lit(True))
+        spn = F.col("hasspn") if "hasspn" in c.columns else F.lit(False)
+        group = F.when(granting | (weak & _privileged()), "privileged").when(weak & F.coalesce(spn, F.lit(False)), "spn").when(weak, "other")
+        return c.tiered.where(F.col("node_type").isin("User", "Computer")).where(group == which)
+
+    rule(finding, severity, "supportedencryptiontypes")(query)
+
+
+_encryption("weak-kerberos-enc-privileged", "high", "privileged")
+_encryption("weak-kerberos-enc-spn", "medium", "spn")
+_encryption("weak-kerberos-enc", "low", "other")
+
+_EVERYONE = r"(S-1-1-0|S-1-5-11|-513|-515)$"
+
+
+@rule("adcs-everyone", "critical")
+def _certificates_for_all(c: Context) -> DataFrame:
+    held = c.edges.where(F.col("edge_type").startswith("ADCS") | (F.col("edge_type") == "GoldenCert")).select(F.col("src").alias("object_id"))
+    return c.tiered.where(F.col("object_id").rlike(_EVERYONE)).join(held, "object_id", "left_semi")
+
+
+def _access(finding: str, severity: str) -> None:
+    rule(finding, severity, "fact:policies")(lambda c: access.gaps(c.tiered, c.edges, c.facts["policies"]).where(F.col("finding") == finding))
+
+
+for _finding, _severity in (("ca-no-admin-mfa", "critical"), ("ca-admin-uncovered", "high"), ("ca-admin-excluded", "high"), ("ca-report-only", "medium"), ("ca-legacy-auth", "high")):
+    _access(_finding, _severity)
+
+
+@rule("ca-not-collected", "info")
+def _no_policies(c: Context) -> DataFrame:
+    """A row if there are cloud users but no sign-in policies."""
+    users = c.tiered.where("node_type = 'AZUser'").limit(0 if "fact:policies" in c.columns else 1)
+    return users.select(F.lit("tenant").alias("object_id"), F.lit("tenant").alias("name"))
+
+
 def found(context: Context, only: list[str] | None = None) -> DataFrame:
     """(finding, severity, object_id, name) of all rules whose columns were collected."""
     spark = context.tiered.sparkSession

@@ -111,6 +111,16 @@ def permissions(rows: DataFrame) -> DataFrame:
     return found.select(_id("d", "$.principalId").alias("who"), F.element_at(_dict(PERMISSIONS), _id("d", "$.appRoleId")).alias("allows")).where("who is not null and allows is not null").distinct()
 
 
+def activations(rows: DataFrame) -> DataFrame:
+    """(role, mfa, approval): what activating an eligible role demands of its user."""
+    rules = rows.where("kind = 'AZRoleManagementPolicyAssignment'").select(_id("d", "$.roleDefinitionId").alias("role"), _list("d", "$.policy.rules").alias("m"))
+    own = _text("m", "$.id")
+    for_user = own.endswith("_EndUser_Assignment") | ((F.lower(_text("m", "$.target.caller")) == "enduser") & (F.lower(_text("m", "$.target.level")) == "assignment"))
+    asked = F.transform(F.coalesce(F.try_variant_get("m", "$.enabledRules", "array<string>"), F.array().cast("array<string>")), F.lower)
+    rules = rules.where(F.coalesce(for_user, F.lit(False))).select("role", F.array_contains(asked, "multifactorauthentication").alias("mfa"), F.coalesce(F.try_variant_get("m", "$.setting.isApprovalRequired", "boolean"), F.lit(False)).alias("approval"))
+    return rules.groupBy("role").agg(F.bool_or("mfa").alias("mfa"), F.bool_or("approval").alias("approval"))
+
+
 def units(rows: DataFrame) -> DataFrame:
     """(unit, member) of administrative units."""
     found = rows.where("kind = 'AZAdministrativeUnit'").select(_id("d", "$.id").alias("unit"), _list("d", "$.members").alias("m"))
