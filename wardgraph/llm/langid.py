@@ -29,10 +29,10 @@ SPACE, OTHER = 0, 1
 
 
 class Model(NamedTuple):
-    """letters: code points with codes of their own, from 2 on; langs: name, length of its text, automaton's table."""
+    """letters: code points with codes of their own, from 2 on; langs: name and codes of its text, which are small; a worker builds the automata."""
 
     letters: list[int]
-    langs: list[tuple[str, int, np.ndarray]]
+    langs: list[tuple[str, bytes]]
 
 
 def code_table(letters: list[int]) -> np.ndarray:
@@ -132,9 +132,10 @@ def _sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train,
     return docs.where(train & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(chosen.distinct()), "doc_id")
 
 
-def train_model(docs: DataFrame, train=None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 200, chars: int = 30_000, letters: int = 64, row_chars: int = 2_000, max_langs: int = 200) -> Model:
+def train_model(docs: DataFrame, train=None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 200, chars: int = 30_000, letters: int = 64, row_chars: int = 2_000, max_langs: int = 100) -> Model:
     """The sample is bounded: ``rows`` rows of a language, ``row_chars`` characters of each, ``chars`` characters of a language
-    after normalising, ``max_langs`` languages. Automata are built in tasks, one for each language."""
+    after normalising, ``max_langs`` languages (about 16 MB of a worker's memory for each). The model is the normalised sample, so it is
+    at most ``chars * max_langs`` bytes in the driver and in the broadcast."""
     train = F.lit(True) if train is None else train
     sample = materialise(_sampled(docs, id_col, text_col, lang_col, train, rows).select("lang", F.substring("text", 1, row_chars).alias("text"), "h", "doc_id"), "sample")
     if sample.select("lang").distinct().count() > max_langs:
@@ -149,23 +150,22 @@ def train_model(docs: DataFrame, train=None, id_col: str = "doc_id", text_col: s
             if n < chars and len(c := codes(text or "", table)):
                 parts += [c, np.array([SPACE], np.uint8)]
                 n += len(c) + 1
-        s = np.concatenate(parts)[:chars].tolist() if parts else []
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "n": [len(s)], "states": [suffix_automaton(s, 2 + len(own)).tobytes()]})
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "codes": [(np.concatenate(parts)[:chars] if parts else np.zeros(0, np.uint8)).tobytes()]})
 
-    built = materialise(sample.groupBy("lang").applyInPandas(build, "lang string, n long, states binary"), "automata").where("n > 0").orderBy("lang").collect()
-    return Model(own, [(r["lang"], r["n"], np.frombuffer(r["states"], np.int32).reshape(-1, 2 + len(own))) for r in built])
+    built = materialise(sample.groupBy("lang").applyInPandas(build, "lang string, codes binary"), "samples").where("octet_length(codes) > 0").orderBy("lang").collect()
+    return Model(own, [(r["lang"], bytes(r["codes"])) for r in built])
 
 
 _READY: dict[str, tuple[np.ndarray, list[np.ndarray]]] = {}
 
 
 def predictor(model: Model, key: str, block: int = 512):
-    """A function from texts to (language, score) pairs; its tables are built once for each ``key`` in a worker."""
+    """A function from texts to (language, score) pairs; its automata are built once for each ``key`` in a worker."""
     if key not in _READY:
         _READY.clear()
-        _READY[key] = code_table(model.letters), [parse_table(a) for _, _, a in model.langs]
+        _READY[key] = code_table(model.letters), [parse_table(suffix_automaton(list(text), 2 + len(model.letters))) for _, text in model.langs]
     table, tables = _READY[key]
-    weights = np.array([np.log2(max(n, 2)) for _, n, _ in model.langs])
+    weights = np.array([np.log2(max(len(text), 2)) for _, text in model.langs])
 
     def predict(texts: list[str | None]) -> list[tuple[str, float]]:
         blocks, owner = [], []
