@@ -123,8 +123,8 @@ SELECT id, CAST(min(d) AS INTEGER) AS depth FROM b GROUP BY id HAVING min(d) > 0
 ORACLES["weighted_routes"] = GRAPH + DIM + """, x AS (SELECT src, dst, min(weight) AS weight FROM edges JOIN dim USING (edge_type) GROUP BY src, dst
 ), w0 AS (SELECT 'S-1-5-21-0-512' AS id, 0.0 AS cost), """ + ", ".join(
     f"w{k} AS (SELECT id, min(cost) AS cost FROM (SELECT id, cost FROM w{k - 1} UNION ALL SELECT x.dst, w.cost + x.weight FROM w{k - 1} w JOIN x ON x.src = w.id) u GROUP BY id)" for k in range(1, 41)
-) + " SELECT id, round(cost, 4) AS cost FROM w40"
-ORACLES["attack_paths"] = PATHS + " SELECT source, target, CAST(length AS INTEGER) AS length, round(weight, 4) AS weight, ns AS nodes, es AS edge_types FROM paths"
+) + " SELECT id, CAST(round(cost, 4) AS DOUBLE) AS cost FROM w40"
+ORACLES["attack_paths"] = PATHS + " SELECT source, target, CAST(length AS INTEGER) AS length, CAST(round(weight, 4) AS DOUBLE) AS weight, ns AS nodes, es AS edge_types FROM paths"
 ORACLES["path_stats"] = PATHS + " SELECT count(*) AS n_paths, CAST(min(length) AS INTEGER) AS min_length, CAST(max(length) AS INTEGER) AS max_length, round(avg(length), 4) AS avg_length, count(DISTINCT source) AS n_sources FROM paths"
 ORACLES["posture_score"] = PATHS + """, p AS (SELECT count(*) AS n, avg(length) AS a FROM paths), t AS (SELECT sum(CASE WHEN tier <> 0 THEN 1 ELSE 0 END) AS below, sum(CASE WHEN tier = 2 THEN 1 ELSE 0 END) AS t2,
 sum(CASE WHEN tier = 2 AND object_id IN (SELECT source FROM paths) THEN 1 ELSE 0 END) AS ex FROM tiered),
