@@ -281,6 +281,27 @@ def test_links_of_dense_buckets(spark):
     assert groups(by_got.values()) == groups(by_want.values())
 
 
+def test_links_across_the_highest_bit(spark):
+    """Members that differ in bit 63 and 1 to 3 others, no two by a single bit; runs of high bits are no links."""
+    rng = random.Random(63)
+    clusters, far = [], []
+    for _ in range(40):
+        at = rng.getrandbits(63)
+        flips = [1 << 63 | sum(1 << b for b in rng.sample(range(63), n)) for n in (1, 2, 3)]
+        clusters.append([at, *[at ^ f for f in flips]])
+        far.append(at ^ (2**64 - 2 ** rng.randint(50, 58)))
+    fps = sorted({f for c in clusters for f in c} | {*far})
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    got = simhash.spanning_links(np.array(fps, np.uint64).view(np.int64), 4)
+    assert all((a ^ b) % (1 << 64) and bin((a ^ b) % (1 << 64)).count("1") <= 4 for a, b in got)
+    df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
+    want = plain_components([(f, f) for f in fps])
+    for found in (got, [tuple(r) for r in simhash.links(df, 4, 6, piece=16).collect()]):
+        roots = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(found, "a long, b long")).collect()}
+        sets = lambda root: {frozenset(f for f in fps if root(f) == k) for k in map(root, fps)}
+        assert sets(lambda f: roots.get(signed(f), signed(f))) == sets(lambda f: want[(f, f)])
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(0, 300)] + [(1000, 1001), (1001, 1002), (5, 5)]
     got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -69,14 +69,14 @@ def block_masks(blocks: int, max_bits: int) -> list[int]:
 
 def spanning_links(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     """Links of a spanning forest of the fingerprints at ``max_bits`` or fewer differing bits."""
-    links, left = [], fps
+    links, left = [], fps.view(np.uint64)  # bitwise_count takes a signed number's absolute value
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
             near = np.bitwise_count(left ^ at) <= max_bits
             found, left = left[near], left[~near]
-            links += [(int(at), int(x)) for x in found]
+            links += [(int(at.view(np.int64)), int(x)) for x in found.view(np.int64)]
             queue.extend(found)
     return links
 
