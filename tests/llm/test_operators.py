@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import textwrap
 import zlib
 from collections import Counter
 
@@ -378,6 +379,18 @@ def test_license_query_against_exact_lines(spark, sf, rows):
     assert want and Counter((r["doc_id"], r["license"]) for r in got if r["license"]) == want
 
 
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+def test_licenses_over_lines(mark):
+    """Every template at the usual widths, set off by blank lines or within prose, has its one row."""
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for name, text in licenses.TEMPLATES.items():
+        for width in (72, 76, 80):
+            lines = "\n".join(mark + x for x in textwrap.wrap(text, width - len(mark)))
+            for before, after in (("import x\n\n", "\n\ncode = 1\n"), ("some prose\nand more\n", "\nprose again\nand more")):
+                got = scanner.rows(before + lines + after)
+                assert [(r[0], r[1], r[2]) for r in got] == [(len(before), len(lines), name)]
+
+
 # 8 and 10
 
 

@@ -1,13 +1,15 @@
 """License scans by conditional compression.
 
+A notice is found by its words in the whole text, wherever lines break: at a template's place it misses and adds at most
+``max_changed`` of its words. The search is exact: such a place holds one of ``changes + 1`` pieces of the template unchanged, and
+around each piece the least differences are computed. Each place is compressed alone and with its template as a zstandard
+raw-content dictionary; of places that overlap, the one whose dictionary saves most bytes stands. Its row gives the lines it lies on.
+
 Candidate blocks are lines with a word that license notices use, merged with the next where at most ``gap`` lines lie between.
-A block is compressed alone and with each template as a zstandard raw-content dictionary; templates are ranked by the share of
-the block's compressed size that the dictionary saves. The best are confirmed by wording: the exact differences between the
-template's words and the block's, best aligned. A block is confirmed for the first template in rank that misses and adds at most
-``max_changed`` of its words.
+A block without a notice is ranked by the share of its compressed size that each dictionary saves, and has a null license, with the
+differences from the best template.
 
-A null or empty text has no blocks. Rows are returned for every block; an unconfirmed one has a null license. Equal documents give
-equal rows. Templates are a parameter (name to text); ties in rank go by name.
+A null or empty text has no blocks. Equal documents give equal rows. Templates are a parameter (name to text); ties go by name.
 """
 
 from __future__ import annotations
@@ -72,47 +74,117 @@ def differences(template: list[str], block: list[str]) -> tuple[int, int]:
     return len(template) - matched, (same[-1].b + same[-1].size - same[0].b - matched) if same else 0
 
 
+def closest(template: list[str], own: list[str]) -> list[tuple[int, int, int]]:
+    """For each end in ``own``: (words missing and added, start, end) of the place with the least of both; of equals the shortest."""
+    # column[i]: least cost and, negated, the start of a place that ends here and holds the template's first i words
+    column, found = [(i, 0) for i in range(len(template) + 1)], []
+    for end, word in enumerate(own, 1):
+        new = [(0, -end)]
+        for i, w in enumerate(template):
+            (down, at), (along, before) = new[i], column[i + 1]
+            least = min((down + 1, at), (along + 1, before))
+            new.append(min(least, column[i]) if w == word else least)
+        column = new
+        found.append((column[-1][0], -column[-1][1], end))
+    return found
+
+
 class Scanner:
-    def __init__(self, templates: dict[str, str], level: int = 3, confirm: int = 3, max_changed: float = 0.1, kept: int = 10_000):
+    def __init__(self, templates: dict[str, str], level: int = 3, max_changed: float = 0.1, kept: int = 10_000):
         self.templates = {name: words(text) for name, text in sorted(templates.items())}
         # no checksum, size or dictionary id in the frames: only content is compared
         own = {"level": level, "write_checksum": False, "write_content_size": False, "write_dict_id": False}
         self.plain = zstandard.ZstdCompressor(**own)
         self.given = {name: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(templates[name].encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **own) for name in self.templates}
-        self.confirm, self.max_changed, self.kept = confirm, max_changed, kept
-        self.seen: OrderedDict[str, tuple] = OrderedDict()
-
-    def scan(self, block: str) -> tuple:
-        """(license or None, best template, its saving, words missing, words added)."""
-        if block not in self.seen:
+        self.kept = kept
+        self.seen: OrderedDict[tuple[str, str | None], tuple] = OrderedDict()
+        self.changes = {name: min(int(max_changed * len(t)), len(t) - 1) for name, t in self.templates.items()}
+        self.pieces: dict[str, list[tuple[list[str], str, int]]] = {}
+        for name, t in self.templates.items():
+            n = self.changes[name] + 1
+            for k in range(n):
+                start, end = k * len(t) // n, (k + 1) * len(t) // n
+                self.pieces.setdefault(t[start], []).append((t[start:end], name, start))
+
+    def _kept(self, text: str, name: str | None, compute) -> tuple:
+        if (text, name) not in self.seen:
             if len(self.seen) >= self.kept:
                 self.seen.popitem(last=False)
-            self.seen[block] = self._scan(block)
-        return self.seen[block]
+            self.seen[text, name] = compute(text, name)
+        return self.seen[text, name]
 
-    def _scan(self, block: str) -> tuple:
-        data = block.encode()
+    def _saving(self, text: str, name: str) -> tuple[int, float]:
+        """(bytes, share of the compressed size) that the template saves."""
+        data = text.encode()
         alone = len(self.plain.compress(data))
-        saved = sorted(((1 - len(c.compress(data)) / alone, name) for name, c in self.given.items()), key=lambda x: (-x[0], x[1]))
-        own = words(block)
-        for share, name in saved[: self.confirm]:
-            missing, added = differences(self.templates[name], own)
-            if missing + added <= self.max_changed * len(self.templates[name]):
-                return name, name, share, missing, added
-        share, name = saved[0]
-        return None, name, share, *differences(self.templates[name], own)
-
-
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", gap: int = 2, confirm: int = 3, max_changed: float = 0.1) -> DataFrame:
-    """BLOCKS: a row for each candidate block of each document."""
+        given = len(self.given[name].compress(data))
+        return alone - given, 1 - given / alone
+
+    def _unconfirmed(self, block: str, _) -> tuple:
+        share, name = min(((self._saving(block, name)[1], name) for name in self.given), key=lambda x: (-x[0], x[1]))
+        return None, name, share, *differences(self.templates[name], words(block))
+
+    def places(self, own: list[str]) -> list[tuple[str, int, int, int, int]]:
+        """(template, first word, end, missing, added): of each template the closest places that don't overlap one another."""
+        near: dict[str, set[tuple[int, int]]] = {}
+        exact: dict[str, set[tuple[int, int, int]]] = {}
+        for at, word in enumerate(own):
+            for piece, name, offset in self.pieces.get(word, ()):
+                if own[at : at + len(piece)] == piece:
+                    start, slack = at - offset, self.changes[name]
+                    end = start + len(self.templates[name])
+                    if start >= 0 and own[start:end] == self.templates[name]:
+                        exact.setdefault(name, set()).add((0, start, end))
+                    else:
+                        near.setdefault(name, set()).add((max(start - slack, 0), end + slack))
+        found = []
+        for name in {**exact, **near}:
+            template, costs, taken = self.templates[name], exact.get(name, set()), []
+            for lo, hi in near.get(name, ()):
+                costs |= {(cost, lo + s, lo + e) for cost, s, e in closest(template, own[lo:hi]) if cost <= self.changes[name]}
+            for cost, s, e in sorted(costs):
+                if all(e <= x or y <= s for x, y in taken):
+                    taken.append((s, e))
+                    same = (len(template) + e - s - cost) // 2
+                    found.append((name, s, e, len(template) - same, e - s - same))
+        return found
+
+    def notices(self, text: str) -> list[tuple]:
+        """(first character, end, template, missing, added) of each notice of the text."""
+        at = [m.span() for m in _WORD.finditer(text)]
+        found = [(at[s][0], at[e - 1][1], name, missing, added) for name, s, e, missing, added in self.places([text[s:e].lower() for s, e in at])]
+        order = lambda x: (-self._kept(text[x[0] : x[1]], x[2], self._saving)[0], x[3] + x[4], x[2], x[0])
+        taken: list[tuple] = []
+        for x in sorted(found, key=order):
+            if all(x[1] <= y[0] or y[1] <= x[0] for y in taken):
+                taken.append(x)
+        return taken
+
+    def rows(self, text: str, gap: int = 2) -> list[tuple]:
+        """(start, length, license or None, best template, its saving, words missing, words added), by start."""
+        cores = [(s, s + len(block)) for s, block in blocks(text, gap)]
+        notices = self.notices(text)
+        found = []
+        for s, e in cores:
+            if not any(x[0] < e and s < x[1] for x in notices):
+                found.append((s, e - s, *self._kept(text[s:e], None, self._unconfirmed)))
+        for s, e, name, missing, added in notices:
+            lo, hi = text.rfind("\n", 0, s) + 1, text.find("\n", e)
+            block = text[lo : hi if hi >= 0 else len(text)]
+            found.append((lo, len(block), name, name, self._kept(block, name, self._saving)[1], missing, added))
+        return sorted(found, key=lambda x: (x[0], x[1], x[3]))
+
+
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", gap: int = 2, max_changed: float = 0.1) -> DataFrame:
+    """BLOCKS: a row for each notice of each document, and for each candidate block without one."""
     templates = TEMPLATES if templates is None else templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, confirm=confirm, max_changed=max_changed)
+        scanner = Scanner(templates, max_changed=max_changed)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32()]
         names = [x.split()[0] for x in BLOCKS.split(", ")]
         for b in batches:
-            rows = [(doc, at, len(block), *scanner.scan(block)) for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for at, block in blocks(text, gap)]
+            rows = [(doc, *row) for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for row in scanner.rows(text, gap)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
