@@ -391,6 +391,16 @@ def test_licenses_over_lines(mark):
                 assert [(r[0], r[1], r[2]) for r in got] == [(len(before), len(lines), name)]
 
 
+def test_licenses_that_share_a_block():
+    """One row for each notice, however many lie side by side, in any order, on lines of their own or on one."""
+    scanner, rng = licenses.Scanner(licenses.TEMPLATES), random.Random(7)
+    names = [["MIT", "Apache-2.0"], [*licenses.TEMPLATES], ["GPL-2.0-or-later-header", "GPL-3.0-or-later-header"]]
+    names += [[rng.choice([*licenses.TEMPLATES]) for _ in range(rng.randint(2, 8))] for _ in range(40)]
+    for chosen in names:
+        assert [r[2] for r in scanner.rows("\n".join(licenses.TEMPLATES[n] for n in chosen))] == chosen
+        assert Counter(r[2] for r in scanner.rows(" ".join(licenses.TEMPLATES[n] for n in chosen))) == Counter(chosen)
+
+
 # 8 and 10
 
 
