@@ -68,6 +68,20 @@ def test_walk_that_only_helps_by_looping_is_no_route(spark):
     assert exposure.exact(edges, top).collect() == []
 
 
+def test_routes_beyond_a_bound_are_unverified(spark):
+    """The only route of u and v that passes nothing twice has 17 and 18 steps; the walks that loop have 4 and 3."""
+    chain = ["u", *[f"a{i:02}" for i in range(16)], "top"]
+    edges = [("u", "v", "MemberOf"), ("v", "u", "GenericAll"), ("v", "top", "Contains")]
+    edges = spark.createDataFrame(edges + [(a, b, "GenericWrite" if a == "a03" else "MemberOf") for a, b in zip(chain, chain[1:], strict=False)], EDGES)
+    top = spark.createDataFrame([("top",)], "id string")
+    got = {r["id"]: (r["hops"], r["verified"]) for r in exposure.exact(edges, top).collect()}
+    assert got["u"] == (4, False) and got["v"] == (3, False) and got["a03"] == (13, True)
+    both = spark.createDataFrame([("u",), ("v",)], "id string")
+    rows = lambda **bounds: {r["id"]: (r["hops"], r["verified"]) for r in exposure.simple_routes(edges, top, both, **bounds).collect()}
+    assert rows(max_depth=17) == {"u": (17, True), "v": (None, False)} and rows(max_depth=18) == {"u": (17, True), "v": (18, True)}
+    assert rows(max_depth=18, budget=3) == {"u": (None, False), "v": (None, False)}
+
+
 def test_denies_match_search_on_acyclic_graphs(spark):
     """Without cycles every walk is a route, so the search above is exact."""
     rows, denies, want, tops = [], [], {}, []

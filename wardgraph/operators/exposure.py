@@ -7,9 +7,6 @@ object twice, once in each state; routes that might are checked by ``simple_rout
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,47 +44,51 @@ def next_steps(edges: DataFrame, top: DataFrame, found: DataFrame) -> DataFrame:
     return found.where("depth > 0").join(best, ["id", "attacked", "depth"]).select("id", "attacked", "depth", "s.next_id", "s.next_attacked", "s.edge_type")
 
 
-def simple_routes(edges: DataFrame, top: DataFrame, suspects: DataFrame, max_depth: int = 14, budget: int = 60_000) -> DataFrame:
-    """(id, hops, verified): for suspects (id), the fewest hops of a route that passes no object twice; hops is null if there is none.
+def simple_routes(edges: DataFrame, top: DataFrame, suspects: DataFrame, max_depth: int = 14, budget: int = 60_000, found: DataFrame | None = None) -> DataFrame:
+    """(id, hops, verified): for suspects (id), the fewest hops of a route that passes no object twice; hops is null if none was found.
 
-    Each suspect gets its own part of the graph, what it reaches within ``max_depth`` steps, and an iterative-deepening search of at
-    most ``budget`` expansions; verified is false where the budget ran out.
+    Routes of all suspects grow together, a step a round; of those with the same objects and head one is kept, and none grows on from
+    where ``found`` (the states, computed if not given) has no way to tier 0. verified is false where a suspect's routes were more than
+    ``budget`` or still growing after ``max_depth`` steps.
     """
-    hops = walkable(edges, top).persist(StorageLevel.MEMORY_AND_DISK)
-    near = closure(suspects.select(F.col("id").alias("origin"), "id"), hops, max_depth=max_depth)
-    goals = top.select(F.col("id").alias("dst"), F.lit(True).alias("goal"))
-    local = near.join(hops, near["id"] == hops["src"]).join(goals, "dst", "left").select("origin", "src", "dst", "attack", F.coalesce("goal", F.lit(False)).alias("goal"))
-
-    def search(key: tuple, table: pa.Table) -> pa.Table:
-        origin = key[0].as_py()
-        onward: dict[str, list[tuple[str, bool, bool]]] = {}
-        for r in table.to_pylist():
-            onward.setdefault(r["src"], []).append((r["dst"], r["attack"], r["goal"]))
-        left, answer = budget, None
-        for limit in range(1, max_depth + 1):
-            stack = [(origin, False, frozenset([origin]), 0)]
-            while stack and answer is None and left > 0:
-                at, attacked, passed, depth = stack.pop()
-                left -= 1
-                for to, attack, goal in onward.get(at, ()):
-                    if to in passed:
-                        continue
-                    if goal:
-                        if attacked or attack:
-                            answer = depth + 1 if depth + 1 == limit else answer
-                    elif depth + 1 < limit:
-                        stack.append((to, attacked or attack, passed | {to}, depth + 1))
-            if answer is not None or left <= 0:
-                break
-        return pa.table({"id": pa.array([origin], pa.string()), "hops": pa.array([answer], pa.int32()), "verified": pa.array([answer is not None or left > 0])})
-
-    out = materialise(local.groupBy("origin").applyInArrow(search, "id string, hops int, verified boolean"), "simple")
-    hops.unpersist()
-    return out
+    ahead = (states(edges, top) if found is None else found).groupBy(F.col("id").alias("dst")).agg(F.max("attacked").alias("may_attack"))
+    goals = top.select(F.col("id").alias("dst"), F.lit(True).alias("goal")).distinct()
+    hops = walkable(edges, top).groupBy("src", "dst").agg(F.max("attack").alias("attack")).join(ahead, "dst").join(goals, "dst", "left").withColumn("goal", F.coalesce("goal", F.lit(False)))
+    hops = materialise(hops, "hops")
+    origins = materialise(suspects.select(F.col("id").alias("origin")).distinct(), "suspects")
+    front = origins.select("origin", F.col("origin").alias("head"), F.lit(False).alias("attacked"), F.array("origin").alias("passed"))
+    used = origins.select("origin", F.lit(0).cast("long").alias("n"))
+    settled = None
+
+    def settle(rows: DataFrame, hops: int | None, verified: bool) -> None:
+        nonlocal settled
+        rows = rows.select(F.col("origin").alias("id"), F.lit(hops).cast("int").alias("hops"), F.lit(verified).alias("verified"))
+        settled = rows if settled is None else settled.union(rows)
+
+    for depth in range(1, max_depth + 1):
+        used = materialise(used.union(front.groupBy("origin").agg(F.count("*").alias("n"))).groupBy("origin").agg(F.sum("n").alias("n")), "used")
+        over = used.where(F.col("n") > budget).select("origin")
+        settle(over.join(front, "origin", "left_semi"), None, False)
+        grown = front.join(over, "origin", "left_anti").join(hops, F.col("head") == F.col("src")).where(~F.array_contains("passed", F.col("dst")))
+        grown = grown.withColumn("attacked", F.col("attacked") | F.col("attack")).where(F.col("attacked") | (~F.col("goal") & F.col("may_attack")))
+        grown = grown.select("origin", F.col("dst").alias("head"), "attacked", F.array_sort(F.array_append("passed", F.col("dst"))).alias("passed"), "goal").distinct()
+        grown = materialise(grown, "routes")
+        reached = grown.where("goal").select("origin").distinct()
+        settle(reached, depth, True)
+        front = grown.where("not goal").drop("goal").join(reached, "origin", "left_anti")
+        if front.isEmpty():
+            break
+    settle(front.select("origin").distinct(), None, False)
+    settled = materialise(settled, "settled")
+    without = origins.withColumnRenamed("origin", "id").join(settled, "id", "left_anti").select("id", F.lit(None).cast("int").alias("hops"), F.lit(True).alias("verified"))
+    return settled.union(without)
 
 
 def exact(edges: DataFrame, top: DataFrame) -> DataFrame:
-    """(id, hops, verified) of exposed objects, with walks that pass an object twice replaced by the shortest route that doesn't."""
+    """(id, hops, verified) of exposed objects, with walks that pass an object twice replaced by the shortest route that doesn't.
+
+    Where a bound ended the search for that route, hops is the walk's and verified is false.
+    """
     found = states(edges, top)
     steps = materialise(next_steps(edges, top, found), "steps")
     both = found.groupBy("id").agg(F.count("*").alias("n")).where("n = 2").select("id")
@@ -96,7 +97,7 @@ def exact(edges: DataFrame, top: DataFrame) -> DataFrame:
     back = steps.select(F.col("id").alias("src"), F.col("attacked").alias("was"), F.col("next_id").alias("id"), F.col("next_attacked").alias("attacked"))
     suspects = semi_naive(touched, lambda new: new.join(back, ["id", "attacked"]).select(F.col("src").alias("id"), F.col("was").alias("attacked")), ["id", "attacked"])
     walks = found.where("attacked").join(top, "id", "left_anti").select("id", F.col("depth").alias("hops"))
-    checked = simple_routes(edges, top, walks.join(suspects.where("attacked").select("id"), "id", "left_semi"))
+    checked = materialise(simple_routes(edges, top, walks.join(suspects.where("attacked").select("id"), "id", "left_semi"), found=found), "checked")
     sure = walks.join(checked.select("id"), "id", "left_anti").select("id", "hops", F.lit(True).alias("verified"))
     return sure.union(checked.where("hops is not null").select("id", "hops", "verified")).union(
         checked.where("hops is null and not verified").select("id").join(walks, "id").select("id", "hops", F.lit(False))
