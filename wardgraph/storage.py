@@ -9,18 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``. Where it is unset (tests, a single machine), a local folder is made and set."""
+    """``spark.checkpoint.dir``. Where it is unset, a local session (tests, a single machine) gets a folder; elsewhere that's an error, as
+    executors would write where nobody reads."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="wardgraph-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+def session_folder(spark: SparkSession) -> str:
+    """Where a session's tables lie, below the shared folder."""
+    return f"{shared_root(spark)}/tables-{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path below the session's folder."""
+    return f"{session_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -29,3 +37,9 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = scratch(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_session(spark: SparkSession) -> None:
+    """Deletes the session's tables; DataFrames that read them can't be used afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(session_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
