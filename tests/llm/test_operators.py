@@ -1,7 +1,6 @@
 """Each operator against a plain version of it, and on awkward rows: nulls, empty and long texts, repeated rows, empty tables, extra columns."""
 
 import hashlib
-import json
 import random
 import textwrap
 import zlib
@@ -329,8 +328,9 @@ def test_phrases_match_a_plain_parse():
     rng = np.random.default_rng(6)
     labelled = rng.integers(0, 5, 300).astype(np.uint8)
     automaton = langid.suffix_automaton(labelled.tolist(), 7)
+    width = langid.width_of(7)
     blocks = [rng.integers(0, 7, n).astype(np.uint8) for n in (1, 2, 40, 40, 17, 0, 3)]
-    got = langid.count_phrases(blocks, [langid.parse_table(automaton)])[:, 0]
+    got = langid.count_phrases(blocks, [langid.parse_table(automaton)], width)[:, 0]
     assert got.tolist() == [plain_phrases(bytes(labelled), bytes(b), 1000) for b in blocks]
 
 
@@ -346,7 +346,7 @@ def test_language_query(spark, docs):
 
 def test_language_awkward(spark, odd, empty):
     model = langid.train_model(odd)
-    got = langid.identify(odd, model, keep=odd.columns[:6]).collect()
+    got = langid.identify(odd, model).collect()
     assert len(got) == len(ROWS)
     assert {(r["lang_pred"], r["score"]) for r in got if r["doc_id"] in (1, 2, 5)} == {("und", 0.0)}
     assert all(r["lang_pred"] != "und" for r in got if r["doc_id"] not in (1, 2, 5))
@@ -521,4 +521,4 @@ def test_pipeline(spark, sf, docs):
 
 def test_registered(spark):
     assert len(queries.QUERIES) == 10 and sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
-    assert json.dumps(sorted(queries.ORACLES)) == "[]"
+    assert {*queries.ORACLES} <= {*queries.QUERIES}

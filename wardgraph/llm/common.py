@@ -1,38 +1,19 @@
-"""What the operators share: the cluster's shared folder, written intermediate tables, the documents reader."""
+"""What the operators share: small batches, computed columns, the documents reader."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch handed to Python. Texts can be long, so batches stay far below Spark's default of 10,000 rows.
-BATCH_ROWS = 256
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset (tests), a local one is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="wardgraph-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+from ..storage import materialise, scratch
 
+__all__ = ["computed", "documents", "materialise", "scratch", "small_batches", "texts", "unused"]
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` once to the shared folder and returns a reader of it: lineage ends here, and a lost executor costs a re-read."""
-    spark = df.sparkSession
-    path = scratch(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows in one Arrow batch handed to Python. Texts can be long, so batches stay far below Spark's default of 10,000 rows.
+BATCH_ROWS = 256
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -47,3 +28,17 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, so that any other columns of ``docs``, whatever their names, stay out of the way."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def computed(function: Callable[..., pa.Array], kind: str, *inputs: Column) -> Column:
+    """A column of the kind ``kind`` that ``function`` computes from Arrow arrays of the inputs, a batch at a time. Other columns of a
+    row stay in the JVM. (Called non-deterministic so that a filter on the column doesn't compute it again.)"""
+    return F.arrow_udf(lambda *arrays: function(*arrays), kind).asNondeterministic()(*inputs)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores after it as it takes to differ from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

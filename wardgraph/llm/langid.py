@@ -4,60 +4,64 @@ For each language a bounded sample of labelled text is joined and normalised, an
 parsed against each automaton into phrases: from a phrase's start the longest match with the labelled text, then the next
 phrase. A language costs phrases * log2(length of its labelled text); the language with the least cost wins, ties by name.
 
-Normalising: lower case; the ``letters`` - 2 most frequent letters of the samples keep their own codes, other letters share
-one, and every run of other characters is one space. Long texts are parsed in blocks of ``block`` characters, each starting a
-phrase of its own, so that many blocks are parsed side by side.
+Normalising: lower case, every run of characters other than letters is one space, and the rest is spelled in UTF-8. Automata run over bytes, so
+letters of all scripts keep apart; bytes that no sample holds share one code. Long texts are parsed in blocks of ``block`` bytes, each
+starting a phrase of its own, so that many blocks are parsed side by side.
 
 A null text, or one without a letter, is ``und`` with score 0. The score is the least cost's margin to the next:
-1 - least / next, or 1 where only one language is known. Rows with a null id or language teach nothing; if no row teaches, all are ``und``.
+1 - least / next, or 1 where only one language is known. Rows with a null language teach nothing; if no row teaches, all are ``und``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import computed, materialise, small_batches
 
 SPACE, OTHER = 0, 1
+_GAP = ord(" ")
 
 
 class Model(NamedTuple):
-    """letters: code points with codes of their own, from 2 on; langs: name and codes of its text, which are small; a worker builds the automata."""
+    """langs: name and normalised text of each; a worker builds the automata."""
 
-    letters: list[int]
     langs: list[tuple[str, bytes]]
 
 
-def code_table(letters: list[int]) -> np.ndarray:
-    """Code of each code point: its own, OTHER for other letters, SPACE for the rest."""
+_LETTERS: np.ndarray | None = None
+
+
+def normalised(text: str) -> bytes:
+    """Letters in lower case as UTF-8, a space for each run of anything else between them."""
     global _LETTERS
     if _LETTERS is None:
         _LETTERS = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-    table = np.where(_LETTERS, np.uint8(OTHER), np.uint8(SPACE))
-    table[letters] = np.arange(2, 2 + len(letters), dtype=np.uint8)
+    c = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")
+    letter = _LETTERS[c]
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]  # of other characters, those after a letter stay, as a space
+    return np.where(letter, c, _GAP)[keep].astype("<u4").tobytes().decode("utf-32-le").encode().strip(b" ")
+
+
+def symbols(model: Model) -> np.ndarray:
+    """The code of each byte: SPACE, OTHER, or one of its own if a sample holds it."""
+    seen = np.zeros(256, bool)
+    for _, text in model.langs:
+        seen[np.frombuffer(text, np.uint8)] = True
+    seen[_GAP] = False
+    table = np.full(256, OTHER, np.uint8)
+    table[_GAP] = SPACE
+    table[seen] = np.arange(2, 2 + seen.sum(), dtype=np.uint8)  # UTF-8 has fewer than 254 bytes
     return table
 
 
-_LETTERS: np.ndarray | None = None
-
-
-def codes(text: str, table: np.ndarray) -> np.ndarray:
-    """The text's codes, runs of spaces as one and none at the ends."""
-    c = table[np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")]
-    space = c == SPACE
-    keep = ~space
-    keep[1:] |= ~space[:-1]
-    c = c[keep]
-    return c[int(len(c) and c[0] == SPACE) : len(c) - int(len(c) > 1 and c[-1] == SPACE)]
-
-
 def suffix_automaton(s: list[int], alphabet: int) -> np.ndarray:
     """Rows of transitions, -1 where there is none; row 0 is the start. It accepts exactly the substrings of s."""
     moves: list[dict[int, int]] = [{}]
@@ -91,18 +95,24 @@ def suffix_automaton(s: list[int], alphabet: int) -> np.ndarray:
     return table
 
 
+def width_of(codes: int) -> int:
+    """A power of two that holds the codes."""
+    return 1 << max(1, (codes - 1).bit_length())
+
+
 def parse_table(automaton: np.ndarray) -> np.ndarray:
-    """For state * 64 + code: the next state * 64, plus 1 if a phrase starts with this character."""
-    states, width = automaton.shape
-    out = np.zeros((states, 64), np.int32)
-    start = np.where(automaton[0] >= 0, automaton[0], 0)  # a character never seen is a phrase by itself
-    out[:, :width] = np.where(automaton >= 0, automaton * 64, start * 64 + 1)
-    out[:, width:] = 1
-    out[0] |= 1  # nothing matched so far: the next character starts a phrase
+    """For state * width + code: the next state * width, plus 1 if a phrase starts with this byte. The width is that of the codes."""
+    states, codes = automaton.shape
+    width = width_of(codes)
+    out = np.zeros((states, width), np.int32)
+    start = np.where(automaton[0] >= 0, automaton[0], 0)  # a byte never seen is a phrase by itself
+    out[:, :codes] = np.where(automaton >= 0, automaton * width, start * width + 1)
+    out[:, codes:] = 1
+    out[0] |= 1  # nothing matched so far: the next byte starts a phrase
     return out.reshape(-1)
 
 
-def count_phrases(blocks: list[np.ndarray], tables: list[np.ndarray]) -> np.ndarray:
+def count_phrases(blocks: list[np.ndarray], tables: list[np.ndarray], width: int) -> np.ndarray:
     """Phrases of each block (rows) in each language (columns)."""
     lengths = np.array([len(b) for b in blocks], np.int64)
     order = np.argsort(-lengths, kind="stable")
@@ -116,7 +126,7 @@ def count_phrases(blocks: list[np.ndarray], tables: list[np.ndarray]) -> np.ndar
         state, phrases = np.zeros(len(blocks), np.int32), np.zeros(len(blocks), np.int32)
         for row, n in zip(grid, active.tolist(), strict=True):
             s = state[:n]
-            np.bitwise_and(s, -64, out=s)
+            np.bitwise_and(s, -width, out=s)
             s += row[:n]
             np.take(table, s, out=s, mode="clip")
             phrases[:n] += s & 1
@@ -124,59 +134,58 @@ def count_phrases(blocks: list[np.ndarray], tables: list[np.ndarray]) -> np.ndar
     return out
 
 
-def _sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train, rows: int) -> DataFrame:
-    """(lang, text) of at most ``rows`` labelled rows of each language, those with the smallest hash of their id."""
-    named = docs.where(train & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"))
-    # the rank limit is applied in every task before the shuffle; ids are few: rows for each language
-    chosen = named.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= rows).select("doc_id", "h")
-    return docs.where(train & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(chosen.distinct()), "doc_id")
+def _sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train: Column, rows: int, window: int) -> DataFrame:
+    """(lang, h, text): of at most ``rows`` labelled rows of each language a window of at most ``window`` characters, both chosen by a hash."""
+    named = docs.where(train & F.col(lang_col).isNotNull())
+    sizes = named.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n"))
+    found = named.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).cast("string").alias("text"))
+    # few rows of a language pass the first filter; those, hot ids among them, are ranked in every task before the shuffle
+    few = F.pmod("h", F.lit(1 << 30)) <= (4.0 * rows * (1 << 30)) / F.col("n")
+    found = found.where("text is not null").join(sizes, "lang").where(few).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= rows)
+    k = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.ceil(F.length("text") / window), F.lit(1))).cast("int")
+    return found.select("lang", "h", F.substring("text", k * window + 1, F.lit(window)).alias("text"))
 
 
-def train_model(docs: DataFrame, train=None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 200, chars: int = 30_000, letters: int = 64, row_chars: int = 2_000, max_langs: int = 100) -> Model:
-    """The sample is bounded: ``rows`` rows of a language, ``row_chars`` characters of each, ``chars`` characters of a language
-    after normalising, ``max_langs`` languages (about 16 MB of a worker's memory for each). The model is the normalised sample, so it is
-    at most ``chars * max_langs`` bytes in the driver and in the broadcast."""
+def train_model(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 200, window: int = 500, size: int = 30_000, total: int = 1_000_000) -> Model:
+    """The sample is bounded: of ``rows`` rows of a language a window of ``window`` characters each, ``size`` bytes of a language after
+    normalising, and ``total`` bytes of all (each language gets its share). So the model has at most ``total`` bytes in the driver and in
+    the broadcast; a worker's automata take 512 times as much for one alphabet, at most 2,048 times for many scripts."""
     train = F.lit(True) if train is None else train
-    sample = materialise(_sampled(docs, id_col, text_col, lang_col, train, rows).select("lang", F.substring("text", 1, row_chars).alias("text"), "h", "doc_id"), "sample")
-    if sample.select("lang").distinct().count() > max_langs:
-        raise ValueError(f"over {max_langs} languages")
-    counted = sample.select(F.explode(F.split(F.lower("text"), "")).alias("c")).where(F.col("c").rlike(r"^\p{L}$")).groupBy("c").count().orderBy(F.desc("count"), "c").limit(letters - 2)
-    own = sorted(ord(r["c"]) for r in counted.collect())
+    sample = materialise(_sampled(docs, id_col, text_col, lang_col, train, rows, window), "sample")
+    size = min(size, max(1, total // max(1, sample.select("lang").distinct().count())))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = code_table(own)
-        parts, n = [], 0
-        for text in pdf.sort_values(["h", "doc_id"])["text"]:
-            if n < chars and len(c := codes(text or "", table)):
-                parts += [c, np.array([SPACE], np.uint8)]
-                n += len(c) + 1
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "codes": [(np.concatenate(parts)[:chars] if parts else np.zeros(0, np.uint8)).tobytes()]})
+        parts = [normalised(x) for x in pdf.sort_values(["h", "text"])["text"]]
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "sample": [b" ".join([x for x in parts if x])[:size]]})
 
-    built = materialise(sample.groupBy("lang").applyInPandas(build, "lang string, codes binary"), "samples").where("octet_length(codes) > 0").orderBy("lang").collect()
-    return Model(own, [(r["lang"], bytes(r["codes"])) for r in built])
+    built = materialise(sample.groupBy("lang").applyInPandas(build, "lang string, sample binary"), "samples").where("octet_length(sample) > 0").orderBy("lang").collect()
+    return Model([(r["lang"], bytes(r["sample"])) for r in built])
 
 
-_READY: dict[str, tuple[np.ndarray, list[np.ndarray]]] = {}
+_READY: dict[str, tuple[np.ndarray, list[np.ndarray], int]] = {}
 
 
 def predictor(model: Model, key: str, block: int = 512):
     """A function from texts to (language, score) pairs; its automata are built once for each ``key`` in a worker."""
     if key not in _READY:
         _READY.clear()
-        _READY[key] = code_table(model.letters), [parse_table(suffix_automaton(list(text), 2 + len(model.letters))) for _, text in model.langs]
-    table, tables = _READY[key]
+        code = symbols(model)
+        codes = int(code.max()) + 1
+        tables = [parse_table(suffix_automaton(code[np.frombuffer(text, np.uint8)].tolist(), codes)) for _, text in model.langs]
+        _READY[key] = code, tables, width_of(codes)
+    code, tables, width = _READY[key]
     weights = np.array([np.log2(max(len(text), 2)) for _, text in model.langs])
 
     def predict(texts: list[str | None]) -> list[tuple[str, float]]:
         blocks, owner = [], []
         for i, t in enumerate(texts):
-            c = codes(t or "", table)
-            blocks += [c[k : k + block] for k in range(0, len(c), block)] if (c != SPACE).any() else []
+            c = code[np.frombuffer(normalised(t or ""), np.uint8)]
+            blocks += [c[k : k + block] for k in range(0, len(c), block)]
             owner += [i] * (len(blocks) - len(owner))
         if not blocks or not tables:
             return [("und", 0.0)] * len(texts)
         cost = np.zeros((len(texts), len(tables)))
-        np.add.at(cost, owner, count_phrases(blocks, tables) * weights)
+        np.add.at(cost, owner, count_phrases(blocks, tables, width) * weights)
         out = []
         for row in cost:
             best = int(row.argmin())
@@ -187,28 +196,24 @@ def predictor(model: Model, key: str, block: int = 512):
     return predict
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (its id alone unless given) with lang_pred and score. Only the text is read for a prediction."""
-    import uuid
-
+def predicted(docs: DataFrame, model: Model, text: Column) -> Column:
+    """A struct of lang_pred and score, predicted from ``text`` alone, for a row of ``docs``."""
     spark = docs.sparkSession
-    keep = [id_col] if keep is None else keep
-    sent, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex  # bounded: chars * max_langs
+    sent, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex  # bounded: train_model's ``total``
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predict = predictor(sent.value, key)
-        for b in batches:
-            found = predict(b.column(len(keep)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array([x[0] for x in found], pa.string()), pa.array([float(x[1]) for x in found], pa.float64())], [*names, "lang_pred", "score"])
+    def run(texts: pa.Array) -> pa.Array:
+        found = predictor(sent.value, key)(texts.to_pylist())
+        return pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([float(x[1]) for x in found], pa.float64())], ["lang_pred", "score"])
 
     small_batches(spark)
-    kinds = dict(docs.dtypes)
-    names = [f"k{i}" for i in range(len(keep))]
-    out = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(text_col).cast("string").alias("the_text"))
-    out = out.mapInArrow(run, ", ".join([*(f"{n} {kinds[c]}" for c, n in zip(keep, names, strict=True)), "lang_pred string, score double"]))
-    return out.toDF(*keep, "lang_pred", "score")
+    return computed(run, "lang_pred string, score double", text.cast("string"))
+
+
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The id of each row with lang_pred and score. Only the text is read for a prediction."""
+    return docs.select(F.col(id_col), predicted(docs, model, F.col(text_col)).alias("p")).select(id_col, "p.lang_pred", "p.score")
 
 
-def held_out(id_col: str = "doc_id"):
+def held_out(id_col: str = "doc_id") -> Column:
     """Rows that teach nothing: crc32 of the id as text leaves 2 on division by 4."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
