@@ -6,8 +6,9 @@ grown on two thirds of the labelled rows by FOIL gain, and its last conditions a
 is precise there, the rows it covers are set aside, and the next rule is grown. The list becomes one ordered Spark conditional
 expression: the first rule that holds rejects, and a row that no rule covers is kept.
 
-Candidate thresholds are quantiles of good rows and of bad ones. Labelled rows are reduced to cells (a bin for each statistic) with
-counts; each step of growing and pruning is an aggregate of the cells, of which the driver gets a count for each bin.
+Candidate thresholds lie in the middle between neighbours among the quantiles of good rows and of bad ones; of conditions with equal gain
+the one in the widest gap wins, so that a rule keeps its distance from both kinds. Labelled rows are reduced to cells (a bin for each
+statistic) with counts; each step of growing and pruning is an aggregate of the cells, of which the driver gets a count for each bin.
 
 A null text has no words. A row without a word, or with a null id, is treated like any other (so it fails the base rule). Several
 labels of an id are averaged, half counting as good; null labels don't count; without labels of both classes the list is empty.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from itertools import pairwise
 from math import log2
 
 from pyspark.sql import Column, DataFrame
@@ -104,19 +106,20 @@ def _all(conditions, form) -> Column:
     return reduce(lambda a, b: a & b, [form(c) for c in conditions], F.lit(True))
 
 
-def thresholds(rows: DataFrame, steps: int = 16) -> dict[str, list[float]]:
-    """Quantiles of each statistic, ends included, of good rows and of bad ones."""
+def thresholds(rows: DataFrame, steps: int = 16) -> dict[str, list[tuple[float, float]]]:
+    """(t, gap) of each statistic: the middle between neighbours among the quantiles, ends included, of good rows and of bad ones, and how
+    far they are apart, as a share of the whole range."""
     at = F.array(*[F.lit(i / steps) for i in range(steps + 1)])
     of = lambda s, rows: F.coalesce(F.percentile_approx(F.when(rows, F.col(f"s_{s}")), at, 1000), F.array().cast("array<double>"))
     found = rows.agg(*[F.array_union(of(s, F.col("good")), of(s, ~F.col("good"))).alias(s) for s in STATISTICS]).first()
-    return {s: sorted(found[s]) for s in STATISTICS}
+    return {s: [((a + b) / 2, (b - a) / (max(found[s]) - min(found[s]))) for a, b in pairwise(sorted({*found[s]}))] for s in STATISTICS}
 
 
 def learn_rules(rows: DataFrame, max_rules: int = 8, max_conditions: int = 4, precision: float = 0.95, least_share: float = 0.001) -> list[Rule]:
     """A decision list from rows with doc_id, the s_ columns and good (boolean). A taken rule covers at least ``least_share``
     of the bad rows and has ``precision`` on the pruning rows."""
     at = thresholds(rows)
-    bins = [reduce(lambda a, b: a + b, [(F.col(f"s_{s}") >= t).cast("int") for t in at[s]], F.lit(0)).cast("tinyint").alias(f"b_{s}") for s in STATISTICS]
+    bins = [reduce(lambda a, b: a + b, [(F.col(f"s_{s}") >= t).cast("int") for t, _ in at[s]], F.lit(0)).cast("tinyint").alias(f"b_{s}") for s in STATISTICS]
     split = (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) == 0).alias("prune")
     cells = rows.select(*bins, "good", split).groupBy(*[f"b_{s}" for s in STATISTICS], "good", "prune").agg(F.count("*").alias("n"))
     cells = materialise(cells, "cells").persist()
@@ -145,8 +148,9 @@ def learn_rules(rows: DataFrame, max_rules: int = 8, max_conditions: int = 4, pr
     return rules
 
 
-def _grown(cells: DataFrame, at: dict[str, list[float]], most: int, bad: Column, good: Column) -> Rule:
-    """Adds the condition of most FOIL gain until no good row is covered, nothing gains, or the rule has ``most`` conditions."""
+def _grown(cells: DataFrame, at: dict[str, list[tuple[float, float]]], most: int, bad: Column, good: Column) -> Rule:
+    """Adds the condition of most FOIL gain, of equals that in the widest gap, until no good row is covered, nothing gains, or the rule has
+    ``most`` conditions."""
     rule: Rule = ()
     while len(rule) < most:
         flat = cells.where(_all(rule, Condition.on_bins)).select("good", "n", F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.col(f"b_{s}").alias("b")) for s in STATISTICS])).alias("x"))
@@ -157,17 +161,20 @@ def _grown(cells: DataFrame, at: dict[str, list[float]], most: int, bad: Column,
         p0, n0 = (sum(x[i] for x in by["n_words"]) for i in (0, 1))
         if not p0 or not n0:
             break
-        best = (0.0, None)
+        best = (2e-9, 0.0, None)
         for s, edges in at.items():
             below = (0, 0)
-            for step, t in enumerate(edges):
+            for step, (t, gap) in enumerate(edges):
                 below = (below[0] + by[s][step][0], below[1] + by[s][step][1])
                 for above, (p, n) in ((False, below), (True, (p0 - below[0], n0 - below[1]))):
-                    if p and (gain := p * (log2(p / (p + n)) - log2(p0 / (p0 + n0)))) > best[0] + 1e-9:
-                        best = (gain, Condition(s, above, t, step))
-        if best[1] is None:
+                    if not p:
+                        continue
+                    gain = p * (log2(p / (p + n)) - log2(p0 / (p0 + n0)))
+                    if gain > best[0] + 1e-9 or (gain > best[0] - 1e-9 and gap > best[1]):
+                        best = (gain, gap, Condition(s, above, t, step))
+        if best[2] is None:
             break
-        rule += (best[1],)
+        rule += (best[2],)
     return rule
 
 
