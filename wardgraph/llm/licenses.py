@@ -1,22 +1,25 @@
 """License scans by conditional compression.
 
-A notice is found by its words in the whole text, wherever lines break: at a template's place it misses and adds at most
-``max_changed`` of its words. The search is exact: such a place holds one of ``changes + 1`` pieces of the template unchanged, and
-around each piece the least differences are computed. Each place is compressed alone and with its template as a zstandard
-raw-content dictionary; of places that overlap, the one whose dictionary saves most bytes stands. Its row gives the lines it lies on.
-
-Candidate blocks are lines with a word that license notices use, merged with the next where at most ``gap`` lines lie between.
-A block without a notice is ranked by the share of its compressed size that each dictionary saves, and has a null license, with the
-differences from the best template.
-
-A null or empty text has no blocks. Equal documents give equal rows. Templates are a parameter (name to text); ties go by name.
+Candidate blocks are the words around each word that notices use (HINT), as far to both sides as the longest template reaches, so a
+notice lies whole within a block wherever its lines break. A block is compressed alone and with each template as a zstandard
+raw-content dictionary, and templates are ranked by the bytes that they save. Those that save any are confirmed by exact wording
+differences: at a template's place in the block, at most ``max_changed`` of its words are missing or added. The search of the places is exact: such a
+place holds one of ``changes + 1`` pieces of the template unchanged, and around each piece the least differences are computed. Of
+confirmed places that overlap, the one whose dictionary saves most bytes of it stands, then the next, until none is left. Its row gives the lines it lies on.
+
+Lines with a hint, merged where at most ``gap`` lines lie between, of which no notice is confirmed have a row with a null license and the
+template that saves the largest share, with its differences.
+
+A null or empty text has no blocks. Equal documents give equal rows. Templates are a parameter (name to text); ties go by name. A template
+must have more hint words than words that may change, else it could be missed, and is refused.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -40,10 +43,13 @@ TEMPLATES = {
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MIT": "Released under the MIT License.",
     "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "LGPL-2.1-or-later-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
 }
 
-HINT = r"(?i)licen[sc]|copyright|redistribut|permission (?:is|to)|creative commons|\bcc by|\bspdx|public domain|warrant"
+HINT = r"(?i)licen[sc]|copyright|distribut|software|permission|creative commons|\bcc by|\bspdx|public domain|warrant|disclaim|unencumber|mozilla|\bmpl\b"
 _HINT = re.compile(HINT)
 _WORD = re.compile(r"[^\W_]+(?:[.\-'][^\W_]+)*")
 BLOCKS = "doc_id long, start long, length long, license string, best string, saved double, missing int, added int"
@@ -99,6 +105,10 @@ class Scanner:
         self.kept = kept
         self.seen: OrderedDict[tuple[str, str | None], tuple] = OrderedDict()
         self.changes = {name: min(int(max_changed * len(t)), len(t) - 1) for name, t in self.templates.items()}
+        self.reach = max((len(t) + self.changes[name] for name, t in self.templates.items()), default=0)
+        for name in self.templates:
+            if len(_HINT.findall(templates[name])) <= self.changes[name]:
+                raise ValueError(f"{name} has too few words that notices use")
         self.pieces: dict[str, list[tuple[list[str], str, int]]] = {}
         for name, t in self.templates.items():
             n = self.changes[name] + 1
@@ -124,13 +134,31 @@ class Scanner:
         share, name = min(((self._saving(block, name)[1], name) for name in self.given), key=lambda x: (-x[0], x[1]))
         return None, name, share, *differences(self.templates[name], words(block))
 
-    def places(self, own: list[str]) -> list[tuple[str, int, int, int, int]]:
-        """(template, first word, end, missing, added): of each template the closest places that don't overlap one another."""
+    def regions(self, text: str, at: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """(first word, end) of candidate blocks: words around hints, merged where they meet. ``at``: the words' places in the text."""
+        found: list[list[int]] = []
+        starts = [s for s, _ in at]
+        for m in _HINT.finditer(text):
+            k = bisect_right(starts, m.start()) - 1
+            lo, hi = max(0, k - self.reach), min(len(at), k + self.reach + 1)
+            if found and lo <= found[-1][1]:
+                found[-1][1] = hi
+            else:
+                found.append([lo, hi])
+        return [(lo, hi) for lo, hi in found]
+
+    def ranked(self, block: str, _) -> tuple[str, ...]:
+        """Templates that save bytes of a block, most first."""
+        saved = sorted((-self._saving(block, name)[0], name) for name in self.templates)
+        return tuple(name for less, name in saved if less < 0)
+
+    def places(self, own: list[str], allowed: Collection[str]) -> list[tuple[str, int, int, int, int]]:
+        """(template, first word, end, missing, added): of each allowed template the closest places that don't overlap one another."""
         near: dict[str, set[tuple[int, int]]] = {}
         exact: dict[str, set[tuple[int, int, int]]] = {}
         for at, word in enumerate(own):
             for piece, name, offset in self.pieces.get(word, ()):
-                if own[at : at + len(piece)] == piece:
+                if name in allowed and own[at : at + len(piece)] == piece:
                     start, slack = at - offset, self.changes[name]
                     end = start + len(self.templates[name])
                     if start >= 0 and own[start:end] == self.templates[name]:
@@ -152,7 +180,11 @@ class Scanner:
     def notices(self, text: str) -> list[tuple]:
         """(first character, end, template, missing, added) of each notice of the text."""
         at = [m.span() for m in _WORD.finditer(text)]
-        found = [(at[s][0], at[e - 1][1], name, missing, added) for name, s, e, missing, added in self.places([text[s:e].lower() for s, e in at])]
+        found = []
+        for lo, hi in self.regions(text, at):
+            allowed = self._kept(text[at[lo][0] : at[hi - 1][1]], "ranked", self.ranked)
+            places = self.places([text[s:e].lower() for s, e in at[lo:hi]], allowed)
+            found += [(at[lo + s][0], at[lo + e - 1][1], name, missing, added) for name, s, e, missing, added in places]
         order = lambda x: (-self._kept(text[x[0] : x[1]], x[2], self._saving)[0], x[3] + x[4], x[2], x[0])
         taken: list[tuple] = []
         for x in sorted(found, key=order):
