@@ -6,8 +6,9 @@ The commit file is written under another name and renamed without overwriting, s
 job that dies leaves the last version as it was.
 
 ``append`` writes arrivals as small shards without a shuffle. ``compact`` puts shards below the target size into tiers (a tier's
-shards are at most ``growth`` times apart), and a tier of at least ``fan_in`` shards is dealt into runs of at most the target size; each
-run becomes one file. Passes repeat until no tier has enough shards. Rows are kept whole, in no particular order; repeated rows stay repeated.
+shards are at most ``growth`` times apart), and a tier of at least ``fan_in`` shards is dealt into runs of about the target size. Runs are
+numbered, and each has a task of its own, which writes one file; so no task holds more than a run. Passes repeat until no tier has enough
+shards. Rows are kept whole, in no particular order; repeated rows stay repeated.
 An empty append commits a version without new shards; nulls and any column names are stored as they are.
 """
 
@@ -17,7 +18,7 @@ import json
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,31 +78,28 @@ class ShardStore:
             return self.spark.createDataFrame([], ENTRIES)
         return found.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")).agg(F.count("*").alias("rows")).where("rows > 0").select("path", "rows", "bytes")
 
-    def append(self, df: DataFrame, arrival: Column | None = None) -> int:
-        """Commits the rows of ``df`` as new shards: one or more for each task, apart for each value of ``arrival``."""
+    def append(self, df: DataFrame) -> int:
+        """Commits the rows of ``df`` as new shards, one or more for each task."""
         versions = self.versions()
         parent = versions[-1] if versions else 0
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        if arrival is None:
-            df.write.option("compression", "zstd").parquet(folder)
-        else:
-            name = f"arrival_{uuid.uuid4().hex[:8]}"
-            df.withColumn(name, arrival).write.option("compression", "zstd").partitionBy(name).parquet(folder)
+        df.write.option("compression", "zstd").parquet(folder)
         entries = self._written(folder)
         return self._commit(self.manifest(parent).union(entries) if parent else entries, df.schema, parent)
 
     def plan(self, entries: DataFrame, target_bytes: int, fan_in: int, growth: float, stripe: int = 50_000) -> DataFrame:
-        """(path, run, bytes): shards to be merged, by run. A tier's list is cut into stripes of about ``stripe`` shards."""
+        """(path, run, bytes): shards to be merged, by run, numbered from 0. A tier's list is cut into stripes of about ``stripe`` shards."""
         small = entries.where(F.col("bytes") < target_bytes).withColumn("tier", F.floor(F.log(F.greatest("bytes", F.lit(1))) / F.log(F.lit(float(growth)))))
         sizes = small.groupBy("tier").agg(F.count("*").alias("n")).where(F.col("n") >= fan_in)
         dealt = small.join(sizes, "tier").withColumn("stripe", F.pmod(F.xxhash64("path"), F.ceil(F.col("n") / stripe)))
         before = Window.partitionBy("tier", "stripe").orderBy("bytes", "path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         # a run closes with the shard that would pass the target, so it holds at most the target and that shard
         runs = dealt.withColumn("k", F.floor((F.sum("bytes").over(before) - 1) / target_bytes)).select("path", "bytes", F.concat_ws("-", "tier", "stripe", "k").alias("run"))
-        several = runs.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run")
-        return runs.join(several, "run").select("path", "run", "bytes")
+        # a row for each file to be written
+        several = runs.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run", (F.row_number().over(Window.orderBy("run")) - 1).alias("number"))
+        return runs.join(several, "run").select("path", F.col("number").alias("run"), "bytes")
 
-    def compact(self, target_bytes: int = 128 << 20, fan_in: int = 4, growth: float = 4.0, max_passes: int = 8) -> int:
+    def compact(self, target_bytes: int = 64 << 20, fan_in: int = 4, growth: float = 4.0, max_passes: int = 8) -> int:
         """Merges until no tier of shards below the target has ``fan_in`` members; commits each pass. Returns the version."""
         version = self.versions()[-1]
         for _ in range(max_passes):
@@ -118,7 +116,7 @@ class ShardStore:
                 rows = self.spark.read.schema(schema).parquet(*paths).withColumn(name, F.col("_metadata.file_path"))
                 rows = rows.join(plan.select(F.col("path").alias(name), F.col("run").alias(run)), name).drop(name)
                 folder = f"{self.root}/data/{uuid.uuid4().hex}"
-                rows.repartition(runs, run).write.option("compression", "zstd").partitionBy(run).parquet(folder)
+                rows.repartitionById(runs, F.col(run).cast("int")).drop(run).write.option("compression", "zstd").parquet(folder)
                 kept = entries.join(plan.select("path"), "path", "left_anti").select("path", "rows", "bytes")
                 version = self._commit(kept.union(self._written(folder)), schema, version)
             finally:
