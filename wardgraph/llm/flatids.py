@@ -3,18 +3,22 @@
 A store is a folder of parts. A part has three files: ``.ids`` (unsigned 16-bit or 32-bit little-endian ids, by the size of
 the vocabulary), ``.off`` (64-bit offsets of the documents in it, one more than there are documents) and ``.doc`` (64-bit
 document ids). Documents ascend by id within a part and from part to part. A part's base, the number of ids in all parts
-before it, is the prefix sum of the parts' lengths. Readers map a part's files into memory where the store is local.
+before it, is the prefix sum of the parts' lengths. Readers map a part's ids into memory where the store is local, and elsewhere
+read them by ranges of documents.
 
 Rows with a null id come first and are read back with a null id; a null text is empty, so it has the end id only; rows with
-equal ids are all kept, ordered by text.
+equal ids are all kept, in no particular order, over as many parts as they need.
+Executors open the folder with pyarrow (file, hdfs, s3 or s3a, gs, abfs).
 A task writes under a name of its own and renames when complete, so a task that runs twice leaves one part in the manifest.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +30,11 @@ from .common import materialise, scratch, small_batches, texts
 from .wordcache import WordCachedEncoder
 
 NULL_ID = -(1 << 63)
-MANIFEST = "first_id long, name string, width int, docs long, tokens long"
+MANIFEST = "first_id long, last_id long, name string, width int, docs long, tokens long"
+
+
+def opened(folder: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", folder))
 
 
 def write_flat(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -36,8 +44,8 @@ def write_flat(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int =
         encoder = WordCachedEncoder.of(tokenizer_path)
         width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         end = np.array([end_id], "<u4").tobytes()
-        ids, lengths, stream, name = [], [], None, ""
-        where, root = fs.FileSystem.from_uri(folder)
+        ids, ends, stream, name = array("q"), array("q", [0]), None, ""
+        where, root = opened(folder)
         for b in batches:
             if b.num_rows and stream is None:
                 name = uuid.uuid4().hex
@@ -47,46 +55,48 @@ def write_flat(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int =
                 own = encoder.encode(text or "") + end
                 stream.write(own if width == 4 else np.frombuffer(own, "<u4").astype("<u2").tobytes())
                 ids.append(NULL_ID if doc is None else doc)
-                lengths.append(len(own) // 4)
+                ends.append(ends[-1] + len(own) // 4)
         if stream is None:
             return
         stream.close()
-        for kind, values in (("off", np.cumsum([0, *lengths], dtype="<i8")), ("doc", np.array(ids, "<i8"))):
+        for kind, values in (("off", np.array(ends, "<i8")), ("doc", np.array(ids, "<i8"))):
             with where.open_output_stream(f"{root}/_{name}.{kind}") as out:
                 out.write(values.tobytes())
         for kind in ("off", "doc", "ids"):
             where.move(f"{root}/_{name}.{kind}", f"{root}/{name}.{kind}")
-        yield pa.RecordBatch.from_pylist([{"first_id": ids[0], "name": name, "width": width, "docs": len(ids), "tokens": sum(lengths)}], pa.schema([("first_id", pa.int64()), ("name", pa.string()), ("width", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64())]))
+        kinds = pa.schema([("first_id", pa.int64()), ("last_id", pa.int64()), ("name", pa.string()), ("width", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64())])
+        yield pa.RecordBatch.from_pylist([{"first_id": ids[0], "last_id": ids[-1], "name": name, "width": width, "docs": len(ids), "tokens": ends[-1]}], kinds)
 
     small_batches(docs.sparkSession)
-    ranged = texts(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # of one id, rows are dealt out by what is else known of them, copies by their place in the input
+    rows = texts(docs, id_col, text_col).withColumns({"h": F.xxhash64("text"), "at": F.monotonically_increasing_id()})
+    ranged = rows.repartitionByRange("doc_id", "h", "at").sortWithinPartitions("doc_id").select("doc_id", "text")
     parts = materialise(ranged.mapInArrow(run, MANIFEST), "manifest")
-    before = Window.orderBy("first_id").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part, not for each document
+    before = Window.orderBy("first_id", "last_id", "name").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part, not for each document
     return parts.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
 
-def mapped(where: fs.FileSystem, path: str, kind: str, count: int) -> np.ndarray:
-    """A file's integers, mapped into memory if the file system is local."""
-    if not count:
-        return np.zeros(0, kind)
+def ranges(where: fs.FileSystem, path: str, kind: str) -> Callable[[int, int], np.ndarray]:
+    """A function that gives a file's integers from one place to another: of a map into memory if the file system is local, else read at its place."""
     if isinstance(where, fs.LocalFileSystem):
-        return np.memmap(path, dtype=kind, mode="r")
-    with where.open_input_file(path) as f:
-        return np.frombuffer(f.read(), kind)
+        whole = np.memmap(path, dtype=kind, mode="r")
+        return lambda start, end: whole[start:end]
+    file, size = where.open_input_file(path), np.dtype(kind).itemsize
+    return lambda start, end: np.frombuffer(file.read_at((end - start) * size, start * size), kind)
 
 
 def read_flat(manifest: DataFrame, folder: str, batch: int = 1024) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 (of the ids as unsigned 32-bit integers) of each document, from the files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, root = fs.FileSystem.from_uri(folder)
+        where, root = opened(folder)
         for part in (x for b in batches for x in b.to_pylist()):
             at = f"{root}/{part['name']}"
-            offsets, docs = mapped(where, f"{at}.off", "<i8", part["docs"] + 1), mapped(where, f"{at}.doc", "<i8", part["docs"])
-            ids = mapped(where, f"{at}.ids", f"<u{part['width']}", part["tokens"])
+            offsets, docs, ids = ranges(where, f"{at}.off", "<i8"), ranges(where, f"{at}.doc", "<i8"), ranges(where, f"{at}.ids", f"<u{part['width']}")
             for k in range(0, part["docs"], batch):
-                edges, own = np.asarray(offsets[k : k + batch + 1]), np.asarray(docs[k : k + batch])
-                sums = [zlib.crc32(ids[s:e].astype("<u4").tobytes()) for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+                end = min(k + batch, part["docs"])
+                edges, own = np.asarray(offsets(k, end + 1)), np.asarray(docs(k, end))
+                sums = [zlib.crc32(ids(s, e).astype("<u4").tobytes()) for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64(), mask=own == NULL_ID), pa.array(edges[:-1] + part["base"]), pa.array(np.diff(edges)), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return manifest.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
