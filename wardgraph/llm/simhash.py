@@ -6,7 +6,9 @@ set where more than half of the hashes have it. A null, empty or blank text has
 Fingerprints link at ``max_bits`` or fewer differing bits; a component is what links reach.
 
 Search: the 64 bits are split into ``blocks`` blocks. Two fingerprints that differ in at most ``max_bits`` bits agree on at
-least ``blocks - max_bits`` whole blocks, so they meet under one of the keys made of that many blocks. Only distinct
+least ``blocks - max_bits`` whole blocks, so they meet under one of the keys made of that many blocks. More blocks give more keys for each
+fingerprint and fewer chance meetings under a key; ``fewest_comparisons`` weighs them by the number of fingerprints (6 blocks up to some
+millions, then 7, and 8 from about 200 million). Any number finds the same links. Only distinct
 fingerprints are searched, so copies cost nothing. A bucket is dealt out in pieces of about ``piece`` fingerprints, one task
 row for each two pieces, and each emits no more than a spanning forest of its links: no link between components is lost and no
 group's pairs are written out.
@@ -17,14 +19,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, texts
+from .common import computed, materialise, small_batches, texts, unused
 from .components import connected_components
 
 
@@ -48,16 +51,21 @@ def fingerprint(text: bytes | None, shingle: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(values), bitorder="little").tobytes(), "little")
 
 
+def _fp(text: Column, shingle: int) -> Column:
+    """The fingerprint of a text column as a signed long."""
+    return computed(lambda texts: pa.array(np.array([fingerprint(x, shingle) for x in texts.cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)), "long", text.cast("string"))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long."""
+    small_batches(docs.sparkSession)
+    return texts(docs, id_col, text_col).select("doc_id", _fp(F.col("text"), shingle).alias("fp"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            values = [fingerprint(x, shingle) for x in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(values, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
-    small_batches(docs.sparkSession)
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+def fewest_comparisons(n: int, max_bits: int, most: int = 12) -> int:
+    """The number of blocks of least work for n random fingerprints: a key costs as much as 64 comparisons."""
+    work = lambda blocks: comb(blocks, max_bits) * (64 + n / 2 ** (64 * (blocks - max_bits) // blocks))
+    return min(range(max_bits + 2, max(max_bits + 3, most + 1)), key=work)
 
 
 def block_masks(blocks: int, max_bits: int) -> list[int]:
@@ -81,8 +89,9 @@ def spanning_links(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     return links
 
 
-def links(fps: DataFrame, max_bits: int = 4, blocks: int = 6, piece: int = 512) -> DataFrame:
+def links(fps: DataFrame, max_bits: int = 4, blocks: int | None = None, piece: int = 512) -> DataFrame:
     """(a, b): links between distinct fingerprints of ``fps`` (fp) that connect the same components as all links do."""
+    blocks = blocks or fewest_comparisons(fps.count(), max_bits)
     masks = F.array(*[F.lit(m) for m in block_masks(blocks, max_bits)])
     keyed = fps.select("fp", F.posexplode(masks).alias("k", "mask")).select(F.col("k").cast("short").alias("k"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
     sizes = materialise(keyed.groupBy("k", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "buckets")
@@ -104,15 +113,35 @@ def links(fps: DataFrame, max_bits: int = 4, blocks: int = 6, piece: int = 512)
     return pairs.union(dealt.select("fps").mapInArrow(run, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, blocks: int = 6) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, fingerprint (16 lowercase hex digits), component_id (smallest id reachable).
-
-    An empty table gives an empty result; equal ids give equal rows as often as they occur.
-    """
-    found = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+def _classes(found: DataFrame, max_bits: int, blocks: int | None) -> DataFrame:
+    """(fp, component_id) of each fingerprint of ``found`` (doc_id, fp): the smallest id that it reaches."""
     distinct = materialise(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = materialise(connected_components(links(distinct.select("fp"), max_bits, blocks)), "roots")
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.select("fp", "root").join(lowest, "root").select("fp", "component_id")
+    return rooted.select("fp", "root").join(lowest, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, blocks: int | None = None) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, fingerprint (16 lowercase hex digits), component_id (smallest id reachable).
+
+    An empty table gives an empty result; equal ids give equal rows as often as they occur. Null ids are reached like others but are
+    no component's id, unless it has no other.
+    """
+    found = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    classes = _classes(found, max_bits, blocks)
     return found.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, blocks: int | None = None) -> DataFrame:
+    """Exactly one row of each component, with all its columns: the one with the smallest id (null last), of several such the one with the
+    least hash of its text, of copies any one."""
+    small_batches(docs.sparkSession)
+    fp, row = unused(docs, "fp"), unused(docs, "row")
+    table = materialise(docs.select("*", _fp(F.col(text_col), shingle).alias(fp), F.monotonically_increasing_id().alias(row)), "fingerprints")
+    narrow = table.select(F.col(id_col).cast("long").alias("doc_id"), F.col(fp).alias("fp"), F.xxhash64(text_col).alias("h"), F.col(row).alias("row"))
+    classes = _classes(narrow.select("doc_id", "fp"), max_bits, blocks)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "row"))
+    best = narrow.groupBy("fp").agg(first.alias("x")).join(classes, "fp").groupBy("root").agg(F.min("x").alias("x"))
+    kept = materialise(best.select(F.col("x.row").alias("kept_row")), "kept")
+    return table.join(kept, table[row] == kept["kept_row"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
