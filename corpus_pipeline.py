@@ -10,29 +10,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardgraph.llm import cotrain, langid, packing, simhash
-from wardgraph.llm.common import documents, materialise
+from wardgraph.llm.common import documents, materialise, unused
 from wardgraph.llm.queries import BYTE_BPE
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the labelled rows and drops documents without a language: null texts and texts without a letter."""
+    """Learns from the labelled rows, drops documents without a language (null texts and texts without a letter), and puts the predicted
+    language of the others into ``lang``, where the next stage reads it."""
     model = langid.train_model(docs)
-    found = langid.identify(docs, model, keep=docs.columns, text_col="text")
-    return found.where(F.col("lang_pred") != "und").select(*docs.columns)
+    found = unused(docs, "found")
+    rows = docs.withColumn(found, langid.predicted(docs, model, F.col("text")))
+    rows = rows.where(F.col(found)["lang_pred"] != "und").withColumn("lang", F.col(found)["lang_pred"])
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the co-trained classifier rejects. Ids without a score can't occur; a null id keeps its row."""
-    scored = cotrain.score_documents(docs, documents(spark, sf_dir, "labels"))
-    rejected = scored.where(~F.col("kept")).select(F.col("doc_id").alias("rejected_id")).distinct()
-    return docs.join(rejected, docs["doc_id"] == F.col("rejected_id"), "left_anti").select(*docs.columns)
+    """Drops rows that the co-trained classifier rejects, each by its own content and metadata."""
+    scored = cotrain.score_documents(docs, documents(spark, sf_dir, "labels"), keep=docs.columns)
+    return scored.where("kept").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component; of rows with that id, all."""
-    classes = simhash.near_duplicates(docs)
-    dropped = classes.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(dropped, docs["doc_id"] == F.col("dropped_id"), "left_anti").select(*docs.columns)
+    """Keeps one row of each component, that with the smallest id."""
+    return simhash.drop_near_duplicates(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
