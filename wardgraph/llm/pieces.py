@@ -92,8 +92,9 @@ class Transducer:
         self.lexicon = {t[:k]: -1 for t in self.ids for k in range(1, len(t))} | self.ids  # -1: only a prefix of pieces
         self.penalty = 10 - min((self.scores[i] for i in self.ids.values()), default=0.0)
         mixed = [t for t in self.ids if re.search(f"[^{MARK}]{MARK}", t)]
-        breaks = "" if any("\n" in t and t.strip("\n") for t in self.ids) else "\n"
-        self.cut = None if mixed else re.compile(f"{MARK}*[^{MARK}{breaks}]+|{MARK}+" + f"|{breaks}+" * bool(breaks))
+        spelled = lambda c: bool(self.bytes) or c in self.ids  # noqa: E731  else it may be one unknown with its neighbours
+        breaks = "" if any("\n" in t and t.strip("\n") for t in self.ids) or not spelled("\n") else "\n"
+        self.cut = None if mixed or not spelled(MARK) else re.compile(f"{MARK}*[^{MARK}{breaks}]+|{MARK}+" + f"|{breaks}+" * bool(breaks))
         self.simple = self.cut is not None and bool(breaks)
         self.width = "<u2" if len(self.text) <= 1 << 16 else "<u4"
         self.most_pairs, self.most_words = pairs, words
