@@ -136,12 +136,13 @@ def count_phrases(blocks: list[np.ndarray], tables: list[np.ndarray], width: int
 
 def _sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train: Column, rows: int, window: int) -> DataFrame:
     """(lang, h, text): of at most ``rows`` labelled rows of each language a window of at most ``window`` characters, both chosen by a hash."""
+    lang = F.col(lang_col).cast("string").alias("lang")
     named = docs.where(train & F.col(lang_col).isNotNull())
-    sizes = named.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n"))
-    found = named.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).cast("string").alias("text"))
-    # few rows of a language pass the first filter; those, hot ids among them, are ranked in every task before the shuffle
-    few = F.pmod("h", F.lit(1 << 30)) <= (4.0 * rows * (1 << 30)) / F.col("n")
-    found = found.where("text is not null").join(sizes, "lang").where(few).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= rows)
+    # of the 10,000 largest languages few rows pass a first filter; those, hot ids among them, are ranked in every task before the shuffle
+    sizes = named.groupBy(lang).agg(F.count("*").alias("n")).where(F.col("n") > 4 * rows).orderBy(F.desc("n"), "lang").limit(10_000)
+    found = named.select(lang, F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    few = F.pmod("h", F.lit(1 << 30)) <= (4.0 * rows * (1 << 30)) / F.coalesce("n", F.lit(1))
+    found = found.join(F.broadcast(sizes), "lang", "left").where(few).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= rows)
     k = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.ceil(F.length("text") / window), F.lit(1))).cast("int")
     return found.select("lang", "h", F.substring("text", k * window + 1, F.lit(window)).alias("text"))
 
