@@ -34,6 +34,7 @@ from .wordcache import uneven
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 MARK = "▁"
+_NO_PIECE: tuple[int, dict] = (-1, {})
 
 
 def wire(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -62,7 +63,7 @@ def wire(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class Transducer:
     """``pairs`` and ``words`` bound what is remembered."""
 
-    def __init__(self, model: bytes, pairs: int = 400_000, words: int = 400_000):
+    def __init__(self, model: bytes, pairs: int = 400_000, words: int = 800_000):
         fields = list(wire(model))
         trainer = dict(wire(next((v for k, v in fields if k == 2), b"")))
         normaliser = dict(wire(next((v for k, v in fields if k == 3), b"")))
@@ -89,7 +90,12 @@ class Transducer:
                 self.out[i] = " ⁇ ".encode()
             elif kind != CONTROL:
                 raise ValueError("user-defined and unused pieces are not supported")
-        self.lexicon = {t[:k]: -1 for t in self.ids for k in range(1, len(t))} | self.ids  # -1: only a prefix of pieces
+        self.lexicon: dict[str, tuple] = {}  # by character: the id of the piece so far, or -1, and how pieces go on
+        for t, i in sorted(self.ids.items()):  # prefixes first
+            kids = self.lexicon
+            for c in t[:-1]:
+                kids = kids.setdefault(c, (-1, {}))[1]
+            kids[t[-1]] = (i, {})
         self.penalty = 10 - min((self.scores[i] for i in self.ids.values()), default=0.0)
         mixed = [t for t in self.ids if re.search(f"[^{MARK}]{MARK}", t)]
         spelled = lambda c: bool(self.bytes) or c in self.ids  # noqa: E731  else it may be one unknown with its neighbours
@@ -132,37 +138,9 @@ class Transducer:
 
     def path(self, s: str) -> list[int]:
         """Ids of the least path over a normalised string."""
-        n, size, lexicon, pairs = len(s), len(self.text), self.lexicon, self.pairs
-        bpe = self.kind == BPE
-        least: list[float] = [0.0] + [math.inf] * n
-        start, last = [0] * (n + 1), [-1] * (n + 1)  # of the least path's last arc: where it starts; its id, or size + code point of a character without a piece
-        for i in range(n):
-            so_far, before = least[i], (last[i] + 1) << 24
-            if so_far == math.inf:
-                continue
-            for j in range(i + 1, n + 1):
-                k = lexicon.get(s[i:j])
-                if k is None or k < 0:
-                    if j == i + 1:
-                        k = size + ord(s[i])
-                    elif k is None:  # no piece goes on like this
-                        break
-                    else:
-                        continue
-                if bpe:
-                    # only one path over each prefix has a finite weight
-                    if least[j] < math.inf:
-                        continue
-                    follows = pairs.get(before | k)
-                    if follows is None:
-                        follows = self._follows(last[i], k)
-                    if not follows:
-                        continue
-                    weight = so_far
-                else:
-                    weight = so_far + (-self.scores[k] if k < size else self.penalty)
-                if weight < least[j]:
-                    least[j], start[j], last[j] = weight, i, k
+        n, size = len(s), len(self.text)
+        # of the least path to a place its last arc: where it starts; its id, or size + code point of a character without a piece
+        start, last = self._arcs(s) if self.kind == BPE else self._weighted_arcs(s)
         out: list[int] = []
         j = n
         while j:
@@ -176,6 +154,52 @@ class Transducer:
             j = start[j]
         return out[::-1]
 
+    def _weighted_arcs(self, s: str) -> tuple[list[int], list[int]]:
+        n, size, root = len(s), len(self.text), self.lexicon
+        least = [0.0] + [math.inf] * n
+        start, last = [0] * (n + 1), [-1] * (n + 1)
+        for i in range(n):
+            so_far, kids, j = least[i], root, i
+            for c in s[i:]:
+                j += 1
+                k, kids = kids.get(c, _NO_PIECE)
+                if k >= 0:
+                    weight = so_far - self.scores[k]
+                elif j == i + 1:
+                    k, weight = size + ord(c), so_far + self.penalty
+                else:
+                    weight = math.inf
+                if weight < least[j]:
+                    least[j], start[j], last[j] = weight, i, k
+                if not kids:  # no piece goes on like this
+                    break
+        return start, last
+
+    def _arcs(self, s: str) -> tuple[list[int], list[int]]:
+        """Where weights are nothing or infinite, only one path over each prefix is finite: the first that is found is the least."""
+        n, size, root, pairs = len(s), len(self.text), self.lexicon, self.pairs
+        start, last, reached = [0] * (n + 1), [-1] * (n + 1), [True] + [False] * n
+        for i in range(n):
+            if reached[n]:
+                break
+            if not reached[i]:
+                continue
+            before, kids, j = (last[i] + 1) << 24, root, i
+            for c in s[i:]:
+                j += 1
+                k, kids = kids.get(c, _NO_PIECE)
+                if k < 0 and j == i + 1:
+                    k = size + ord(c)
+                if k >= 0 and not reached[j]:
+                    follows = pairs.get(before | k)
+                    if follows is None:
+                        follows = self._follows(last[i], k)
+                    if follows:
+                        reached[j], start[j], last[j] = True, i, k
+                if not kids:
+                    break
+        return start, last
+
     def _follows(self, a: int, b: int) -> bool:
         spelled = ["" if k < 0 else self.text[k] if k < len(self.text) else chr(k - len(self.text)) for k in (a, b)]
         if len(self.pairs) >= self.most_pairs:
@@ -198,9 +222,7 @@ class Transducer:
             ids = words.get(w)
             if ids is None:
                 ids = self._spell(["\n", w[1:]] if w[0] == "\n" else [MARK + w])
-                if len(w) <= 48:
-                    if len(words) >= self.most_words:
-                        words.clear()
+                if len(w) <= 48 and len(words) < self.most_words:  # frequent words come early
                     words[w] = ids
             out.append(ids)
         return b"".join(out)
