@@ -144,4 +144,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "row"))
     best = narrow.groupBy("fp").agg(first.alias("x")).join(classes, "fp").groupBy("root").agg(F.min("x").alias("x"))
     kept = materialise(best.select(F.col("x.row").alias("kept_row")), "kept")
-    return table.join(kept, table[row] == kept["kept_row"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # rows are shuffled once, at any size of the table: what is kept grows with it, so it is no side to broadcast
+    return table.join(kept.hint("merge"), table[row] == kept["kept_row"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
