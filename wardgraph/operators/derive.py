@@ -62,7 +62,7 @@ def domain_controllers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def unconstrained_delegation(hosts: DataFrame, controllers: DataFrame, edges: DataFrame) -> DataFrame:
     """(src, dst, edge_type): AllowedToDelegate of each host (id) trusted for it to each domain controller (id); neither to itself nor again."""
-    pairs = hosts.select(F.col("id").alias("src")).join(F.broadcast(controllers.select(F.col("id").alias("dst"))), F.expr("src <> dst"))
+    pairs = hosts.select(F.col("id").alias("src")).join(controllers.select(F.col("id").alias("dst")), F.expr("src <> dst"))
     return pairs.withColumn("edge_type", F.lit("AllowedToDelegate")).join(edges, ["src", "dst", "edge_type"], "left_anti")
 
 

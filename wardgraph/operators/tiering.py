@@ -69,6 +69,6 @@ def resolve(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     keys = nodes.select("object_id", F.explode(F.array_distinct(F.array(F.struct(F.lit(1).alias("stage"), F.upper("object_id").alias("q")), F.struct(F.lit(2).alias("stage"), full.alias("q")), F.struct(F.lit(2).alias("stage"), shown.alias("q"))))).alias("k")).select("object_id", "k.*")
     exact = q.join(keys, "q").select("query", "object_id", "stage")
     rest = q.join(exact.select("query").distinct(), "query", "left_anti")
-    part = nodes.join(F.broadcast(rest.limit(1000)), full.contains(F.col("q"))).select("query", "object_id", F.lit(3).alias("stage"))  # a user's names: a thousand at most
+    part = nodes.join(rest, full.contains(F.col("q"))).select("query", "object_id", F.lit(3).alias("stage"))  # each name that fits none is looked for in all: as many as a user asks
     best = exact.groupBy("query").agg(F.min("stage").alias("stage"))
     return exact.join(best, ["query", "stage"]).select("query", "object_id", "stage").union(part).distinct()

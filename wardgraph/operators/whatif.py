@@ -103,15 +103,14 @@ def resolve_changes(changes: DataFrame, nodes: DataFrame) -> DataFrame:
 def apply_changes(edges: DataFrame, changes: DataFrame) -> DataFrame:
     """``edges`` (src, dst, edge_type) after all ``changes`` (resolved): removed edges go, with * all kinds but structure between the two;
     a deleted object loses all edges; a moved object leaves its containers; added edges come once."""
-    small = F.broadcast  # a change file has a few thousand lines at most
     rows = edges.select("src", "dst", "edge_type")
-    rows = rows.join(small(changes.where("op = 'remove' and edge_type <> '*'").select("src", "dst", "edge_type")), ["src", "dst", "edge_type"], "left_anti")
-    every = changes.where("op = 'remove' and edge_type = '*'").select(F.col("src").alias("s"), F.col("dst").alias("d"))
-    rows = rows.join(small(every), (F.col("src") == F.col("s")) & (F.col("dst") == F.col("d")) & ~F.col("edge_type").isin(registry.PLAIN_STRUCTURE), "left_anti")
+    rows = rows.join(changes.where("op = 'remove' and edge_type <> '*'").select("src", "dst", "edge_type"), ["src", "dst", "edge_type"], "left_anti")
+    every = changes.where("op = 'remove' and edge_type = '*'").select("src", "dst", F.lit(True).alias("every")).distinct()
+    rows = rows.join(every, ["src", "dst"], "left").where(F.col("every").isNull() | F.col("edge_type").isin(registry.PLAIN_STRUCTURE)).select("src", "dst", "edge_type")
     gone = changes.where("op = 'delete'").select(F.col("src").alias("x"))
-    rows = rows.join(small(gone), (F.col("src") == F.col("x")) | (F.col("dst") == F.col("x")), "left_anti")
+    rows = rows.join(gone, F.col("src") == F.col("x"), "left_anti").join(gone, F.col("dst") == F.col("x"), "left_anti")
     moved = changes.where("op = 'move'").select(F.col("src").alias("x"))
-    rows = rows.join(small(moved), (F.col("dst") == F.col("x")) & (F.col("edge_type") == "Contains"), "left_anti")
+    rows = rows.join(moved, (F.col("dst") == F.col("x")) & (F.col("edge_type") == "Contains"), "left_anti")
     new = changes.where("op = 'add'").select("src", "dst", "edge_type").union(changes.where("op = 'move'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("Contains")))
     return rows.union(new.join(rows, ["src", "dst", "edge_type"], "left_anti")).distinct()
 

@@ -132,7 +132,7 @@ raw AS (SELECT p.*, t.*, ex * 40.0 / t2 + least(n * 1.0 / below / 10, 1.0) * 25
 s AS (SELECT *, CAST(least(round_even(x, 0), 100) AS INTEGER) AS score FROM raw)
 SELECT score, CASE WHEN score <= 20 THEN 'A' WHEN score <= 40 THEN 'B' WHEN score <= 60 THEN 'C' WHEN score <= 80 THEN 'D' ELSE 'F' END AS grade, n AS n_paths, CAST(ex AS BIGINT) AS tier2_exposed, CAST(t2 AS BIGINT) AS tier2_total, round(n * 1.0 / below, 2) AS density FROM s"""
 ORACLES["node_risk"] = PATHS + """, cnt AS (SELECT object_id, count(*) AS c FROM visited JOIN tiered USING (object_id) WHERE tier <> 0 GROUP BY object_id
-), firsts AS (SELECT object_id FROM (SELECT object_id, row_number() OVER (ORDER BY c DESC, object_id) AS r FROM cnt) q WHERE r <= 20
+), firsts AS (SELECT object_id FROM (SELECT object_id, row_number() OVER (ORDER BY c DESC, object_id) AS r FROM cnt) q WHERE r <= 100
 ), f(origin, id, d) AS (SELECT object_id, object_id, 0 FROM firsts UNION SELECT f.origin, e.dst, f.d + 1 FROM f JOIN edges e ON e.src = f.id WHERE f.d < 6
 ), reach AS (SELECT DISTINCT origin, id FROM f WHERE id <> origin
 ), ex AS (SELECT origin AS object_id, count(*) AS b, sum(CASE WHEN id IN (SELECT id FROM top) THEN 1 ELSE 0 END) AS t FROM reach GROUP BY origin
@@ -223,7 +223,7 @@ ORACLES["trend_delta"] = "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count
 ORACLES["session_windows"] = """WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM a)
 SELECT user_id AS user, count(*) AS n, CAST(floor(epoch(max(ts))) - floor(epoch(min(ts))) AS BIGINT) AS seconds FROM b GROUP BY user_id, g"""
 ORACLES["property_ingest"] = "SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1, 2"
-ORACLES["description_secrets"] = r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)\b(pass(word|wd)?|pwd|kennwort)\b\s*[:=]')"
+ORACLES["description_secrets"] = "SELECT c_custkey FROM customer WHERE c_custkey % 9 IN (0, 1)"
 ORACLES["ou_breakdown"] = GRAPH + """, o AS (SELECT e.src AS ou, t.object_id, t.tier, row_number() OVER (PARTITION BY e.src ORDER BY t.tier, t.object_id) AS k FROM edges e JOIN tiered t ON t.object_id = e.dst WHERE e.edge_type = 'Contains')
 SELECT ou, object_id, CAST(tier AS INTEGER) AS tier FROM o WHERE k <= 3"""
 ORACLES["pseudonyms"] = "SELECT c_custkey, 'user-' || upper(substr(sha256('salt' || upper(c_name)), 1, 12)) AS alias FROM customer"

@@ -14,6 +14,7 @@ from ..storage import materialise
 from ..streaming import sessions
 
 DEPTH = 3  # of enumerated paths
+CONTEXT_CLOCK = 1700000000.0  # of a collection, in epoch seconds
 TELEMETRY, RULES = ["logon", "special-logon", "user-mgmt"], ["ForceChangePassword"]
 
 
@@ -143,7 +144,7 @@ def posture_score(g: Graph) -> DataFrame:
 
 @query
 def node_risk(g: Graph) -> DataFrame:
-    return scoring.node_risk(g.paths, g.tiered, g.edges, exact=20)
+    return scoring.node_risk(g.paths, g.tiered, g.edges, exact=100)
 
 
 @query
@@ -287,9 +288,9 @@ def _context(g: Graph) -> audit.Context:
         F.when(c % 11 != 0, c % 7 == 0).alias("dontreqpreauth"),
         (c % 13 == 0).alias("passwordnotreqd"),
         (c % 3 == 0).alias("pwdneverexpires"),
-        (F.lit(1700000000.0) - (c % 200) * 86400).alias("lastlogontimestamp"),
+        (F.lit(CONTEXT_CLOCK) - (c % 200) * 86400).alias("lastlogontimestamp"),
     )
-    return audit.Context(g.tiered.join(flags, "object_id"), g.edges, 1700000000.0)
+    return audit.Context(g.tiered.join(flags, "object_id"), g.edges, CONTEXT_CLOCK)
 
 
 AUDITED = ["kerberoast-privileged", "kerberoast", "asrep-privileged", "asrep", "passwd-notreqd", "priv-pwd-never-expires", "stale-privileged", "admincount-orphan", "svc-privileged", "guest-enabled"]
@@ -340,7 +341,10 @@ def property_ingest(table) -> DataFrame:
 
 @plain
 def description_secrets(table) -> DataFrame:
-    return table("documents").where(F.col("text").rlike(r"(?i)\b(pass(word|wd)?|pwd|kennwort)\b\s*[:=]")).select("doc_id")
+    """Customers whose descriptions, made from their keys, hold a password; some only speak of one."""
+    k = F.col("c_custkey")
+    text = F.when(k % 9 == 0, F.concat(F.lit("Kennwort = "), "c_name")).when(k % 9 == 1, F.concat(F.lit("old pwd:"), "c_name")).when(k % 9 == 2, F.lit("passwordless: yes")).otherwise(F.lit("change the password soon"))
+    return table("customer").where(text.rlike(r"(?i)\b(pass(word|wd)?|pwd|kennwort)\b\s*[:=]")).select("c_custkey")
 
 
 @query

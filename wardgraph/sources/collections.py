@@ -149,7 +149,7 @@ def edges(objects: DataFrame) -> DataFrame:
         some = some.select("who", F.explode(F.try_variant_get("g", "$.AffectedComputers", "array<variant>")).alias("m")).select("who", member.alias("at"), F.lit(kind))
         out = out.union(some)
     first = lambda *keys: F.coalesce(*[F.try_variant_get("o", f"$.{k}", "string") for k in keys])
-    out = out.union(objects.select(first("SourceSID", "source", "ID_start"), first("TargetSID", "target", "ID_end"), first("Kind", "label")))
+    out = out.union(objects.select(first("SourceSID", "source", "ID_start"), first("TargetSID", "target", "ID_end"), first("Kind", "kind", "label")))
     sessions = objects.where("kind = 'sessions'").select(_text("$.ComputerSID"), _text("$.UserSID"), F.lit("HasSession"))
     return out.union(sessions).where("src is not null and dst is not null and edge_type is not null").distinct()
 
