@@ -2,38 +2,69 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import registry
 from ..storage import materialise
-from .exposure import walkable
+from .exposure import states, walkable
 from .fixpoint import closure, relax
 
 PATH = ["source", "target", "length", "weight", "nodes", "edge_types"]
 
 
+def _weighted(edges: DataFrame, top: DataFrame) -> DataFrame:
+    """(src, dst, edge_type, attack, w): edges that routes may use, with their weights."""
+    dim = F.broadcast(registry.edge_dim(edges.sparkSession).select("edge_type", F.col("weight").alias("w")))
+    return walkable(edges, top).join(dim, "edge_type", "left").select("src", "dst", "edge_type", "attack", F.coalesce("w", F.lit(100.0)).alias("w"))
+
+
+def _shortest(level: DataFrame, grow: Callable[[DataFrame], DataFrame], routes: Callable[[DataFrame], DataFrame], max_depth: int, most: int | None) -> DataFrame:
+    """PATH: what ``routes`` finds on each level that ``grow`` makes of the one before, the first ``most`` in order of (length, ``routes``'
+    first two columns, nodes, edge types).
+
+    A level is written only once it is known to hold fewer than are still wanted, so the last one, the largest, never is: each of its
+    tasks keeps the first that are wanted.
+    """
+    done, n = None, 0
+    for depth in range(1, max_depth + 1):
+        grown = grow(level)
+        if most is None:
+            grown = level = materialise(grown, "paths")
+        found = routes(grown).withColumn("length", F.lit(depth))
+        if most is not None:
+            found = materialise(found.orderBy(found.columns[0], found.columns[1], "nodes", "edge_types").limit(most - n), "shortest")
+            n += found.count()
+        done = found if done is None else done.union(found)
+        if most is not None and n >= most:
+            break
+        if most is not None:
+            level = materialise(grown, "paths")
+        if level.isEmpty():
+            break
+    return done.select(*PATH)
+
+
 def enumerate_paths(nodes: DataFrame, edges: DataFrame, top: DataFrame, max_depth: int = 20, max_paths: int | None = 10_000) -> DataFrame:
     """PATH: simple paths with an attack step from known objects to tier 0, of at most ``max_depth`` steps; parallel edges give paths of their own.
 
     Grown backwards, a level a job; no path passes another tier-0 object. With ``max_paths`` the shortest are kept, in order of (length,
     target, nodes, edge types), and levels stop once there are enough; None keeps all.
     """
-    spark = edges.sparkSession
-    dim = F.broadcast(registry.edge_dim(spark).select("edge_type", F.col("weight").alias("w")))
-    back = materialise(walkable(edges, top).join(dim, "edge_type", "left").select("src", F.col("dst").alias("head"), "edge_type", "attack", F.coalesce("w", F.lit(100.0)).alias("w")), "back")
-    level = top.select(F.col("id").alias("target"), F.col("id").alias("head"), F.array("id").alias("nodes"), F.array().cast("array<string>").alias("edge_types"), F.lit(0.0).alias("weight"), F.lit(False).alias("attacked"))
-    done, n = None, 0
-    for depth in range(1, max_depth + 1):
+    back = materialise(_weighted(edges, top).withColumnRenamed("dst", "head"), "back")
+    start = top.select(F.col("id").alias("target"), F.col("id").alias("head"), F.array("id").alias("nodes"), F.array().cast("array<string>").alias("edge_types"), F.lit(0.0).alias("weight"), F.lit(False).alias("attacked"))
+
+    def grow(level: DataFrame) -> DataFrame:
         level = level.join(back, "head").where(~F.array_contains("nodes", F.col("src")))
-        level = level.select("target", F.col("src").alias("head"), F.array_insert("nodes", 1, F.col("src")).alias("nodes"), F.array_insert("edge_types", 1, F.col("edge_type")).alias("edge_types"), (F.col("weight") + F.col("w")).alias("weight"), (F.col("attacked") | F.col("attack")).alias("attacked"))
-        level = materialise(level, "paths")
+        return level.select("target", F.col("src").alias("head"), F.array_insert("nodes", 1, F.col("src")).alias("nodes"), F.array_insert("edge_types", 1, F.col("edge_type")).alias("edge_types"), (F.col("weight") + F.col("w")).alias("weight"), (F.col("attacked") | F.col("attack")).alias("attacked"))
+
+    def routes(level: DataFrame) -> DataFrame:
         known = level.where("attacked").join(nodes.select(F.col("object_id").alias("head")), "head", "left_semi")
-        found = known.select(F.col("head").alias("source"), "target", F.lit(depth).alias("length"), "weight", "nodes", "edge_types")
-        done = found if done is None else done.union(found)
-        if level.isEmpty() or max_paths is not None and (n := n + found.count()) >= max_paths:
-            break
-    return done if max_paths is None else done.orderBy("length", "target", "nodes", "edge_types").limit(max_paths)
+        return known.select("target", F.col("head").alias("source"), "weight", "nodes", "edge_types")
+
+    return _shortest(start, grow, routes, max_depth, max_paths)
 
 
 def with_ids(paths: DataFrame) -> DataFrame:
@@ -71,13 +102,28 @@ def cheapest_weights(starts: DataFrame, edges: DataFrame) -> DataFrame:
     return relax(starts.select(F.col("id").alias("origin"), "id", F.lit(0.0).alias("cost")), hops, ["origin", "id"])
 
 
-def breach_routes(starts: DataFrame, nodes: DataFrame, edges: DataFrame, top: DataFrame, max_depth: int = 12, max_routes: int = 4000) -> DataFrame:
-    """PATH: simple routes with an attack step from starts (id) to the first tier-0 object they meet, the shortest ``max_routes``."""
-    reach = closure(starts.select(F.col("id").alias("origin"), "id"), walkable(edges, top), max_depth=max_depth)
-    inside = reach.select("id").distinct()
-    own = edges.join(inside, F.col("src") == F.col("id"), "left_semi")
-    found = enumerate_paths(nodes, own, top, max_depth, None)
-    return found.join(starts.select(F.col("id").alias("source")), "source", "left_semi").select(*PATH).orderBy("length", "source", "target", "nodes", "edge_types").limit(max_routes)
+def breach_routes(starts: DataFrame, nodes: DataFrame, edges: DataFrame, top: DataFrame, max_depth: int = 12, max_routes: int | None = 4000) -> DataFrame:
+    """PATH: simple routes with an attack step from known starts (id) to the first tier-0 object they meet, the shortest ``max_routes`` in order of
+    (length, source, target, nodes, edge types).
+
+    Grown forwards from the starts, over objects from which tier 0 can be reached and an attack step, if it is still lacking, taken.
+    """
+    ahead = states(edges, top).groupBy(F.col("id").alias("dst")).agg(F.max("attacked").alias("may_attack"))
+    goals = top.select(F.col("id").alias("dst"), F.lit(True).alias("goal")).distinct()
+    hops = _weighted(edges, top).join(ahead, "dst").join(goals, "dst", "left").withColumn("goal", F.coalesce("goal", F.lit(False)))
+    hops = materialise(hops.withColumnRenamed("src", "head"), "hops")
+    first = starts.select(F.col("id").alias("object_id")).join(nodes, "object_id", "left_semi").join(top.select(F.col("id").alias("object_id")), "object_id", "left_anti").distinct()
+    start = first.select(F.col("object_id").alias("source"), F.col("object_id").alias("head"), F.array("object_id").alias("nodes"), F.array().cast("array<string>").alias("edge_types"), F.lit(0.0).alias("weight"), F.lit(False).alias("attacked"), F.lit(False).alias("goal"))
+
+    def grow(level: DataFrame) -> DataFrame:
+        level = level.where("not goal").drop("goal").join(hops, "head").where(~F.array_contains("nodes", F.col("dst")))
+        level = level.withColumn("attacked", F.col("attacked") | F.col("attack")).where(F.col("attacked") | (~F.col("goal") & F.col("may_attack")))
+        return level.select("source", F.col("dst").alias("head"), F.array_append("nodes", F.col("dst")).alias("nodes"), F.array_append("edge_types", F.col("edge_type")).alias("edge_types"), (F.col("weight") + F.col("w")).alias("weight"), "attacked", "goal")
+
+    def routes(level: DataFrame) -> DataFrame:
+        return level.where("goal").select("source", F.col("head").alias("target"), "weight", "nodes", "edge_types")
+
+    return _shortest(start, grow, routes, max_depth, max_routes)
 
 
 def membership_chain(principals: DataFrame, edges: DataFrame, top_groups: DataFrame) -> DataFrame:

@@ -57,29 +57,21 @@ STATES = GRAPH + """, walk(id, attacked, d) AS (
   UNION SELECT h.src, w.attacked OR h.attack, w.d + 1 FROM walk w JOIN hops h ON h.dst = w.id WHERE w.d < 24
 ), states AS (SELECT id, attacked, min(d) AS depth FROM walk GROUP BY id, attacked)"""
 
-#: Simple paths of at most three steps.
+#: The shortest 10,000 simple paths of at most 20 steps, a level a round; ``before`` counts those found up to a level, after which it stops.
 PATHS = GRAPH + DIM + """, h AS (SELECT hops.*, weight, effort, noise, conf, cut FROM hops JOIN dim USING (edge_type)
-), one AS (
-  SELECT h.src AS source, h.dst AS target, 1 AS length, h.weight AS weight, h.attack AS attacked, h.src || '>' || h.dst AS ns, h.edge_type AS es,
-         h.src AS n1, h.dst AS n2, CAST(NULL AS VARCHAR) AS n3, CAST(NULL AS VARCHAR) AS n4, h.edge_type AS e1, CAST(NULL AS VARCHAR) AS e2, CAST(NULL AS VARCHAR) AS e3
-  FROM h WHERE h.dst IN (SELECT id FROM top)
-), two AS (
-  SELECT h.src AS source, p.target, 2 AS length, p.weight + h.weight AS weight, p.attacked OR h.attack AS attacked, h.src || '>' || p.ns AS ns, h.edge_type || '>' || p.es AS es,
-         h.src AS n1, p.n1 AS n2, p.n2 AS n3, CAST(NULL AS VARCHAR) AS n4, h.edge_type AS e1, p.e1 AS e2, CAST(NULL AS VARCHAR) AS e3
-  FROM one p JOIN h ON h.dst = p.source WHERE h.src <> p.n2
-), three AS (
-  SELECT h.src AS source, p.target, 3 AS length, p.weight + h.weight AS weight, p.attacked OR h.attack AS attacked, h.src || '>' || p.ns AS ns, h.edge_type || '>' || p.es AS es,
-         h.src AS n1, p.n1 AS n2, p.n2 AS n3, p.n3 AS n4, h.edge_type AS e1, p.e1 AS e2, p.e2 AS e3
-  FROM two p JOIN h ON h.dst = p.source WHERE h.src <> p.n2 AND h.src <> p.n3
-), paths AS (
-  SELECT ns || '|' || es AS path_id, * FROM (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three) u WHERE attacked
+), grown(source, target, length, weight, attacked, nl, el, before) AS (
+  SELECT id, id, 0, 0.0::DOUBLE, false, [id], []::VARCHAR[], 0::BIGINT FROM top
+  UNION ALL
+  SELECT h.src, p.target, p.length + 1, p.weight + h.weight, p.attacked OR h.attack, list_prepend(h.src, p.nl), list_prepend(h.edge_type, p.el),
+         CAST(p.before + sum(CASE WHEN p.attacked OR h.attack THEN 1 ELSE 0 END) OVER () AS BIGINT)
+  FROM grown p JOIN h ON h.dst = p.source WHERE p.length < 20 AND p.before < 10000 AND NOT list_contains(p.nl, h.src)
+), paths AS MATERIALIZED (
+  SELECT *, ns || '|' || es AS path_id FROM (
+    SELECT source, target, length, weight, nl, el, array_to_string(nl, '>') AS ns, array_to_string(el, '>') AS es FROM grown WHERE attacked ORDER BY length, target, nl, el LIMIT 10000) u
 ), steps AS (
-  SELECT path_id, 1 AS step, n1 AS src, n2 AS dst, e1 AS edge_type FROM paths
-  UNION ALL SELECT path_id, 2, n2, n3, e2 FROM paths WHERE length >= 2
-  UNION ALL SELECT path_id, 3, n3, n4, e3 FROM paths WHERE length >= 3
+  SELECT path_id, CAST(i AS INTEGER) AS step, nl[i] AS src, nl[i + 1] AS dst, el[i] AS edge_type FROM (SELECT path_id, nl, el, unnest(range(1, length + 1)) AS i FROM paths) u
 ), visited AS (
-  SELECT path_id, n1 AS object_id FROM paths UNION ALL SELECT path_id, n2 FROM paths
-  UNION ALL SELECT path_id, n3 FROM paths WHERE length >= 2 UNION ALL SELECT path_id, n4 FROM paths WHERE length >= 3
+  SELECT path_id, unnest(nl) AS object_id FROM paths
 ), cuts AS (
   SELECT DISTINCT s.path_id, s.src, s.dst, s.edge_type,
          CASE WHEN n.name LIKE 'SVC_%' THEN 2 ELSE 0 END - CASE WHEN NOT n.enabled THEN 1 ELSE 0 END + CASE WHEN n.admin_count THEN 1 ELSE 0 END AS safety
@@ -114,10 +106,10 @@ SELECT origin AS principal_id, id AS group_id, CAST(min(d) AS INTEGER) AS depth
 ORACLES["effective_permissions"] = GRAPH + """, c(origin, id, d) AS (SELECT object_id, object_id, 0 FROM nodes WHERE node_type = 'User' UNION SELECT c.origin, m.dst, c.d + 1 FROM c JOIN members m ON m.src = c.id WHERE c.d < 30),
 own AS (SELECT origin, id, min(d) AS d FROM c GROUP BY origin, id)
 SELECT origin AS principal_id, dst AS target_id, edge_type, CASE WHEN d > 0 THEN id END AS via FROM own JOIN edges ON edges.src = own.id WHERE edge_type <> 'MemberOf'"""
-_FORWARD = """, f(origin, id, d) AS (SELECT object_id, object_id, 0 FROM nodes WHERE node_type IN ('Group', 'OU') UNION SELECT f.origin, e.dst, f.d + 1 FROM f JOIN edges e ON e.src = f.id WHERE f.d < 4
+_FORWARD = lambda depth: f""", f(origin, id, d) AS (SELECT object_id, object_id, 0 FROM nodes WHERE node_type IN ('Group', 'OU') UNION SELECT f.origin, e.dst, f.d + 1 FROM f JOIN edges e ON e.src = f.id WHERE f.d < {depth}
 ), reach AS (SELECT origin, id, min(d) AS depth FROM f GROUP BY origin, id HAVING min(d) > 0)"""
-ORACLES["blast_radius"] = GRAPH + _FORWARD + " SELECT origin, count(*) AS n, CAST(max(depth) AS INTEGER) AS farthest FROM reach GROUP BY origin"
-ORACLES["reachable_tier0"] = GRAPH + _FORWARD + " SELECT origin, count(*) AS n FROM reach WHERE id IN (SELECT id FROM top) GROUP BY origin"
+ORACLES["blast_radius"] = GRAPH + _FORWARD(6) + " SELECT origin, count(*) AS n, CAST(max(depth) AS INTEGER) AS farthest FROM reach GROUP BY origin"
+ORACLES["reachable_tier0"] = GRAPH + _FORWARD(20) + " SELECT origin, count(*) AS n FROM reach WHERE id IN (SELECT id FROM top) GROUP BY origin"
 ORACLES["reverse_reach"] = GRAPH + """, b(id, d) AS (SELECT id, 0 FROM top UNION SELECT e.src, b.d + 1 FROM b JOIN edges e ON e.dst = b.id WHERE b.d < 24)
 SELECT id, CAST(min(d) AS INTEGER) AS depth FROM b GROUP BY id HAVING min(d) > 0"""
 ORACLES["weighted_routes"] = GRAPH + DIM + """, x AS (SELECT src, dst, min(weight) AS weight FROM edges JOIN dim USING (edge_type) GROUP BY src, dst
@@ -141,7 +133,7 @@ ORACLES["node_risk"] = PATHS + """, cnt AS (SELECT object_id, count(*) AS c FROM
 SELECT object_id, c AS path_count, CAST(blast AS BIGINT) AS blast, CAST(t0 AS BIGINT) AS tier0_reach,
 round(least(least(log2(c + 1) / 10, 1.0) * 40 + c * 1.0 / (SELECT count(*) FROM paths) * 30 + least(blast / 50.0, 1.0) * 15 + least(t0 / 3.0, 1.0) * 15, 100.0), 1) AS risk FROM j"""
 ORACLES["choke_points"] = greedy(5) + " SELECT CAST(rank AS INTEGER) AS rank, src, dst, edge_type, eliminated, cumulative, round(cumulative * 100.0 / (SELECT count(*) FROM paths), 1) AS pct FROM fixes"
-ORACLES["node_chokepoints"] = PATHS + """, inn AS (SELECT path_id, n2 AS object_id FROM paths WHERE length >= 2 UNION SELECT path_id, n3 FROM paths WHERE length >= 3
+ORACLES["node_chokepoints"] = PATHS + """, inn AS (SELECT DISTINCT path_id, unnest(nl[2:length]) AS object_id FROM paths
 ), c AS (SELECT object_id, count(DISTINCT path_id) AS n FROM inn GROUP BY object_id ORDER BY n DESC, object_id LIMIT 20)
 SELECT object_id, n, round(n * 100.0 / (SELECT count(*) FROM paths), 1) AS pct FROM c"""
 ORACLES["path_costs"] = PATHS + """ SELECT path_id, CAST(sum(effort) AS BIGINT) AS effort, CAST(sum(noise) AS BIGINT) AS noise, sum(CASE WHEN effort > 0 THEN 1 ELSE 0 END)::BIGINT AS steps FROM steps JOIN dim USING (edge_type) GROUP BY path_id"""
@@ -194,7 +186,14 @@ SELECT o.dst, o.edge_type, t.node_type, count(*) AS n FROM tiered t JOIN o ON o.
 ORACLES["degree_top"] = GRAPH + " SELECT id AS object_id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) x GROUP BY id ORDER BY degree DESC, object_id LIMIT 25"
 ORACLES["membership_chain"] = GRAPH + """, c(origin, id, d) AS (SELECT object_id, object_id, 0 FROM nodes WHERE node_type = 'User' UNION SELECT c.origin, m.dst, c.d + 1 FROM c JOIN members m ON m.src = c.id WHERE c.d < 30)
 SELECT origin AS principal_id, id AS group_id, CAST(min(d) AS INTEGER) AS depth FROM c WHERE id = 'S-1-5-21-0-512' AND d > 0 GROUP BY origin, id"""
-ORACLES["breach_routes"] = PATHS + " SELECT source, target, CAST(length AS INTEGER) AS length, ns AS nodes, es AS edge_types FROM paths WHERE source IN ('C1', 'C2', 'C3', 'S1', 'S2', 'N1', 'N2', 'N5')"
+ORACLES["breach_routes"] = GRAPH + """, back(id) AS (SELECT id FROM top UNION SELECT h.src FROM back JOIN hops h ON h.dst = back.id
+), f(source, target, length, attacked, nl, el, before) AS (
+  SELECT object_id, object_id, 0, false, [object_id], []::VARCHAR[], 0::BIGINT FROM nodes WHERE object_id IN ('C1', 'C2', 'C3', 'S1', 'S2', 'N1', 'N2', 'N5') AND object_id NOT IN (SELECT id FROM top)
+  UNION ALL
+  SELECT p.source, h.dst, p.length + 1, p.attacked OR h.attack, list_append(p.nl, h.dst), list_append(p.el, h.edge_type),
+         CAST(p.before + sum(CASE WHEN (p.attacked OR h.attack) AND h.dst IN (SELECT id FROM top) THEN 1 ELSE 0 END) OVER () AS BIGINT)
+  FROM f p JOIN hops h ON h.src = p.target WHERE p.length < 12 AND p.before < 4000 AND NOT list_contains(p.nl, h.dst) AND h.dst IN (SELECT id FROM back)
+) SELECT source, target, length, array_to_string(nl, '>') AS nodes, array_to_string(el, '>') AS edge_types FROM f WHERE attacked AND target IN (SELECT id FROM top) ORDER BY length, source, target, nl, el LIMIT 4000"""
 ORACLES["crown_jewels"] = GRAPH + """, jw AS (SELECT object_id AS id, CAST(substr(object_id, 2) AS INTEGER) % 7 AS value FROM nodes WHERE node_type = 'Computer' AND CAST(substr(object_id, 2) AS INTEGER) % 5 = 0
 ), r(origin, id, d) AS (SELECT id, id, 0 FROM jw UNION SELECT r.origin, e.src, r.d + 1 FROM r JOIN edges e ON e.dst = r.id WHERE r.d < 3
 ), q AS (SELECT r.origin, r.id, min(d) AS d FROM r JOIN nodes n ON n.object_id = r.id WHERE r.id <> r.origin AND n.node_type IN ('User', 'Computer') GROUP BY r.origin, r.id)

@@ -13,7 +13,6 @@ from ..sources import tpch_graph
 from ..storage import materialise
 from ..streaming import sessions
 
-DEPTH = 3  # of enumerated paths
 CONTEXT_CLOCK = 1700000000.0  # of a collection, in epoch seconds
 TELEMETRY, RULES = ["logon", "special-logon", "user-mgmt"], ["ForceChangePassword"]
 
@@ -45,7 +44,7 @@ class Graph:
 
     @cached_property
     def paths(self) -> DataFrame:
-        return materialise(paths.with_ids(paths.enumerate_paths(self.nodes, self.edges, self.top, DEPTH, None)), "all-paths")
+        return materialise(paths.with_ids(paths.enumerate_paths(self.nodes, self.edges, self.top)), "all-paths")
 
 
 QUERIES = {}
@@ -104,12 +103,12 @@ def effective_permissions(g: Graph) -> DataFrame:
 
 @query
 def blast_radius(g: Graph) -> DataFrame:
-    return paths.blast_radius(g.of("Group", "OU"), g.edges, 4).groupBy("origin").agg(F.count("*").alias("n"), F.max("depth").alias("farthest"))
+    return paths.blast_radius(g.of("Group", "OU"), g.edges).groupBy("origin").agg(F.count("*").alias("n"), F.max("depth").alias("farthest"))
 
 
 @query
 def reachable_tier0(g: Graph) -> DataFrame:
-    return paths.blast_radius(g.of("Group", "OU"), g.edges, 4).join(g.top, "id", "left_semi").groupBy("origin").agg(F.count("*").alias("n"))
+    return paths.blast_radius(g.of("Group", "OU"), g.edges, 20).join(g.top, "id", "left_semi").groupBy("origin").agg(F.count("*").alias("n"))
 
 
 @query
@@ -265,7 +264,7 @@ def membership_chain(g: Graph) -> DataFrame:
 @query
 def breach_routes(g: Graph) -> DataFrame:
     starts = g.nodes.where(F.col("object_id").isin("C1", "C2", "C3", "S1", "S2", "N1", "N2", "N5")).select(F.col("object_id").alias("id"))
-    return _joined(paths.breach_routes(starts, g.nodes, g.edges, g.top, DEPTH, 1_000_000)).select("source", "target", "length", "nodes", "edge_types")
+    return _joined(paths.breach_routes(starts, g.nodes, g.edges, g.top)).select("source", "target", "length", "nodes", "edge_types")
 
 
 @query
