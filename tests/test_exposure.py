@@ -5,7 +5,7 @@ from collections import deque
 
 import pytest
 
-from wardgraph.operators import exposure, fixpoint
+from wardgraph.operators import exposure, fixpoint, paths
 
 KINDS = ["MemberOf", "MemberOf", "Contains", "GenericAll", "GenericWrite", "Enroll", "Strange"]
 ATTACK, INPUT = {"GenericAll", "GenericWrite"}, {"Enroll"}
@@ -135,3 +135,40 @@ def test_relax_finds_least_costs(spark):
     start = spark.createDataFrame([("n0", "n0", 0.0)], "origin string, id string, cost double")
     found = fixpoint.relax(start, spark.createDataFrame(edges, "id string, next string, weight double"), ["origin", "id"])
     assert {r["id"]: r["cost"] for r in found.collect()} == best
+
+
+def simple_paths(names, top, edges, most):
+    """(length, source, target, nodes, edge types) of all simple routes with an attack step of at most ``most`` steps."""
+    out, queue = [], deque((s, (s,), (), False) for s in names if s not in top)
+    while queue:
+        at, passed, kinds, attacked = queue.popleft()
+        for a, b, k in edges:
+            if a != at or k in INPUT or b in passed or len(kinds) == most:
+                continue
+            route = (b, (*passed, b), (*kinds, k), attacked or k in ATTACK)
+            if b not in top:
+                queue.append(route)
+            elif route[3]:
+                out.append((len(kinds) + 1, passed[0], b, route[1], route[2]))
+    return out
+
+
+def test_paths_and_routes_match_search(spark):
+    """All paths, the first of them where there are more, and the routes from some starts; a start in tier 0 or unknown has none."""
+    parts = [graph(2000 + s) for s in range(12)]
+    edges = spark.createDataFrame([e for _, _, es in parts for e in es], EDGES)
+    top = spark.createDataFrame([(t,) for _, ts, _ in parts for t in ts], "id string")
+    nodes = spark.createDataFrame([(n,) for names, _, _ in parts for n in names], "object_id string")
+    want = [p for names, ts, es in parts for p in simple_paths(names, ts, es, 4)]
+    rows = lambda df: [(r["length"], r["source"], r["target"], tuple(r["nodes"]), tuple(r["edge_types"])) for r in df.collect()]
+    assert sorted(rows(paths.enumerate_paths(nodes, edges, top, 4, None))) == sorted(want)
+    short = [p for p in want if p[0] < 4]
+    for most in (len(short) + 5, len(want) + 1):
+        first = sorted(want, key=lambda p: (p[0], p[2], *p[3:]))[:most]
+        assert sorted(rows(paths.enumerate_paths(nodes, edges, top, 4, most))) == sorted(first)
+    starts = [n for names, _, _ in parts for n in (names[0], names[-1], names[-2])]
+    begun = sorted(p for p in want if p[1] in starts)
+    asked = spark.createDataFrame([(s,) for s in [*starts, starts[1], "nobody", None]], "id string")
+    for most in (None, len(begun) - 3):
+        assert sorted(rows(paths.breach_routes(asked, nodes, edges, top, 4, most))) == begun[:most]
+    assert rows(paths.breach_routes(asked.limit(0), nodes, edges, top)) == [] == rows(paths.enumerate_paths(nodes, edges, top.limit(0)))
