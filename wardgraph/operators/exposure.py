@@ -121,12 +121,12 @@ def exposed_with_denies(edges: DataFrame, top: DataFrame, denies: DataFrame) ->
     guarded = denies.join(hops.select(F.col("dst").alias("target"), "edge_type").distinct(), ["target", "edge_type"], "left_semi")
     sigs = materialise(deny_signatures(guarded, edges), "signatures")
     universe = sigs.select("sig").union(sigs.sparkSession.createDataFrame([("",)], "sig string")).distinct()
-    blocked = guarded.crossJoin(F.broadcast(universe)).where(F.array_contains(F.split("sig", ","), F.col("deny_id").cast("string"))).select(F.col("target").alias("dst"), "edge_type", "sig").distinct()
+    blocked = guarded.crossJoin(universe).where(F.array_contains(F.split("sig", ","), F.col("deny_id").cast("string"))).select(F.col("target").alias("dst"), "edge_type", "sig").distinct()
     universe, blocked = materialise(universe, "universe"), materialise(blocked, "blocked")
     own = hops.select(F.col("dst").alias("id")).union(hops.select("src")).union(top.select("id")).distinct().join(sigs.withColumnRenamed("actor", "id"), "id", "left").select("id", F.coalesce("sig", F.lit("")).alias("own"))
     own = materialise(own, "own")
     nested = hops.where("edge_type = 'MemberOf'").select("src", F.col("dst").alias("id"))
-    landing = hops.where("edge_type <> 'MemberOf'").crossJoin(F.broadcast(universe)).join(blocked, ["dst", "edge_type", "sig"], "left_anti")
+    landing = hops.where("edge_type <> 'MemberOf'").crossJoin(universe).join(blocked, ["dst", "edge_type", "sig"], "left_anti")
     landing = materialise(landing.join(own, F.col("dst") == F.col("id")).select("src", F.col("dst").alias("id"), "attack", F.col("own").alias("ahead"), F.col("sig").alias("behind")).distinct(), "landing")
 
     def step(new: DataFrame) -> DataFrame:
@@ -134,6 +134,6 @@ def exposed_with_denies(edges: DataFrame, top: DataFrame, denies: DataFrame) ->
         on = new.join(landing, (new["id"] == landing["id"]) & (new["sig"] == landing["ahead"])).select(F.col("src").alias("id"), (F.col("attacked") | F.col("attack")).alias("attacked"), F.col("behind").alias("sig"))
         return up.union(on)
 
-    start = top.select("id").crossJoin(F.broadcast(universe)).select("id", F.lit(False).alias("attacked"), "sig")
+    start = top.select("id").crossJoin(universe).select("id", F.lit(False).alias("attacked"), "sig")
     found = semi_naive(start, step, ["id", "attacked", "sig"])
     return found.where("attacked").join(own, "id").where("sig = own").join(top, "id", "left_anti").groupBy("id").agg(F.min("depth").alias("hops"))
