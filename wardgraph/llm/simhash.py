@@ -113,13 +113,10 @@ def links(fps: DataFrame, max_bits: int = 4, blocks: int | None = None, piece: i
     return pairs.union(dealt.select("fps").mapInArrow(run, "a long, b long"))
 
 
-def _classes(found: DataFrame, max_bits: int, blocks: int | None) -> DataFrame:
-    """(fp, component_id) of each fingerprint of ``found`` (doc_id, fp): the smallest id that it reaches."""
-    distinct = materialise(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+def _rooted(distinct: DataFrame, max_bits: int, blocks: int | None) -> DataFrame:
+    """``distinct`` (a row for each fp) and the fingerprint that stands for its component, ``root``."""
     roots = materialise(connected_components(links(distinct.select("fp"), max_bits, blocks)), "roots")
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.select("fp", "root").join(lowest, "root").select("fp", "root", "component_id")
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, blocks: int | None = None) -> DataFrame:
@@ -129,7 +126,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     no component's id, unless it has no other.
     """
     found = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    classes = _classes(found, max_bits, blocks)
+    rooted = _rooted(materialise(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct"), max_bits, blocks)
+    lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = rooted.select("fp", "root").join(lowest, "root").select("fp", "component_id")
     return found.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -140,9 +139,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     fp, row = unused(docs, "fp"), unused(docs, "row")
     table = materialise(docs.select("*", _fp(F.col(text_col), shingle).alias(fp), F.monotonically_increasing_id().alias(row)), "fingerprints")
     narrow = table.select(F.col(id_col).cast("long").alias("doc_id"), F.col(fp).alias("fp"), F.xxhash64(text_col).alias("h"), F.col(row).alias("row"))
-    classes = _classes(narrow.select("doc_id", "fp"), max_bits, blocks)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "row"))
-    best = narrow.groupBy("fp").agg(first.alias("x")).join(classes, "fp").groupBy("root").agg(F.min("x").alias("x"))
+    distinct = materialise(narrow.groupBy("fp").agg(first.alias("x")), "distinct")
+    best = _rooted(distinct, max_bits, blocks).groupBy("root").agg(F.min("x").alias("x"))
     kept = materialise(best.select(F.col("x.row").alias("kept_row")), "kept")
     # rows are shuffled once, at any size of the table: what is kept grows with it, so it is no side to broadcast
     return table.join(kept.hint("merge"), table[row] == kept["kept_row"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
