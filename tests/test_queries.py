@@ -43,7 +43,7 @@ def test_query_matches_sql(spark, sf, sql, name):
 
 
 def test_queries_without_sql(spark, sf):
-    assert {*queries.QUERIES} - {*oracle.ORACLES} == {"exposure_exact"}
+    assert {*queries.QUERIES} - {*oracle.ORACLES} == {"exposure_exact", "residual_points"}
     found = {r["id"]: r for r in queries.QUERIES["exposure_exact"](spark, sf).collect()}
     walks = {r["id"]: r["hops"] for r in queries.QUERIES["exposure_hops"](spark, sf).collect()}
     assert {*found} <= {*walks} and all(found[i]["hops"] >= walks[i] for i in found)

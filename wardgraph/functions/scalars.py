@@ -80,3 +80,24 @@ def exposure_severity(actors: Column, hops: Column, all_disabled: Column) -> Col
     """Severity (a rank) of newly exposed actors; if all are disabled it is one less, but not below medium."""
     base = F.when(actors == 0, 3).when((hops <= 2) | (actors >= 100), 5).when((hops <= 4) | (actors >= 10), 4).otherwise(3)
     return F.when(all_disabled, F.greatest(base - 1, F.lit(3))).otherwise(base)
+
+
+#: Hosts that issue tokens of build services.
+ISSUERS = {"token.actions.githubusercontent.com": "github", "vstoken.dev.azure.com": "azuredevops", "vstoken.visualstudio.com": "azuredevops", "gitlab.com": "gitlab"}
+
+
+def federation_subject(issuer: Column, subject: Column) -> Column:
+    """Struct of provider, repo and broad: whether a trust isn't pinned to a branch or an environment, so that many can meet it."""
+    host = F.lower(F.regexp_replace(F.coalesce(issuer, F.lit("")), "^.*?//([^/]*).*$", "$1"))
+    provider = F.when(host.contains("login.microsoftonline.com") | (host == ""), "entra").otherwise("other")
+    for name, kind in ISSUERS.items():
+        provider = F.when(host.contains(name), kind).otherwise(provider)
+    text = F.coalesce(subject, F.lit(""))
+    part = lambda pattern, group: F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    repo = F.when(provider == "github", part(r"(?i)^repo:([^:]+/[^:]+)(?::.*)?$", 1)).when(provider == "gitlab", part("(?i)project_path:([^:]+)", 1))
+    rest = F.lower(F.trim(F.coalesce(part(r"(?i)^repo:[^:]+/[^:]+:(.*)$", 1), F.lit(""))))
+    pinned = rest.startswith("environment:") | rest.startswith("ref:")
+    github = repo.isNotNull() & ~pinned & ((rest == "") | rest.startswith("pull_request") | rest.contains("*"))
+    gitlab = text.contains("*") | ~F.lower(text).contains("ref_type:branch")
+    broad = F.when(provider == "github", github).when(provider == "gitlab", gitlab).when(provider == "azuredevops", text.contains("*")).otherwise(True)
+    return F.struct(provider.alias("provider"), repo.alias("repo"), broad.alias("broad"))

@@ -235,3 +235,18 @@ def chains(paths: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     syncing = edges.where("edge_type = 'DCSync'").select(F.col("src").alias("object_id"))
     synced = visited.join(syncing, "object_id", "left_semi").select("path_id", F.lit("dcsync").alias("chain"))
     return by_edges.union(disabled).union(synced).distinct()
+
+
+def through_node(paths: DataFrame, object_id: str) -> DataFrame:
+    return paths.where(F.array_contains("nodes", object_id))
+
+
+def through_edge(paths: DataFrame, src: str, dst: str, edge_type: str) -> DataFrame:
+    at = lambda i: (F.get("nodes", i) == src) & (F.get("nodes", i + 1) == dst) & (F.get("edge_types", i) == edge_type)
+    return paths.where(F.exists(F.sequence(F.lit(0), F.size("edge_types") - 1), at))
+
+
+def onto_named(paths: DataFrame, nodes: DataFrame, part: str, most: int = 10) -> DataFrame:
+    """The shortest ``most`` paths onto targets with ``part`` in their name, in any case; ties by path id."""
+    named = nodes.where(F.upper("name").contains(part.upper())).select(F.col("object_id").alias("target"))
+    return paths.join(named, "target", "left_semi").orderBy("length", "path_id").limit(most)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import registry, scalars
 from ..storage import materialise
-from .paths import blast_radius, steps
+from .paths import blast_radius, enumerate_paths, steps, with_ids
+from .tiering import tier0
 
 
 def node_risk(paths: DataFrame, tiered: DataFrame, edges: DataFrame, exact: int = 100, depth: int = 6) -> DataFrame:
@@ -131,3 +132,9 @@ def leaf_clusters(tiered: DataFrame, edges: DataFrame, least: int = 6) -> DataFr
     lone = edges.groupBy(F.col("src").alias("object_id")).agg(F.count("*").alias("k"), F.first("dst").alias("dst"), F.first("edge_type").alias("edge_type")).where("k = 1")
     leaves = tiered.where((F.col("tier") != 0) & F.col("node_type").isin("User", "Computer")).join(onto, "object_id", "left_anti").join(lone, "object_id")
     return leaves.groupBy("dst", "edge_type", "node_type").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def residual_points(nodes: DataFrame, edges: DataFrame, paths: DataFrame, fixes: int = 5, points: int = 25) -> DataFrame:
+    """``choke_points`` of what is left once the first ``fixes`` of ``paths`` are made: where to watch. Tiers and paths are found anew."""
+    left = edges.join(choke_points(paths, nodes, fixes).select("src", "dst", "edge_type"), ["src", "dst", "edge_type"], "left_anti")
+    return choke_points(with_ids(enumerate_paths(nodes, left, tier0(nodes, left))), nodes, points)

@@ -72,3 +72,9 @@ def resolve(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     part = nodes.join(rest, full.contains(F.col("q"))).select("query", "object_id", F.lit(3).alias("stage"))  # each name that fits none is looked for in all: as many as a user asks
     best = exact.groupBy("query").agg(F.min("stage").alias("stage"))
     return exact.join(best, ["query", "stage"]).select("query", "object_id", "stage").union(part).distinct()
+
+
+def induced(edges: DataFrame, inside: DataFrame) -> DataFrame:
+    """``edges`` of which both ends are in a set (id)."""
+    ids = inside.select("id").distinct()
+    return edges.join(ids, F.col("src") == F.col("id"), "left_semi").join(ids, F.col("dst") == F.col("id"), "left_semi")

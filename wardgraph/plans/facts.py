@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import audit, derive, paths, scoring, tiering, whatif
+from ..operators import audit, derive, paths, scoring, sidecars, tiering, whatif
 from ..reports import watch_lists
 from .oracle import GRAPH, ORACLES, PATHS
 from .queries import CONTEXT_CLOCK, Graph, _context, plain, query
@@ -389,3 +389,75 @@ def signature_tier0(g: Graph) -> DataFrame:
 
 
 ORACLES["signature_tier0"] = "SELECT s_suppkey FROM supplier WHERE s_suppkey % 5 = 0 OR s_suppkey % 7 = 0 OR s_suppkey % 11 = 0"
+
+
+# facts beside a collection
+
+
+@query
+def relayed_logons(g: Graph) -> DataFrame:
+    """A domain for each nation, most with Authenticated Users; hosts differ in signing and web client, every tenth is a controller."""
+    k, n = F.col("s_suppkey"), F.col("n_nationkey")
+    sid = F.concat(F.lit("S-1-5-21-"), n.cast("string"))
+    none = F.lit(None).cast("boolean")
+    row = lambda df, i, kind, domain, smb=none, web=none, ldap=none: df.select(i.alias("object_id"), F.lit(kind).alias("node_type"), domain.alias("domainsid"), smb.alias("smbsigning"), web.alias("webclientrunning"), ldap.alias("ldapsigning"))
+    nation = g.table("nation")
+    hosts = row(g.table("supplier").withColumn("n_nationkey", F.col("s_nationkey")), _key("S", "s_suppkey"), "Computer", sid, k % 3 != 0, k % 2 == 0, n % 2 == 0)
+    users = F.concat(F.when(n % 2 == 0, sid).otherwise(_key("D", "n_nationkey")), F.lit("-S-1-5-11"))
+    nodes = hosts.union(row(nation, _key("D", "n_nationkey"), "Domain", sid)).union(row(nation.where(n % 4 != 3), users, "Group", F.lit(None).cast("string")))
+    return sidecars.relay_edges(nodes, g.edges.select(*EDGE), hosts.where(_number("object_id") % 10 == 0).select(F.col("object_id").alias("id")))
+
+
+ORACLES["relayed_logons"] = """WITH h AS (SELECT s_suppkey AS k, s_nationkey AS n, CASE WHEN s_nationkey % 2 = 0 THEN 'S-1-5-21-' ELSE 'D' END || CAST(s_nationkey AS VARCHAR) || '-S-1-5-11' AS src FROM supplier)
+SELECT src, 'S' || CAST(k AS VARCHAR) AS dst, 'CoerceAndRelayNTLMToSMB' AS edge_type FROM h WHERE n % 4 <> 3 AND k % 10 <> 0 AND k % 3 = 0
+UNION ALL SELECT src, 'S' || CAST(k AS VARCHAR), 'CoerceAndRelayNTLMToLDAP' FROM h WHERE n % 4 <> 3 AND k % 10 <> 0 AND k % 2 = 0 AND n % 2 = 1 AND n IN (SELECT n FROM h WHERE k % 10 = 0)"""
+
+
+@query
+def repository_links(g: Graph) -> DataFrame:
+    """Credentials of nations trust a repository of their region, at two services and one that isn't known; customers push to it."""
+    n, c = F.col("n_nationkey"), F.col("c_custkey")
+    nation = g.table("nation").join(g.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    issuer = F.when(n % 3 == 0, "https://token.actions.githubusercontent.com/x").when(n % 3 == 1, "https://gitlab.com").otherwise("https://example.org")
+    subject = F.when(n % 3 == 0, F.concat(F.lit("repo:org/"), "r_name", F.lit(":ref:refs/heads/main"))).otherwise(F.concat(F.lit("project_path:org/"), "r_name", F.lit(":ref_type:branch")))
+    credentials = nation.where(n > 0).select(_key("F", "n_nationkey").alias("credential"), issuer.alias("issuer"), subject.alias("subject"))
+    to = nation.where(n > 0).select(_key("F", "n_nationkey"), _key("N", "n_nationkey"), F.lit("AZAuthenticatesTo"))
+    pushers = g.table("customer").where(c % 5 == 0).join(nation, F.col("c_nationkey") == n).select(F.lit("github").alias("provider"), F.concat(F.lit("Org/"), "r_name").alias("repo"), F.concat(F.when(c % 2 == 0, "X").otherwise("C"), c.cast("string")).alias("principal"))
+    return sidecars.repository_edges(pushers, credentials, g.nodes, g.edges.select(*EDGE).union(to))
+
+
+ORACLES["repository_links"] = """WITH n AS (SELECT n_nationkey AS k, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey), t AS (SELECT k, r FROM n WHERE k > 0 AND k % 3 < 2
+), p AS (SELECT c_custkey AS c, r FROM customer JOIN n ON c_nationkey = k WHERE c_custkey % 5 = 0)
+SELECT DISTINCT 'CICD:GITHUB:ORG/' || t.r AS src, 'N' || CAST(k AS VARCHAR) AS dst, 'AZAuthenticatesTo' AS edge_type FROM t JOIN p ON p.r = t.r
+UNION ALL SELECT 'C' || CAST(c AS VARCHAR), 'CICD:GITHUB:ORG/' || r, 'MemberOf' FROM p WHERE c % 2 = 1 AND r IN (SELECT r FROM t)"""
+
+
+@query
+def edges_inside(g: Graph) -> DataFrame:
+    """Edges among users and hosts, by kind."""
+    return tiering.induced(g.edges, g.of("User", "Computer")).groupBy("edge_type").agg(F.count("*").alias("n"))
+
+
+ORACLES["edges_inside"] = GRAPH + ", i AS (SELECT object_id FROM nodes WHERE node_type IN ('User', 'Computer')) SELECT edge_type, count(*) AS n FROM edges WHERE src IN (SELECT object_id FROM i) AND dst IN (SELECT object_id FROM i) GROUP BY edge_type"
+
+
+@query
+def paths_through_admins(g: Graph) -> DataFrame:
+    return paths.through_node(g.paths, "S-1-5-21-0-512").select("path_id", "length")
+
+
+ORACLES["paths_through_admins"] = PATHS + " SELECT path_id, length FROM paths WHERE list_contains(nl, 'S-1-5-21-0-512')"
+
+
+@query
+def paths_onto_named(g: Graph) -> DataFrame:
+    return paths.onto_named(g.paths, g.nodes, "customer", 10).select("path_id", "length")
+
+
+ORACLES["paths_onto_named"] = PATHS + " SELECT path_id, length FROM paths WHERE target IN (SELECT object_id FROM nodes WHERE upper(name) LIKE '%CUSTOMER%') ORDER BY length, path_id LIMIT 10"
+
+
+@query
+def residual_points(g: Graph) -> DataFrame:
+    """Where to watch once the first three fixes are made."""
+    return scoring.residual_points(g.nodes, g.edges, g.paths, 3, 5)

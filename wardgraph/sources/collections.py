@@ -62,7 +62,7 @@ LOCAL_GROUPS = {"544": "AdminTo", "555": "CanRDP", "562": "ExecuteDCOM", "580":
 POLICY_LISTS = {"LocalAdmins": "AdminTo", "RemoteDesktopUsers": "CanRDP", "DcomUsers": "ExecuteDCOM", "PSRemoteUsers": "CanPSRemote"}
 FLAGS = ["hasspn", "dontreqpreauth", "passwordnotreqd", "pwdneverexpires", "sensitive", "unconstraineddelegation", "trustedtoauth", "haslaps", "isdc", "smbsigning", "ldapsigning", "webclientrunning"]
 STAMPS = ["lastlogontimestamp", "lastlogon", "pwdlastset", "whencreated", "machineaccountquota"]
-TEXTS = ["description", "operatingsystem", "functionallevel", "distinguishedname", "samaccountname", "domainsid"]
+TEXTS = ["description", "operatingsystem", "functionallevel", "distinguishedname", "samaccountname", "domainsid", "dnshostname"]
 #: The object type that a file's meta type stands for.
 TYPES = {"users": "User", "computers": "Computer", "groups": "Group", "domains": "Domain", "gpos": "GPO", "ous": "OU", "containers": "Container", "certtemplates": "CertTemplate", "enterprisecas": "EnterpriseCA", "rootcas": "RootCA", "aiacas": "AIACA", "ntauthstores": "NTAuthStore", "issuancepolicies": "IssuancePolicy"}
 
