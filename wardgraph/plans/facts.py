@@ -442,11 +442,13 @@ ORACLES["edges_inside"] = GRAPH + ", i AS (SELECT object_id FROM nodes WHERE nod
 
 
 @query
-def paths_through_admins(g: Graph) -> DataFrame:
-    return paths.through_node(g.paths, "S-1-5-21-0-512").select("path_id", "length")
+def paths_through_busiest(g: Graph) -> DataFrame:
+    """Paths through the object that most paths pass."""
+    busiest = scoring.node_chokepoints(g.paths, 1).first()
+    return paths.through_node(g.paths, busiest["object_id"] if busiest else "").select("path_id", "length")
 
 
-ORACLES["paths_through_admins"] = PATHS + " SELECT path_id, length FROM paths WHERE list_contains(nl, 'S-1-5-21-0-512')"
+ORACLES["paths_through_busiest"] = ORACLES["node_chokepoints"].rpartition("SELECT object_id, n, round")[0] + "SELECT path_id, length FROM paths WHERE list_contains(nl, (SELECT object_id FROM c ORDER BY n DESC, object_id LIMIT 1))"
 
 
 @query
