@@ -79,3 +79,15 @@ def test_residual_points(spark):
     ps = paths.with_ids(paths.enumerate_paths(nodes, edges, tiering.tier0(nodes, edges)))
     assert rows(scoring.residual_points(nodes, edges, ps, 1, 1)) == [(1, "y", da, "WriteDacl", 2, 2, 100.0)]
     assert rows(scoring.residual_points(nodes, edges, ps, 2, 5)) == []
+
+
+def test_chains_of_properties(spark):
+    node = "object_id string, name string, node_type string, enabled boolean"
+    data = [("u", "u", "User", True, True, True, None), ("v", "v", "User", None, None, None, None), ("h", "web1.x", "Computer", True, False, True, True), ("d", "dc1.x", "Computer", True, False, False, True), ("t", None, "CertTemplate", True, None, None, None)]
+    nodes = spark.createDataFrame(data, node + ", hasspn boolean, dontreqpreauth boolean, unconstraineddelegation boolean")
+    made = [("p1", ["v", "u"], ["GenericAll"]), ("p2", ["u", "v"], ["MemberOf"]), ("p3", ["v", "h"], ["AdminTo"]), ("p4", ["v", "d"], ["AdminTo"]), ("p5", ["v", "t"], ["WriteDacl"]), ("p6", ["v", "t"], ["Enroll"]), ("p7", ["v", "d"], ["GoldenCert"])]
+    ps = spark.createDataFrame(made, "path_id string, nodes array<string>, edge_types array<string>")
+    none = spark.createDataFrame([], EDGE)
+    by_edges = [("p7", "adcs_abuse")]
+    assert rows(paths.chains(ps, nodes, none)) == sorted([("p1", "kerberoast"), ("p2", "asrep_roasting"), ("p3", "unconstrained_delegation"), ("p5", "adcs_abuse"), *by_edges])
+    assert rows(paths.chains(ps, nodes.drop("hasspn", "dontreqpreauth", "unconstraineddelegation"), none)) == sorted([("p5", "adcs_abuse"), *by_edges])

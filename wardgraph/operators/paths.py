@@ -216,7 +216,8 @@ def enable_next(paths: DataFrame, telemetry: list[str], covered: DataFrame) -> D
 
 
 def chains(paths: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(path_id, chain): known patterns that a path holds."""
+    """(path_id, chain): known patterns that a path holds. What ``nodes`` tells of objects counts where it has the columns: hasspn,
+    dontreqpreauth, unconstraineddelegation."""
     has = lambda *kinds: F.arrays_overlap("edge_types", F.array(*[F.lit(k) for k in kinds]))
     found = {
         "acl_chain": has("WriteDacl", "WriteOwner", "Owns") & has("GenericAll", "GenericWrite", "AddMember", "ForceChangePassword"),
@@ -225,16 +226,34 @@ def chains(paths: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
         "gpo_abuse": has("GPOControlsObject", "WriteGPLink"),
         "laps_abuse": has("ReadLAPSPassword"),
         "gmsa_abuse": has("ReadGMSAPassword"),
-        "adcs_abuse": F.exists("edge_types", lambda e: e.startswith("ADCS")),
+        "adcs_abuse": F.exists("edge_types", lambda e: e.startswith("ADCS") | (e == "GoldenCert")),
         "kerberoast": has("WriteSPN"),
     }
     # a name where a pattern holds, else nothing
     by_edges = paths.select("path_id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in found.items()]))).alias("chain"))
-    visited = paths.select("path_id", F.explode("nodes").alias("object_id"))
-    disabled = visited.join(nodes.where("not enabled").select("object_id"), "object_id", "left_semi").select("path_id", F.lit("disabled_account").alias("chain"))
+    visited = paths.select("path_id", F.posexplode("nodes").alias("at", "object_id"), "edge_types").select("path_id", "at", "object_id", F.get("edge_types", F.col("at") - 1).alias("by"))
+    flag = lambda name: F.coalesce(name, F.lit(False)) if name in nodes.columns else F.lit(False)
+    kind, host = F.col("node_type"), F.upper(F.split_part("name", F.lit("."), F.lit(1)))
+    told = nodes.select(
+        "object_id",
+        (~F.coalesce("enabled", F.lit(True))).alias("disabled"),
+        flag("hasspn").alias("served"),
+        kind.isin("CertTemplate", "EnterpriseCA", "AIACA", "RootCA", "NTAuthStore").alias("pki"),
+        ((kind == "User") & flag("dontreqpreauth")).alias("open"),
+        ((kind == "Computer") & flag("unconstraineddelegation") & ~F.coalesce(host.contains("DC"), F.lit(False))).alias("free"),
+    ).where("disabled or served or pki or open or free")
+    control = ["GenericAll", "GenericWrite"]
+    by_object = {
+        "disabled_account": F.col("disabled"),
+        "kerberoast": F.col("served") & F.col("by").isin(control),
+        "adcs_abuse": F.col("pki") & F.col("by").isin([*control, "WriteDacl", "WriteOwner"]),
+        "asrep_roasting": F.col("open") & (F.col("at") == 0),
+        "unconstrained_delegation": F.col("free"),
+    }
+    by_objects = visited.join(told, "object_id").select("path_id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in by_object.items()]))).alias("chain"))
     syncing = edges.where("edge_type = 'DCSync'").select(F.col("src").alias("object_id"))
     synced = visited.join(syncing, "object_id", "left_semi").select("path_id", F.lit("dcsync").alias("chain"))
-    return by_edges.union(disabled).union(synced).distinct()
+    return by_edges.union(by_objects).union(synced).distinct()
 
 
 def through_node(paths: DataFrame, object_id: str) -> DataFrame:

@@ -463,3 +463,17 @@ ORACLES["paths_onto_named"] = PATHS + " SELECT path_id, length FROM paths WHERE
 def residual_points(g: Graph) -> DataFrame:
     """Where to watch once the first three fixes are made."""
     return scoring.residual_points(g.nodes, g.edges, g.paths, 3, 5)
+
+
+@query
+def chains_of_properties(g: Graph) -> DataFrame:
+    """Patterns by properties: every third customer has a service name, every fourth needs no pre-authentication, every other host delegates."""
+    k, kind = F.substring("object_id", 2, 20).try_cast("int"), F.col("node_type")
+    nodes = g.nodes.withColumns({"hasspn": (kind == "User") & (k % 3 == 0), "dontreqpreauth": k % 4 == 0, "unconstraineddelegation": k % 2 == 0})
+    named = F.col("chain").isin("kerberoast", "asrep_roasting", "unconstrained_delegation")
+    return paths.chains(g.paths, nodes, g.edges).where(named).groupBy("chain").agg(F.count("*").alias("n"))
+
+
+ORACLES["chains_of_properties"] = PATHS + """, v AS (SELECT path_id, i, nl[i] AS id, TRY_CAST(substr(nl[i], 2) AS INTEGER) AS k, CASE WHEN i > 1 THEN el[i - 1] END AS by_ FROM (SELECT path_id, nl, el, unnest(range(1, length + 2)) AS i FROM paths) u
+), x AS (SELECT path_id, 'kerberoast' AS chain FROM v WHERE id LIKE 'C%' AND k % 3 = 0 AND by_ = 'GenericWrite' UNION SELECT path_id, 'asrep_roasting' FROM v WHERE id LIKE 'C%' AND k % 4 = 0 AND i = 1
+  UNION SELECT path_id, 'unconstrained_delegation' FROM v WHERE id LIKE 'S%' AND k % 2 = 0) SELECT chain, count(*) AS n FROM x GROUP BY chain"""
