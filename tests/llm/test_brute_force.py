@@ -488,3 +488,72 @@ def test_pipeline_is_the_plain_one(spark, sf):
     assert {r["doc_id"] for r in corpus_pipeline.classify_quality(spark, table, sf).collect()} == kept
     fps = [(r["doc_id"], plain_fingerprint(r["text"])) for r in table.collect()]
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, table, sf).collect()) == sorted({*plain_components(fps).values()})
+
+
+# rows, texts and paths that an earlier form got wrong
+
+
+@pytest.mark.parametrize("every", [80, 200, 400])
+def test_notices_in_long_prose(rows, every):  # noqa: F811
+    """A whole template in prose of any length, with a word that notices use here and there."""
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    prose = [w for x in [*rows.values()][:60] for w in (x or "").split() if not licenses._HINT.search(w)]
+    for size in (1000, 3000, 6000, 20_000):
+        base = [prose[i % len(prose)] if i % every else "software" for i in range(size)]
+        for name, template in licenses.TEMPLATES.items():
+            text = " ".join([*base[: size // 2], template, *base[size // 2 :]])
+            found = Counter(r[2] for r in scanner.rows(text) if r[2])
+            assert found[name] == 1, (name, size)
+            if size == 1000:
+                assert found == plain_notices(text), (name, size)
+
+
+def test_rows_without_text_teach_and_count_nothing(spark):
+    german = spark.createDataFrame([(k, f"der hund läuft schnell über die straße nummer {'abcdefghij'[k % 10] * 3} und die katze schläft {k}", "de") for k in range(300)], "doc_id long, text string, lang string")
+    nothing = spark.range(1000, 401_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "12 ?!").alias("text"), F.lit("de").alias("lang"))
+    alone, among = langid.train_model(german), langid.train_model(german.union(nothing))
+    assert alone.langs == among.langs and len(alone.langs[0][1]) > 10_000
+
+
+def test_a_repeated_row_keeps_its_language(spark):
+    same = spark.range(50_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("le chien court vite dans la rue").alias("text"), F.lit("fr").alias("lang"))
+    other = spark.range(50_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the dog runs fast in the street "), F.col("id")).alias("text"), F.lit("en").alias("lang"))
+    mixed = same.union(same.limit(0)).union(other).union(spark.range(5000).select(F.col("id"), F.concat(F.lit("der hund läuft "), F.col("id")), F.lit("fr")))
+    model = langid.train_model(same.union(other))
+    assert [x[0] for x in model.langs] == ["en", "fr"] and dict(model.langs)["fr"] == b"le chien court vite dans la rue"
+    assert len(dict(langid.train_model(mixed).langs)["fr"]) > 1000  # the repeated row doesn't fill the sample
+
+
+def test_unbroken_texts_take_linear_time(rows):  # noqa: F811
+    import time
+
+    own = pieces.compiled(queries.PIECE_BPE)
+    letters = "".join(x or "" for x in rows.values()).replace(" ", "").replace("\n", "")[:1_000_000]
+    letters = (letters * (1_000_000 // len(letters) + 1))[:1_000_000]
+    own.encode(letters[:50_000])
+    took = []
+    for n in (100_000, 800_000):
+        began = time.perf_counter()
+        ids = np.frombuffer(own.encode(letters[:n]), own.width)
+        took.append(time.perf_counter() - began)
+        assert own.decode(ids.tolist()) == letters[:n]
+    assert took[1] < 24 * took[0]  # 64 times as long if each step copied the rest
+
+
+def test_shards_where_paths_need_escaping(spark, tmp_path):
+    root = f"file://{tmp_path}/a b+c%20d[1]{{x}}"
+    store = sharding.ShardStore(spark, root)
+    for k in range(5):
+        store.append(spark.range(10 * k, 10 * k + 10, numPartitions=1))
+    assert store.read().count() == 50
+    version = store.compact()
+    store.vacuum()
+    assert sorted(r[0] for r in store.read(version).collect()) == list(range(50)) and store.manifest(version).count() == 1
+
+
+def test_the_least_id_isnt_null(spark):
+    least = -(1 << 63)
+    table = spark.createDataFrame([(least, "a"), (None, "b"), (None, "c"), (least + 1, "d"), (0, "e")], "doc_id long, text string")
+    got = flatids.flat_round_trip(spark, table, queries.BYTE_BPE).collect()
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in got) == [(False, 0), (False, 0), (True, least), (True, least + 1), (True, 0)]
+    assert [r["start"] for r in sorted(got, key=lambda r: r["start"])] == [0, 2, 4, 6, 8]

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, small_batches, texts
-from .wordcache import _OTHER, uneven
+from .wordcache import _OTHER, WordCachedEncoder, uneven
 
 MARK = "▁"
 
@@ -55,11 +55,12 @@ class Overlaps:
 class Aligner:
     """``max_words`` bounds what is remembered; words of over ``max_chars`` characters never are."""
 
-    def __init__(self, path_a: str, path_b: str, max_words: int = 300_000, max_chars: int = 48):
+    def __init__(self, path_a: str, path_b: str, max_words: int = 400_000, max_chars: int = 48):
         import sentencepiece
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(path_a)
+        self.by_word = WordCachedEncoder(path_a)
+        self.a: Tokenizer = self.by_word.tokenizer
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         alphabet = byte_alphabet()
@@ -68,6 +69,7 @@ class Aligner:
             self.bytes_a[k] = bytes(alphabet[c] for c in piece) if all(c in alphabet for c in piece) else piece.encode()
         spelled = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace(MARK, " ").encode() for k, p in enumerate(spelled)]
+        self.lengths_a, self.lengths_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
         self.mark = spelled.index(MARK) if MARK in spelled else None
         normal = [p for k, p in enumerate(spelled) if not (self.b.is_byte(k) or self.b.is_control(k) or self.b.is_unknown(k))]
         mixed = any(MARK in p.lstrip(MARK) or ("\n" in p and p.strip("\n")) for p in normal)
@@ -84,52 +86,83 @@ class Aligner:
         """Ids of a space and the text by A, and by B, which adds the space."""
         return self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
 
-    def aligned(self, ids_a: list[int], ids_b: list[int], data: bytes) -> tuple | None:
-        """(A tokens, B tokens, groups, their text, links as A id << 32 | B id), None if the tokens aren't ``data``."""
-        spelled_a, spelled_b = [self.bytes_a[k] for k in ids_a], [self.bytes_b[k] for k in ids_b]
-        if b"".join(spelled_a) != data or b"".join(spelled_b) != data:
+    def _groups(self, ids_a: np.ndarray, ids_b: np.ndarray, data: bytes) -> tuple | None:
+        """(ends of groups in bytes, in A tokens and in B tokens, groups as text, links as A id << 32 | B id), None if the tokens aren't ``data``."""
+        if b"".join(map(self.bytes_a.__getitem__, ids_a.tolist())) != data or b"".join(map(self.bytes_b.__getitem__, ids_b.tolist())) != data:
             return None
-        lengths = np.fromiter(map(len, spelled_a), np.int64, len(ids_a))
+        lengths = self.lengths_a[ids_a]
         ends = np.cumsum(lengths)
-        index = Overlaps(np.fromiter(map(len, spelled_b), np.int64, len(ids_b)))
+        index = Overlaps(self.lengths_b[ids_b])
         _, after = index.stab(ends - lengths, ends)
         # an A token's end is a boundary if the last B token that it overlaps ends there, too
         shut = np.flatnonzero(index.ends[after - 1] == ends)
-        cuts_a, cuts_b = (shut + 1).tolist(), after[shut].tolist()
-        a, b = list(map(str, ids_a)), list(map(str, ids_b))
-        text = ";".join([f"{','.join(a[i:j])}|{','.join(b[k:m])}" for i, j, k, m in zip([0, *cuts_a], cuts_a, [0, *cuts_b], cuts_b, strict=False)])
+        cuts_a, cuts_b = shut + 1, after[shut]
+        a, b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
+        i, k, text = 0, 0, []
+        for j, m in zip(cuts_a.tolist(), cuts_b.tolist(), strict=True):
+            text.append(f"{a[i]}|{b[k]}" if j - i == 1 and m - k == 1 else f"{','.join(a[i:j])}|{','.join(b[k:m])}")
+            i, k = j, m
         # tokens that end together: the last ones of each group
-        links = (np.array(ids_a, np.int64)[shut] << 32) | np.array(ids_b, np.int64)[after[shut] - 1]
-        return len(ids_a), len(ids_b), len(shut), text, links.tobytes()
-
-    def _word(self, word: str) -> tuple | None:
-        """A word after a space, or after the newline that it begins with."""
-        if word[:1] != "\n":
-            return self.aligned(*self.tokens(word), (" " + word).encode())
-        a, b = self.a.encode(word, add_special_tokens=False).ids, self.b.encode(word)
-        if not b or b[0] != self.mark:  # a piece of a space and a newline: not a place to cut
-            raise ValueError("the model joins spaces and newlines")
-        return self.aligned(a, b[1:], word.encode())
-
-    def align(self, text: str) -> tuple | None:
-        """As ``aligned``, for a whole text."""
-        if not text:
-            return None
-        if not self.cuts or uneven(text) or _OTHER.search(text):
-            return self.aligned(*self.tokens(text), (" " + text).encode())
-        known, parts = self.words, []
-        for w in text.replace("\n", " \n").split(" "):
-            try:
-                found = known[w]
-            except KeyError:
-                found = self._word(w)
-                if len(w) <= self.max_chars and len(known) < self.max_words:  # frequent words come early
-                    known[w] = found
-            if found is None:
-                return None
-            parts.append(found)
-        n_a, n_b, groups, spelled, links = zip(*parts, strict=True)
-        return sum(n_a), sum(n_b), sum(groups), ";".join(spelled), b"".join(links)
+        return ends[shut], cuts_a, cuts_b, text, (ids_a[shut] << 32) | ids_b[cuts_b - 1]
+
+    def aligned(self, ids_a: list[int], ids_b: list[int], data: bytes) -> tuple | None:
+        """(A tokens, B tokens, groups, their text, links in bytes), None if the tokens aren't ``data``."""
+        found = self._groups(np.array(ids_a, np.int64), np.array(ids_b, np.int64), data)
+        return found and (len(ids_a), len(ids_b), len(found[3]), ";".join(found[3]), found[4].tobytes())
+
+    def _new(self, words: list[str]) -> dict[str, tuple | None]:
+        """``aligned`` of words, each after a space, or after the newline that it begins with: encoded and aligned in one run."""
+        ids_a = self.by_word._new(words)
+        ids_b = self.b.encode(words, num_threads=1)
+        for i, w in enumerate(words):
+            if w[0] == "\n":
+                if ids_b[i][0] != self.mark:  # a piece of a space and a newline: not a place to cut
+                    raise ValueError("the model joins spaces and newlines")
+                del ids_b[i][0]
+        spelled = [(w if w[0] == "\n" else " " + w).encode() for w in words]
+        flat_a = np.frombuffer(b"".join([ids_a[w] for w in words]), "<u4").astype(np.int64)
+        found = self._groups(flat_a, np.array([k for ids in ids_b for k in ids], np.int64), b"".join(spelled))
+        if found is None:
+            if len(words) == 1:
+                return {words[0]: None}
+            half = len(words) // 2
+            return self._new(words[:half]) | self._new(words[half:])
+        ends, cuts_a, cuts_b, text, links = found
+        at = np.searchsorted(ends, np.cumsum([len(x) for x in spelled])).tolist()
+        data, out, first, before_a, before_b = links.tobytes(), {}, 0, 0, 0
+        for w, last, a, b in zip(words, at, cuts_a[at].tolist(), cuts_b[at].tolist(), strict=True):
+            out[w] = (a - before_a, b - before_b, last + 1 - first, ";".join(text[first : last + 1]), data[8 * first : 8 * last + 8])
+            first, before_a, before_b = last + 1, a, b
+        return out
+
+    def align(self, texts: list[str | None]) -> list[tuple | None]:
+        """As ``aligned``, for each of some texts; None for those without tokens."""
+        known, split, out = self.words, {}, []
+        for i, text in enumerate(texts):
+            if text and self.cuts and not uneven(text) and not _OTHER.search(text):
+                split[i] = text.replace("\n", " \n").split(" ")
+        new: dict[str, tuple | None] = {}
+        missing = list({w for parts in split.values() for w in parts if w not in known})
+        for k in range(0, len(missing), 20_000):
+            new.update(self._new(missing[k : k + 20_000]))
+        for w, found in new.items():
+            if len(known) >= self.max_words:  # frequent words come early
+                break
+            if len(w) <= self.max_chars:
+                known[w] = found
+        for i, text in enumerate(texts):
+            if not text:
+                out.append(None)
+            elif i not in split:
+                out.append(self.aligned(*self.tokens(text), (" " + text).encode()))
+            else:
+                parts = [known[w] if w in known else new[w] for w in split[i]]
+                if None in parts:
+                    out.append(None)
+                    continue
+                n_a, n_b, n, spelled, links = zip(*parts, strict=True)
+                out.append((sum(n_a), sum(n_b), sum(n), ";".join(spelled), b"".join(links)))
+        return out
 
 
 _ALIGNERS: dict[tuple, Aligner] = {}
@@ -148,7 +181,7 @@ def groups(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(path_a, path_b)
         for b in batches:
-            found = [own.align(t or "") for t in b.column(1).to_pylist()]
+            found = own.align(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x and x[3] for x in found], pa.string())], ["doc_id", "groups"])
 
     small_batches(docs.sparkSession)
@@ -177,8 +210,7 @@ def chunks(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", te
             return pa.RecordBatch.from_arrays([pa.array([(part << 32) + number], pa.int64()), *arrays, *ends], [x.split()[0] for x in CHUNK.split(", ")])
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = own.align(text or "")
+            for doc, found in zip(b.column(0).to_pylist(), own.align(b.column(1).to_pylist()), strict=True):
                 if found is None:
                     rows.append((doc, 0, 0, 0, "", 0, b""))
                 else:

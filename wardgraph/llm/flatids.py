@@ -2,7 +2,7 @@
 
 A store is a folder of parts. A part has three files: ``.ids`` (unsigned 16-bit or 32-bit little-endian ids, by the size of
 the vocabulary), ``.off`` (64-bit offsets of the documents in it, one more than there are documents) and ``.doc`` (64-bit
-document ids). Documents ascend by id within a part and from part to part. A part's base, the number of ids in all parts
+document ids, and last how many of the first ones are null). Documents ascend by id within a part and from part to part. A part's base, the number of ids in all parts
 before it, is the prefix sum of the parts' lengths. Readers map a part's ids into memory where the store is local, and elsewhere
 read them by ranges of documents.
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import materialise, scratch, small_batches, texts
 from .wordcache import WordCachedEncoder
 
-NULL_ID = -(1 << 63)
+NULL_ID = -(1 << 63)  # stands for null in a part's first rows, as many as its file of ids ends with
 MANIFEST = "first_id long, last_id long, name string, width int, docs long, tokens long"
 
 
@@ -44,7 +44,7 @@ def write_flat(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int =
         encoder = WordCachedEncoder.of(tokenizer_path)
         width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         end = np.array([end_id], "<u4").tobytes()
-        ids, ends, stream, name = array("q"), array("q", [0]), None, ""
+        ids, ends, stream, name, nulls = array("q"), array("q", [0]), None, "", 0
         where, root = opened(folder)
         for b in batches:
             if b.num_rows and stream is None:
@@ -55,11 +55,12 @@ def write_flat(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int =
                 own = encoder.encode(text or "") + end
                 stream.write(own if width == 4 else np.frombuffer(own, "<u4").astype("<u2").tobytes())
                 ids.append(NULL_ID if doc is None else doc)
+                nulls += doc is None  # they come first
                 ends.append(ends[-1] + len(own) // 4)
         if stream is None:
             return
         stream.close()
-        for kind, values in (("off", np.array(ends, "<i8")), ("doc", np.array(ids, "<i8"))):
+        for kind, values in (("off", np.array(ends, "<i8")), ("doc", np.array([*ids, nulls], "<i8"))):
             with where.open_output_stream(f"{root}/_{name}.{kind}") as out:
                 out.write(values.tobytes())
         for kind in ("off", "doc", "ids"):
@@ -93,11 +94,12 @@ def read_flat(manifest: DataFrame, folder: str, batch: int = 1024) -> DataFrame:
         for part in (x for b in batches for x in b.to_pylist()):
             at = f"{root}/{part['name']}"
             offsets, docs, ids = ranges(where, f"{at}.off", "<i8"), ranges(where, f"{at}.doc", "<i8"), ranges(where, f"{at}.ids", f"<u{part['width']}")
+            nulls = int(docs(part["docs"], part["docs"] + 1)[0])
             for k in range(0, part["docs"], batch):
                 end = min(k + batch, part["docs"])
                 edges, own = np.asarray(offsets(k, end + 1)), np.asarray(docs(k, end))
                 sums = [zlib.crc32(ids(s, e).astype("<u4").tobytes()) for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64(), mask=own == NULL_ID), pa.array(edges[:-1] + part["base"]), pa.array(np.diff(edges)), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64(), mask=np.arange(k, end) < nulls), pa.array(edges[:-1] + part["base"]), pa.array(np.diff(edges)), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return manifest.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

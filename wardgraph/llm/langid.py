@@ -135,16 +135,19 @@ def count_phrases(blocks: list[np.ndarray], tables: list[np.ndarray], width: int
 
 
 def _sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train: Column, rows: int, window: int) -> DataFrame:
-    """(lang, h, text): of at most ``rows`` labelled rows of each language a window of at most ``window`` characters, both chosen by a hash."""
+    """(lang, h, text): of at most ``rows`` different labelled rows of each language a window of at most ``window`` characters, both chosen by a hash.
+    Rows whose text is null or has no letter aren't counted."""
     lang = F.col(lang_col).cast("string").alias("lang")
-    named = docs.where(train & F.col(lang_col).isNotNull())
+    text = F.col(text_col).cast("string")
+    # only rows that can teach count, and equal rows of an id once: a repeated row neither fills a sample nor thins it
+    named = docs.where(train & F.col(lang_col).isNotNull() & text.rlike(r"\p{L}")).select(lang, F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), text.alias("text"))
     # of the 10,000 largest languages few rows pass a first filter; those, hot ids among them, are ranked in every task before the shuffle
-    sizes = named.groupBy(lang).agg(F.count("*").alias("n")).where(F.col("n") > 4 * rows).orderBy(F.desc("n"), "lang").limit(10_000)
-    found = named.select(lang, F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    sizes = named.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).where(F.col("n") > 4 * rows).orderBy(F.desc("n"), "lang").limit(10_000)
     few = F.pmod("h", F.lit(1 << 30)) <= (4.0 * rows * (1 << 30)) / F.coalesce("n", F.lit(1))
-    found = found.join(F.broadcast(sizes), "lang", "left").where(few).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= rows)
     k = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.ceil(F.length("text") / window), F.lit(1))).cast("int")
-    return found.select("lang", "h", F.substring("text", k * window + 1, F.lit(window)).alias("text"))
+    found = named.join(F.broadcast(sizes), "lang", "left").where(few).select("lang", "h", F.substring("text", k * window + 1, F.lit(window)).alias("text"))
+    once = found.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    return once.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= rows).drop("r")
 
 
 def train_model(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 200, window: int = 500, size: int = 30_000, total: int = 1_000_000) -> Model:

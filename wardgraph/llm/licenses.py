@@ -1,11 +1,12 @@
 """License scans by conditional compression.
 
-Candidate blocks are the words around each word that notices use (HINT), as far to both sides as the longest template reaches, so a
-notice lies whole within a block wherever its lines break. A block is compressed alone and with each template as a zstandard
-raw-content dictionary, and templates are ranked by the bytes that they save. Those that save any are confirmed by exact wording
-differences: at a template's place in the block, at most ``max_changed`` of its words are missing or added. The search of the places is exact: such a
-place holds one of ``changes + 1`` pieces of the template unchanged, and around each piece the least differences are computed. Of
-confirmed places that overlap, the one whose dictionary saves most bytes of it stands, then the next, until none is left. Its row gives the lines it lies on.
+Candidate regions are the words around each word that notices use (HINT), as far to both sides as the longest template reaches, so a
+notice lies whole within a region wherever its lines break. Within regions the candidate blocks are the places where at most ``max_changed`` of a template's words are
+missing or added. The search of the places is exact: such a place holds one of ``changes + 1`` pieces of the template unchanged, and around each
+piece the least differences are computed. A candidate block is compressed alone and with the template as a zstandard raw-content dictionary, and blocks
+are ranked by the bytes that they save: of those that overlap, the one whose dictionary saves most stands, then the next, until none is left. Ranks
+put candidates in order and exclude none (over a long text another dictionary changes an encoder's choices so much that a notice in it may not show in
+the sum). A notice's row gives the lines it lies on.
 
 Lines with a hint, merged where at most ``gap`` lines lie between, of which no notice is confirmed have a row with a null license and the
 template that saves the largest share, with its differences.
@@ -19,7 +20,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections import OrderedDict
-from collections.abc import Collection, Iterator
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -147,18 +148,13 @@ class Scanner:
                 found.append([lo, hi])
         return [(lo, hi) for lo, hi in found]
 
-    def ranked(self, block: str, _) -> tuple[str, ...]:
-        """Templates that save bytes of a block, most first."""
-        saved = sorted((-self._saving(block, name)[0], name) for name in self.templates)
-        return tuple(name for less, name in saved if less < 0)
-
-    def places(self, own: list[str], allowed: Collection[str]) -> list[tuple[str, int, int, int, int]]:
-        """(template, first word, end, missing, added): of each allowed template the closest places that don't overlap one another."""
+    def places(self, own: list[str]) -> list[tuple[str, int, int, int, int]]:
+        """(template, first word, end, missing, added): of each template the closest places that don't overlap one another."""
         near: dict[str, set[tuple[int, int]]] = {}
         exact: dict[str, set[tuple[int, int, int]]] = {}
         for at, word in enumerate(own):
             for piece, name, offset in self.pieces.get(word, ()):
-                if name in allowed and own[at : at + len(piece)] == piece:
+                if own[at : at + len(piece)] == piece:
                     start, slack = at - offset, self.changes[name]
                     end = start + len(self.templates[name])
                     if start >= 0 and own[start:end] == self.templates[name]:
@@ -182,8 +178,7 @@ class Scanner:
         at = [m.span() for m in _WORD.finditer(text)]
         found = []
         for lo, hi in self.regions(text, at):
-            allowed = self._kept(text[at[lo][0] : at[hi - 1][1]], "ranked", self.ranked)
-            places = self.places([text[s:e].lower() for s, e in at[lo:hi]], allowed)
+            places = self.places([text[s:e].lower() for s, e in at[lo:hi]])
             found += [(at[lo + s][0], at[lo + e - 1][1], name, missing, added) for name, s, e, missing, added in places]
         order = lambda x: (-self._kept(text[x[0] : x[1]], x[2], self._saving)[0], x[3] + x[4], x[2], x[0])
         taken: list[tuple] = []

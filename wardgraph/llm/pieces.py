@@ -140,7 +140,7 @@ class Transducer:
         """Ids of the least path over a normalised string."""
         n, size = len(s), len(self.text)
         # of the least path to a place its last arc: where it starts; its id, or size + code point of a character without a piece
-        start, last = self._arcs(s) if self.kind == BPE else self._weighted_arcs(s)
+        start, last = self._arcs(s)
         out: list[int] = []
         j = n
         while j:
@@ -154,49 +154,40 @@ class Transducer:
             j = start[j]
         return out[::-1]
 
-    def _weighted_arcs(self, s: str) -> tuple[list[int], list[int]]:
-        n, size, root = len(s), len(self.text), self.lexicon
-        least = [0.0] + [math.inf] * n
-        start, last = [0] * (n + 1), [-1] * (n + 1)
-        for i in range(n):
-            so_far, kids, j = least[i], root, i
-            for c in s[i:]:
-                j += 1
-                k, kids = kids.get(c, _NO_PIECE)
-                if k >= 0:
-                    weight = so_far - self.scores[k]
-                elif j == i + 1:
-                    k, weight = size + ord(c), so_far + self.penalty
-                else:
-                    weight = math.inf
-                if weight < least[j]:
-                    least[j], start[j], last[j] = weight, i, k
-                if not kids:  # no piece goes on like this
-                    break
-        return start, last
-
     def _arcs(self, s: str) -> tuple[list[int], list[int]]:
-        """Where weights are nothing or infinite, only one path over each prefix is finite: the first that is found is the least."""
-        n, size, root, pairs = len(s), len(self.text), self.lexicon, self.pairs
-        start, last, reached = [0] * (n + 1), [-1] * (n + 1), [True] + [False] * n
+        """The last arc of the least path to each place, by relaxing arcs from left to right. For a BPE model weights are nothing or infinite, so a path of
+        weight 0 can't be bettered: arcs to places that have one, and those after the end has one, aren't weighed."""
+        n, size, root, pairs, scores = len(s), len(self.text), self.lexicon, self.pairs, self.scores
+        bpe, penalty, infinite = self.kind == BPE, self.penalty, math.inf
+        least = [0.0] + [infinite] * n
+        start, last = [0] * (n + 1), [-1] * (n + 1)
         for i in range(n):
-            if reached[n]:
-                break
-            if not reached[i]:
+            so_far = least[i]
+            if so_far == infinite:
                 continue
+            if bpe and least[n] == 0:
+                break
             before, kids, j = (last[i] + 1) << 24, root, i
-            for c in s[i:]:
+            while j < n:
+                c = s[j]
                 j += 1
                 k, kids = kids.get(c, _NO_PIECE)
-                if k < 0 and j == i + 1:
+                fallback = k < 0 and j == i + 1
+                if fallback:
                     k = size + ord(c)
-                if k >= 0 and not reached[j]:
-                    follows = pairs.get(before | k)
-                    if follows is None:
-                        follows = self._follows(last[i], k)
-                    if follows:
-                        reached[j], start[j], last[j] = True, i, k
-                if not kids:
+                if k >= 0:
+                    if not bpe:
+                        weight = so_far + (penalty if fallback else -scores[k])
+                    elif least[j] == 0:
+                        weight = infinite
+                    else:
+                        follows = pairs.get(before | k)
+                        if follows is None:
+                            follows = self._follows(last[i], k)
+                        weight = so_far if follows else infinite
+                    if weight < least[j]:
+                        least[j], start[j], last[j] = weight, i, k
+                if not kids:  # no piece goes on like this
                     break
         return start, last
 

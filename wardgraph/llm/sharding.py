@@ -15,16 +15,27 @@ An empty append commits a version without new shards; nulls and any column names
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ENTRIES = "path string, rows long, bytes long"
 
 
+def file_path() -> Column:
+    """A row's file as Hadoop names it; the metadata column gives it percent-encoded."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
+def literal(path: str) -> str:
+    """A path whose characters stand for themselves where Spark would read a pattern."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
 class CommitConflict(RuntimeError):
     """Another writer has committed the version."""
 
@@ -62,21 +73,21 @@ class ShardStore:
         return version
 
     def _head(self, version: int) -> dict:
-        text = self.spark.read.option("wholetext", True).text(f"{self.root}/commits/v{version:08d}").first()[0]
+        text = self.spark.read.option("wholetext", True).text(literal(f"{self.root}/commits/v{version:08d}")).first()[0]
         return json.loads(text)
 
     def manifest(self, version: int | None = None) -> DataFrame:
         """Shards of a version, the last unless given."""
         version = self.versions()[-1] if version is None else version
-        return self.spark.read.schema(ENTRIES).parquet(self._head(version)["manifest"])
+        return self.spark.read.schema(ENTRIES).parquet(literal(self._head(version)["manifest"]))
 
     def _written(self, folder: str) -> DataFrame:
         """Entries of the shards of a job, from their footers."""
         try:
-            found = self.spark.read.parquet(folder)
+            found = self.spark.read.parquet(literal(folder))
         except AnalysisException:  # no rows, so no shards
             return self.spark.createDataFrame([], ENTRIES)
-        return found.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")).agg(F.count("*").alias("rows")).where("rows > 0").select("path", "rows", "bytes")
+        return found.groupBy(file_path().alias("path"), F.col("_metadata.file_size").alias("bytes")).agg(F.count("*").alias("rows")).where("rows > 0").select("path", "rows", "bytes")
 
     def append(self, df: DataFrame) -> int:
         """Commits the rows of ``df`` as new shards, one or more for each task."""
@@ -113,7 +124,7 @@ class ShardStore:
                     return version
                 runs = plan.select("run").distinct().count()
                 run, name = f"run_{uuid.uuid4().hex[:8]}", f"path_{uuid.uuid4().hex[:8]}"
-                rows = self.spark.read.schema(schema).parquet(*paths).withColumn(name, F.col("_metadata.file_path"))
+                rows = self.spark.read.schema(schema).parquet(*map(literal, paths)).withColumn(name, file_path())
                 rows = rows.join(plan.select(F.col("path").alias(name), F.col("run").alias(run)), name).drop(name)
                 folder = f"{self.root}/data/{uuid.uuid4().hex}"
                 rows.repartitionById(runs, F.col(run).cast("int")).drop(run).write.option("compression", "zstd").parquet(folder)
@@ -139,4 +150,4 @@ class ShardStore:
         version = self.versions()[-1] if version is None else version
         schema = T.StructType.fromJson(json.loads(self._head(version)["schema"]))
         paths = [r["path"] for r in self.manifest(version).select("path").collect()]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*map(literal, paths)) if paths else self.spark.createDataFrame([], schema)
