@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import scratch
@@ -25,12 +25,12 @@ class Rounds:
     def count(self) -> int:
         return len(self.written)
 
-    def add(self, rows: DataFrame) -> int:
-        """Writes a round and returns its number of rows, which the write itself counts."""
+    def add(self, rows: DataFrame, newest: Column | None = None) -> int:
+        """Writes a round and returns its number of rows (those that ``newest`` holds for), which the write itself counts."""
         seen = Observation()
         self.schema = self.schema or rows.schema
         self.written.append(f"{self.root}/{self.count:05d}")
-        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(self.written[-1])
+        rows.observe(seen, F.count(F.lit(1) if newest is None else F.when(newest, 1)).alias("n")).write.parquet(self.written[-1])
         return seen.get["n"]
 
     def last(self) -> DataFrame:
@@ -40,16 +40,27 @@ class Rounds:
         return self.spark.read.schema(self.schema).parquet(*self.written)
 
 
-def semi_naive(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], max_depth: int | None = None, depth: str = "depth") -> DataFrame:
+def semi_naive(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], max_depth: int | None = None, depth: str = "depth", together: int = 3, few: int = 200_000) -> DataFrame:
     """(keys, depth): all states reachable from ``start`` (depth 0), with the fewest steps to each.
 
-    ``step`` takes the newest states (keys) and returns states one step on, in any number of copies.
+    ``step`` takes the newest states (keys) and returns states one step on, in any number of copies. While a round finds at most ``few``
+    states, ``together`` steps are one job: what is known is then read and shuffled once for all of them.
     """
     rounds = Rounds(start.sparkSession, "fixpoint")
-    n = rounds.add(start.select(*keys).distinct().withColumn(depth, F.lit(0)))
-    while n and rounds.count <= (max_depth if max_depth is not None else rounds.count):
-        found = step(rounds.last().select(*keys)).select(*keys).distinct()
-        n = rounds.add(found.join(rounds.all().select(*keys), keys, "left_anti").withColumn(depth, F.lit(rounds.count)))
+    n, at = rounds.add(start.select(*keys).distinct().withColumn(depth, F.lit(0))), 0
+    while n and (max_depth is None or at < max_depth):
+        known = rounds.all().select(*keys)
+        front, found = rounds.last().where(F.col(depth) == at).select(*keys), None
+        steps = together if n <= few else 1
+        steps = steps if max_depth is None else min(steps, max_depth - at)
+        for i in range(1, steps + 1):
+            front = step(front).select(*keys).distinct().join(known, keys, "left_anti")
+            rows = front.withColumn(depth, F.lit(at + i))
+            found = rows if found is None else found.union(rows)
+        if steps > 1:
+            found = found.groupBy(*keys).agg(F.min(depth).alias(depth))
+        at += steps
+        n = rounds.add(found, F.col(depth) == at)
     return rounds.all()
 
 
