@@ -20,7 +20,6 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import registry
 from ..storage import materialise
 from .exposure import next_steps, states, walkable
 from .fixpoint import Rounds, semi_naive
@@ -130,7 +129,3 @@ def changes_of(before: Kept, after: Kept, top_before: DataFrame, top_after: Data
     now = after.table().where("attacked").join(ids, "id", "left_semi").join(top_after.select("id"), "id", "left_anti").select("id", F.col("depth").alias("hops_after"))
     return was.join(now, "id", "full").where(~F.col("hops_before").eqNullSafe(F.col("hops_after")))
 
-
-def attack_edges(edges: DataFrame) -> DataFrame:
-    """Edges that exposure depends on: those of input kinds change nothing."""
-    return edges.where(~F.col("edge_type").isin(registry.NON_TRAVERSABLE))

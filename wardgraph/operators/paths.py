@@ -102,6 +102,48 @@ def cheapest_weights(starts: DataFrame, edges: DataFrame) -> DataFrame:
     return relax(starts.select(F.col("id").alias("origin"), "id", F.lit(0.0).alias("cost")), hops, ["origin", "id"])
 
 
+#: Weights are summed as whole billionths, so that equal routes have equal costs whatever the order of their steps.
+UNIT = 1_000_000_000
+
+
+def _cheapest_hops(edges: DataFrame) -> DataFrame:
+    """(prev, id, w, edge_type): of parallel edges the one with the least weight (ties by kind), in UNITs."""
+    dim = F.broadcast(registry.edge_dim(edges.sparkSession).select("edge_type", F.round(F.col("weight") * UNIT).cast("long").alias("w")))
+    rows = edges.select("src", "dst", "edge_type").join(dim, "edge_type", "left").withColumn("w", F.coalesce("w", F.lit(100 * UNIT)))
+    return rows.groupBy(F.col("src").alias("prev"), F.col("dst").alias("id")).agg(F.min(F.struct("w", "edge_type")).alias("x")).select("prev", "id", "x.w", "x.edge_type")
+
+
+def weighted_tree(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(origin, id, cost, prev, edge_type): least total weight from each start (id) along any edge, and the last step of such a route: of
+    several the one with the least previous object. A start itself has cost 0 and no step. Costs in UNITs."""
+    hops = materialise(_cheapest_hops(edges), "hops")
+    costs = relax(starts.select(F.col("id").alias("origin"), "id", F.lit(0).cast("long").alias("cost")).distinct(), hops.select(F.col("prev").alias("id"), F.col("id").alias("next"), F.col("w").alias("weight")), ["origin", "id"])
+    costs = materialise(costs, "costs")
+    ahead = costs.select("origin", F.col("id").alias("prev"), F.col("cost").alias("so_far"))
+    last = ahead.join(hops, "prev").withColumn("cost", F.col("so_far") + F.col("w")).join(costs, ["origin", "id", "cost"], "left_semi")
+    last = last.groupBy("origin", "id").agg(F.min(F.struct("prev", "edge_type")).alias("x")).select("origin", "id", "x.prev", "x.edge_type")
+    return costs.join(last.where("id <> origin"), ["origin", "id"], "left").select("origin", "id", "cost", "prev", "edge_type")
+
+
+def cheapest_routes_to_targets(starts: DataFrame, targets: DataFrame, edges: DataFrame) -> DataFrame:
+    """(origin, target, cost, nodes, edge_types): a route of least weight from each start (id) to each target (id) that it reaches. A start that is a target
+    has a route of no steps. Each pass doubles the part of the routes that is known, so a route of n steps takes about log2(n) passes."""
+    tree = materialise(weighted_tree(starts, edges), "tree")
+    empty = F.array().cast("array<string>")
+    # from a to ``at``: objects after ``at``, and kinds of the steps
+    jumps = tree.select(
+        "origin", "id", F.coalesce("prev", "id").alias("at"),
+        F.when(F.col("prev").isNull(), empty).otherwise(F.array("id")).alias("nodes"), F.when(F.col("prev").isNull(), empty).otherwise(F.array("edge_type")).alias("kinds"),
+    )
+    jumps = materialise(jumps, "jumps")
+    while not jumps.where("at <> origin").isEmpty():
+        before = jumps.select("origin", F.col("id").alias("at"), F.col("at").alias("at2"), F.col("nodes").alias("nodes2"), F.col("kinds").alias("kinds2"))
+        joined = jumps.join(before, ["origin", "at"])
+        jumps = materialise(joined.select("origin", "id", F.col("at2").alias("at"), F.concat("nodes2", "nodes").alias("nodes"), F.concat("kinds2", "kinds").alias("kinds")), "jumps")
+    rows = jumps.join(targets.select("id").distinct(), "id", "left_semi").join(tree.select("origin", "id", "cost"), ["origin", "id"])
+    return rows.select("origin", F.col("id").alias("target"), (F.col("cost") / UNIT).alias("cost"), F.concat(F.array("origin"), "nodes").alias("nodes"), F.col("kinds").alias("edge_types"))
+
+
 def breach_routes(starts: DataFrame, nodes: DataFrame, edges: DataFrame, top: DataFrame, max_depth: int = 12, max_routes: int | None = 4000) -> DataFrame:
     """PATH: simple routes with an attack step from known starts (id) to the first tier-0 object they meet, the shortest ``max_routes`` in order of
     (length, source, target, nodes, edge types).

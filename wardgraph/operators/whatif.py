@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import registry, scalars
-from .exposure import exposed
+from ..storage import materialise
+from .exposure import exposed, walkable
 from .fixpoint import semi_naive
+from .maintained import Kept, changes_of, update
 from .tiering import tier0
 
 #: Verbs of the change language. Verb, operation, kind of edge (empty: named in the line), least and most arguments.
@@ -38,6 +40,7 @@ VERBS = [
     ("delete", "delete", "*", 1, 1),
     ("move", "move", "Contains", 2, 2),
 ]
+EDGE = ["src", "dst", "edge_type"]
 CHANGES = "idx int, op string, src string, edge_type string, dst string, ttl_minutes int"
 _PART = re.compile(r'"([^"]*)"|(\S+)')
 
@@ -100,19 +103,57 @@ def resolve_changes(changes: DataFrame, nodes: DataFrame) -> DataFrame:
     return changes.join(F.broadcast(one), "src", "left").join(F.broadcast(two), "dst", "left").select("idx", "op", F.col("s").alias("src"), "edge_type", F.col("d").alias("dst"), "ttl_minutes")
 
 
-def apply_changes(edges: DataFrame, changes: DataFrame) -> DataFrame:
-    """``edges`` (src, dst, edge_type) after all ``changes`` (resolved): removed edges go, with * all kinds but structure between the two;
-    a deleted object loses all edges; a moved object leaves its containers; added edges come once."""
-    rows = edges.select("src", "dst", "edge_type")
-    rows = rows.join(changes.where("op = 'remove' and edge_type <> '*'").select("src", "dst", "edge_type"), ["src", "dst", "edge_type"], "left_anti")
-    every = changes.where("op = 'remove' and edge_type = '*'").select("src", "dst", F.lit(True).alias("every")).distinct()
-    rows = rows.join(every, ["src", "dst"], "left").where(F.col("every").isNull() | F.col("edge_type").isin(registry.PLAIN_STRUCTURE)).select("src", "dst", "edge_type")
+class Deltas(NamedTuple):
+    """What a change does to a table of edges: ``removed`` are edges of it, ``added`` are none of it, so that either can be undone."""
+
+    removed: DataFrame  #: EDGE
+    added: DataFrame  #: EDGE
+
+
+def deltas(edges: DataFrame, changes: DataFrame) -> Deltas:
+    """The net effect of all ``changes`` (resolved) on ``edges``: removed edges go, with * all kinds but structure between the two; a deleted object loses all
+    edges; a moved object leaves its containers; an added edge that is there or is removed by the same changes stays as it is."""
+    rows = edges.select(*EDGE)
+    named = changes.where("op = 'remove' and edge_type <> '*'").select(*EDGE)
+    every = changes.where("op = 'remove' and edge_type = '*'").select("src", "dst")
     gone = changes.where("op = 'delete'").select(F.col("src").alias("x"))
-    rows = rows.join(gone, F.col("src") == F.col("x"), "left_anti").join(gone, F.col("dst") == F.col("x"), "left_anti")
     moved = changes.where("op = 'move'").select(F.col("src").alias("x"))
-    rows = rows.join(moved, (F.col("dst") == F.col("x")) & (F.col("edge_type") == "Contains"), "left_anti")
-    new = changes.where("op = 'add'").select("src", "dst", "edge_type").union(changes.where("op = 'move'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("Contains")))
-    return rows.union(new.join(rows, ["src", "dst", "edge_type"], "left_anti")).distinct()
+    new = changes.where("op = 'add'").select(*EDGE).union(changes.where("op = 'move'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("Contains"))).distinct()
+    lost = (
+        rows.join(named, EDGE, "left_semi")
+        .union(rows.where(~F.col("edge_type").isin(registry.PLAIN_STRUCTURE)).join(every, ["src", "dst"], "left_semi").select(*EDGE))
+        .union(rows.join(gone, F.col("src") == F.col("x"), "left_semi"))
+        .union(rows.join(gone, F.col("dst") == F.col("x"), "left_semi"))
+        .union(rows.where("edge_type = 'Contains'").join(moved, F.col("dst") == F.col("x"), "left_semi"))
+    )
+    return Deltas(lost.distinct().join(new, EDGE, "left_anti"), new.join(rows, EDGE, "left_anti"))
+
+
+def applied(edges: DataFrame, change: Deltas) -> DataFrame:
+    """``edges`` (a set of EDGE) after a change."""
+    return edges.select(*EDGE).distinct().join(change.removed, EDGE, "left_anti").union(change.added)
+
+
+def undone(edges: DataFrame, change: Deltas) -> DataFrame:
+    """``edges`` before a change that was applied to them."""
+    return applied(edges, Deltas(change.added, change.removed))
+
+
+def apply_changes(edges: DataFrame, changes: DataFrame) -> DataFrame:
+    """``edges`` (src, dst, edge_type) after all ``changes`` (resolved), each edge once."""
+    return applied(edges, deltas(edges, changes))
+
+
+def logged(version: int, change: Deltas) -> DataFrame:
+    """(version, EDGE, present): a change as rows of a log; versions count from 1."""
+    rows = lambda df, there: df.select(F.lit(version).alias("version"), *EDGE, F.lit(there).alias("present"))
+    return rows(change.removed, False).union(rows(change.added, True))
+
+
+def edges_at(base: DataFrame, log: DataFrame, version: int) -> DataFrame:
+    """The edges as of a version (0: ``base``): for each edge that the log names up to then its last entry holds. The base is read once, whatever the version."""
+    last = log.where(F.col("version") <= version).groupBy(*EDGE).agg(F.max_by("present", "version").alias("present"))
+    return base.select(*EDGE).distinct().join(last, EDGE, "left_anti").union(last.where("present").select(*EDGE))
 
 
 class Impact(NamedTuple):
@@ -124,15 +165,87 @@ def impact(nodes: DataFrame, before: DataFrame, after: DataFrame) -> Impact:
     """Exposure and tier 0 before and after: newly exposed, secured, shortened and lengthened objects; promoted and demoted ones."""
     top_b, top_a = tier0(nodes, before), tier0(nodes, after)
     b, a = exposed(before, top_b).withColumnRenamed("hops", "hops_before"), exposed(after, top_a).withColumnRenamed("hops", "hops_after")
+    rows = _effects(b.join(a, "id", "full"))
+    tiers = top_a.join(top_b, "id", "left_anti").select("id", F.lit("promoted").alias("effect")).union(top_b.join(top_a, "id", "left_anti").select("id", F.lit("demoted")))
+    return Impact(rows, tiers)
+
+
+def _effects(rows: DataFrame) -> DataFrame:
     effect = (
         F.when(F.col("hops_before").isNull(), "new_exposure")
         .when(F.col("hops_after").isNull(), "secured")
         .when(F.col("hops_after") < F.col("hops_before"), "shortened")
         .when(F.col("hops_after") > F.col("hops_before"), "lengthened")
     )
-    rows = b.join(a, "id", "full").withColumn("effect", effect).where("effect is not null")
-    tiers = top_a.join(top_b, "id", "left_anti").select("id", F.lit("promoted").alias("effect")).union(top_b.join(top_a, "id", "left_anti").select("id", F.lit("demoted")))
-    return Impact(rows.select("id", "hops_before", "hops_after", "effect"), tiers)
+    return rows.withColumn("effect", effect).where("effect is not null").select("id", "hops_before", "hops_after", "effect")
+
+
+class Forecast(NamedTuple):
+    impact: Impact
+    kept: Kept  #: states after the changes
+    edges: DataFrame
+    top: DataFrame
+
+
+def forecast(nodes: DataFrame, edges: DataFrame, kept: Kept, top: DataFrame, changes: DataFrame) -> Forecast:
+    """As ``impact``, from the states kept of ``edges`` and ``top``: only what the changes touch is searched again, and tier 0 only if memberships change."""
+    d = deltas(edges, changes)
+    d = Deltas(materialise(d.removed, "removed"), materialise(d.added, "added"))
+    after = applied(edges, d)
+    member = F.col("edge_type") == "MemberOf"
+    none = top.select("id").limit(0)
+    top_after, up, down = top, none, none
+    if not d.removed.where(member).union(d.added.where(member)).isEmpty():
+        top_after = materialise(tier0(nodes, after), "top")
+        up, down = top_after.join(top, "id", "left_anti"), top.join(top_after, "id", "left_anti")
+    new = update(kept, after, top_after, d.removed, d.added, up, down)
+    tiers = up.select("id", F.lit("promoted").alias("effect")).union(down.select("id", F.lit("demoted")))
+    return Forecast(Impact(_effects(changes_of(kept, new, top, top_after)), tiers), new, after, top_after)
+
+
+def combined_effects(edges: DataFrame, top: DataFrame, kept: Kept, added: DataFrame, sets: int = 32, most: int = 8, max_rounds: int = 100) -> DataFrame:
+    """(id, needs, unknown): for each object that ``added`` (idx, EDGE) exposes, the least sets of changes that suffice, and so none of which can be left out.
+    ``edges`` and ``kept`` are those before the additions. An object is exposed by a combination alone if each of its sets has two or more.
+
+    A state carries the set of changes on its route. States that the graph has anyway need none, so only new ones are searched; of a state's sets those that
+    contain another one are dropped. unknown is true where a state had more than ``sets`` sets or one of more than ``most`` changes: there could be others.
+    """
+    state = ["id", "attacked"]
+    known = kept.table().select(*state)
+    attack = F.col("edge_type").isin(registry.ATTACK)
+    usable = lambda rows: rows.where(~F.col("edge_type").isin(registry.NON_TRAVERSABLE)).join(top.select(F.col("id").alias("src")), "src", "left_anti")
+    new = materialise(usable(added).select("idx", "src", F.col("dst").alias("id"), attack.alias("attack")), "additions")
+    old = materialise(walkable(edges, top).select("src", F.col("dst").alias("id"), "attack").distinct(), "hops")
+    landed = (F.col("attacked") | F.col("attack")).alias("attacked")
+    inside = lambda x, y: F.size(F.array_except(x, y)) == 0
+    least = lambda xs: F.filter(xs, lambda x: ~F.exists(xs, lambda y: inside(y, x) & (F.size(y) < F.size(x))))
+
+    def gathered(rows: DataFrame) -> DataFrame:
+        """A row for each state: its least sets, the smallest first, as many as ``sets``."""
+        own = rows.groupBy(*state).agg(F.collect_set("needs").alias("xs"), F.max("unknown").alias("unknown"))
+        ordered = F.array_sort(F.transform(least("xs"), lambda x: F.struct(F.size(x).alias("n"), x.alias("x"))))
+        own = own.withColumn("ys", F.transform(ordered, lambda p: p["x"])).withColumn("unknown", F.col("unknown") | (F.size("ys") > sets))
+        return own.select(*state, F.slice("ys", 1, sets).alias("xs"), "unknown")
+
+    first = new.join(known, "id").select(F.col("src").alias("id"), landed, F.array("idx").alias("needs"), F.lit(False).alias("unknown"))
+    front = materialise(gathered(first.join(known, state, "left_anti")), "needs")
+    total = front
+    for _ in range(max_rounds):
+        if front.isEmpty():
+            break
+        each = front.select(*state, F.explode("xs").alias("needs"), "unknown")
+        back = each.join(old, "id").select(F.col("src").alias("id"), landed, "needs", "unknown")
+        grown = each.join(new, "id").select(F.col("src").alias("id"), landed, F.array_sort(F.array_union("needs", F.array("idx"))).alias("needs"), "unknown")
+        grown = grown.withColumn("unknown", F.col("unknown") | (F.size("needs") > most)).withColumn("needs", F.slice("needs", 1, most))
+        found = gathered(back.union(grown).join(known, state, "left_anti"))
+        before = total.select(*state, F.col("xs").alias("had"), F.col("unknown").alias("was"))
+        found = found.join(before, state, "left")
+        kept_sets = F.filter("xs", lambda x: F.col("had").isNull() | ~F.exists("had", lambda y: inside(y, x)))
+        front = materialise(found.withColumn("xs", kept_sets).where((F.size("xs") > 0) | (F.col("unknown") & ~F.coalesce("was", F.lit(False)))).select(*state, "xs", "unknown"), "needs")
+        total = materialise(gathered(total.union(front).select(*state, F.explode_outer("xs").alias("needs"), "unknown").withColumn("needs", F.coalesce("needs", F.array().cast("array<int>")))).withColumn("xs", F.filter("xs", lambda x: F.size(x) > 0)), "needs")
+    else:
+        raise RuntimeError(f"sets of changes did not settle in {max_rounds} rounds")
+    return total.where("attacked").join(top.select("id"), "id", "left_anti").select("id", F.col("xs").alias("needs"), "unknown")
 
 
 def scenario_exposure(edges: DataFrame, top: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame:
