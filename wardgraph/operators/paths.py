@@ -106,17 +106,19 @@ def cheapest_weights(starts: DataFrame, edges: DataFrame) -> DataFrame:
 UNIT = 1_000_000_000
 
 
-def _cheapest_hops(edges: DataFrame) -> DataFrame:
-    """(prev, id, w, edge_type): of parallel edges the one with the least weight (ties by kind), in UNITs."""
-    dim = F.broadcast(registry.edge_dim(edges.sparkSession).select("edge_type", F.round(F.col("weight") * UNIT).cast("long").alias("w")))
-    rows = edges.select("src", "dst", "edge_type").join(dim, "edge_type", "left").withColumn("w", F.coalesce("w", F.lit(100 * UNIT)))
+def _cheapest_hops(edges: DataFrame, costs: DataFrame, other: int) -> DataFrame:
+    """(prev, id, w, edge_type): of parallel edges the one with the least cost (ties by kind)."""
+    rows = edges.select("src", "dst", "edge_type").join(F.broadcast(costs), "edge_type", "left").withColumn("w", F.coalesce("w", F.lit(other)))
     return rows.groupBy(F.col("src").alias("prev"), F.col("dst").alias("id")).agg(F.min(F.struct("w", "edge_type")).alias("x")).select("prev", "id", "x.w", "x.edge_type")
 
 
-def weighted_tree(starts: DataFrame, edges: DataFrame) -> DataFrame:
-    """(origin, id, cost, prev, edge_type): least total weight from each start (id) along any edge, and the last step of such a route: of
-    several the one with the least previous object. A start itself has cost 0 and no step. Costs in UNITs."""
-    hops = materialise(_cheapest_hops(edges), "hops")
+def weighted_tree(starts: DataFrame, edges: DataFrame, costs: DataFrame | None = None, other: int = 100 * UNIT) -> DataFrame:
+    """(origin, id, cost, prev, edge_type): least total cost from each start (id) along any edge, and the last step of such a route: of
+    several the one with the least previous object. A start itself has cost 0 and no step. costs: edge_type, w (above 0), a row for each kind; ``other``: of kinds
+    that aren't in it. Weights in UNITs unless given."""
+    if costs is None:
+        costs = registry.edge_dim(edges.sparkSession).select("edge_type", F.round(F.col("weight") * UNIT).cast("long").alias("w"))
+    hops = materialise(_cheapest_hops(edges, costs, other), "hops")
     costs = relax(starts.select(F.col("id").alias("origin"), "id", F.lit(0).cast("long").alias("cost")).distinct(), hops.select(F.col("prev").alias("id"), F.col("id").alias("next"), F.col("w").alias("weight")), ["origin", "id"])
     costs = materialise(costs, "costs")
     ahead = costs.select("origin", F.col("id").alias("prev"), F.col("cost").alias("so_far"))
@@ -127,8 +129,16 @@ def weighted_tree(starts: DataFrame, edges: DataFrame) -> DataFrame:
 
 def cheapest_routes_to_targets(starts: DataFrame, targets: DataFrame, edges: DataFrame) -> DataFrame:
     """(origin, target, cost, nodes, edge_types): a route of least weight from each start (id) to each target (id) that it reaches. A start that is a target
-    has a route of no steps. Each pass doubles the part of the routes that is known, so a route of n steps takes about log2(n) passes."""
+    has a route of no steps."""
     tree = materialise(weighted_tree(starts, edges), "tree")
+    wanted = tree.join(targets.select("id").distinct(), "id", "left_semi").select("origin", "id")
+    rows = routes_of(tree, wanted).join(tree.select("origin", "id", "cost"), ["origin", "id"])
+    return rows.select("origin", F.col("id").alias("target"), (F.col("cost") / UNIT).alias("cost"), "nodes", "edge_types")
+
+
+def routes_of(tree: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(origin, id, nodes, edge_types): the routes of ``tree`` (``weighted_tree``) to wanted objects (origin, id). Each pass doubles the part of the routes
+    that is known, so a route of n steps takes about log2(n) passes."""
     empty = F.array().cast("array<string>")
     # from a to ``at``: objects after ``at``, and kinds of the steps
     jumps = tree.select(
@@ -140,8 +150,8 @@ def cheapest_routes_to_targets(starts: DataFrame, targets: DataFrame, edges: Dat
         before = jumps.select("origin", F.col("id").alias("at"), F.col("at").alias("at2"), F.col("nodes").alias("nodes2"), F.col("kinds").alias("kinds2"))
         joined = jumps.join(before, ["origin", "at"])
         jumps = materialise(joined.select("origin", "id", F.col("at2").alias("at"), F.concat("nodes2", "nodes").alias("nodes"), F.concat("kinds2", "kinds").alias("kinds")), "jumps")
-    rows = jumps.join(targets.select("id").distinct(), "id", "left_semi").join(tree.select("origin", "id", "cost"), ["origin", "id"])
-    return rows.select("origin", F.col("id").alias("target"), (F.col("cost") / UNIT).alias("cost"), F.concat(F.array("origin"), "nodes").alias("nodes"), F.col("kinds").alias("edge_types"))
+    rows = jumps.join(wanted.select("origin", "id").distinct(), ["origin", "id"], "left_semi")
+    return rows.select("origin", "id", F.concat(F.array("origin"), "nodes").alias("nodes"), F.col("kinds").alias("edge_types"))
 
 
 def breach_routes(starts: DataFrame, nodes: DataFrame, edges: DataFrame, top: DataFrame, max_depth: int = 12, max_routes: int | None = 4000) -> DataFrame:

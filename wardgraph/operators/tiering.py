@@ -69,7 +69,10 @@ def resolve(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     keys = nodes.select("object_id", F.explode(F.array_distinct(F.array(F.struct(F.lit(1).alias("stage"), F.upper("object_id").alias("q")), F.struct(F.lit(2).alias("stage"), full.alias("q")), F.struct(F.lit(2).alias("stage"), shown.alias("q"))))).alias("k")).select("object_id", "k.*")
     exact = q.join(keys, "q").select("query", "object_id", "stage")
     rest = q.join(exact.select("query").distinct(), "query", "left_anti")
-    part = nodes.join(rest, full.contains(F.col("q"))).select("query", "object_id", F.lit(3).alias("stage"))  # each name that fits none is looked for in all: as many as a user asks
+    # a name that holds q holds its first three characters (or all, if it has fewer)
+    grams = lambda n: F.when(F.length(full) >= n, F.transform(F.sequence(F.lit(1), F.length(full) - n + 1), lambda i: F.substring(full, i, F.lit(n)))).otherwise(F.array())
+    indexed = nodes.select("object_id", full.alias("full"), F.explode(F.array_distinct(F.concat(F.array(F.lit("")), grams(1), grams(2), grams(3)))).alias("gram"))
+    part = indexed.join(rest.withColumn("gram", F.substring("q", 1, 3)), "gram").where(F.contains("full", "q")).select("query", "object_id", F.lit(3).alias("stage"))
     best = exact.groupBy("query").agg(F.min("stage").alias("stage"))
     return exact.join(best, ["query", "stage"]).select("query", "object_id", "stage").union(part).distinct()
 
