@@ -105,6 +105,20 @@ def test_denies_match_search_on_acyclic_graphs(spark):
     assert {r["id"]: r["hops"] for r in found.collect()} == want
 
 
+def test_overlapping_denies_read_no_more_than_the_guarded_steps(spark):
+    """Nine denies on overlapping groups bind 512 users in 511 ways; only the guarded host's steps meet them."""
+    users = [f"u{i:03}" for i in range(512)]
+    member = [(u, f"g{b}", "MemberOf") for i, u in enumerate(users) for b in range(9) if i >> b & 1]
+    rights = [(u, h, "AdminTo") for u in users for h in ("h0", "h1")]
+    edges = spark.createDataFrame([*member, *rights, ("h0", "top", "HasSession"), ("h1", "top", "HasSession")], EDGES)
+    denies = spark.createDataFrame([(b, f"g{b}", "AdminTo", "h0") for b in range(9)], "deny_id int, principal string, edge_type string, target string")
+    top = spark.createDataFrame([("top",)], "id string")
+    got = {r["id"]: r["hops"] for r in exposure.exposed_with_denies(edges, top, denies).collect()}
+    assert got == dict.fromkeys(users, 2) | {"h0": 1, "h1": 1} | {f"g{b}": got.get(f"g{b}") for b in range(9) if f"g{b}" in got}
+    both = spark.createDataFrame([(b, f"g{b % 9}", "AdminTo", "h0" if b < 9 else "h1") for b in range(18)], "deny_id int, principal string, edge_type string, target string")
+    assert {r["id"] for r in exposure.exposed_with_denies(edges, top, both).collect()} == {"u000", "h0", "h1"}
+
+
 def test_next_steps_lead_to_the_top(many):
     _, edges, top = many
     found = exposure.states(edges, top)

@@ -7,6 +7,7 @@ import pytest
 
 from wardgraph.functions import registry
 from wardgraph.operators import names, tiering, units, whatif
+from wardgraph.plans import queries, updates  # noqa: F401  updates registers its queries
 
 NODES = "object_id string, name string, node_type string"
 PEOPLE = [
@@ -64,6 +65,16 @@ def test_suggestions_are_those_of_a_plain_scan(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_registered_suggestions_are_plain(spark, sf):
+    g = queries.Graph.of_folder(spark, sf)
+    nodes = [(r["object_id"], r["name"], r["node_type"]) for r in g.nodes.collect()]
+    got = {}
+    for r in queries.QUERIES["name_suggestions"](spark, sf).orderBy("query", "place").collect():
+        got.setdefault(r["query"], []).append(r["suggestion"])
+    assert got and all(got[x] == plain_suggestions(x, nodes) for x in got)
+    assert {f"nashion_{k}" for k in range(25)} <= {*got}
+
+
 def test_parts_of_names_are_found_without_comparing_all(spark, graph):
     asked = spark.createDataFrame([(x,) for x in ("lic", "l", "min", "S-9", "corp.local", "none such")], "query string")
     found = tiering.resolve(asked, graph[0])
@@ -89,7 +100,7 @@ def test_all_names_that_fit_nothing_are_told_at_once(spark, graph):
     lines = str(told.value).split("\n")
     assert [x.split(":")[0] for x in lines] == ["@members(No Such)", "alise", "bob", "web99"] and "did you mean alice?" in lines[1] and "several" in lines[2] and "web01" in lines[3]
     alone = graph[0].where("node_type not in ('Domain') and object_id <> 'S-1-516'")
-    with pytest.raises(whatif.ChangeError, match="no domain controllers(.|\n)*there are 0"):
+    with pytest.raises(whatif.ChangeError, match="there are 0(.|\n)*no domain controllers"):
         names.expand_changes(spark.createDataFrame(whatif.parse_changes("grant @dcs GenericAll <domain>"), whatif.CHANGES), alone, graph[1])
 
 

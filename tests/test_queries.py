@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from wardgraph.plans import facts, oracle, queries  # noqa: F401  facts registers its queries
+from wardgraph.plans import facts, oracle, queries, updates  # noqa: F401  facts and updates register their queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -43,7 +43,7 @@ def test_query_matches_sql(spark, sf, sql, name):
 
 
 def test_queries_without_sql(spark, sf):
-    assert {*queries.QUERIES} - {*oracle.ORACLES} == {"exposure_exact", "residual_points"}
+    assert {*queries.QUERIES} - {*oracle.ORACLES} == {"exposure_exact", "residual_points", "name_suggestions"}
     found = {r["id"]: r for r in queries.QUERIES["exposure_exact"](spark, sf).collect()}
     walks = {r["id"]: r["hops"] for r in queries.QUERIES["exposure_hops"](spark, sf).collect()}
     assert {*found} <= {*walks} and all(found[i]["hops"] >= walks[i] for i in found)

@@ -104,6 +104,10 @@ def exact(edges: DataFrame, top: DataFrame) -> DataFrame:
     )
 
 
+#: Stands for every signature; a signature is made of numbers and commas.
+ANY = "*"
+
+
 def deny_signatures(denies: DataFrame, edges: DataFrame) -> DataFrame:
     """(actor, sig): sorted deny_ids that bind an actor. denies: deny_id, principal, edge_type, target; a deny binds its principal and all recursive members."""
     members = edges.where(F.col("edge_type") == "MemberOf")
@@ -115,25 +119,31 @@ def exposed_with_denies(edges: DataFrame, top: DataFrame, denies: DataFrame) ->
     """(id, hops): exposure where a deny blocks one kind of step onto one object for those it binds.
 
     A state also carries the signature of the identity that acts. A membership step keeps it; any other step lands on an object, so the
-    signature ahead must be the object's own, and behind it may be any signature that no deny for that step and object contains.
+    signature ahead must be the object's own, and behind it may be any signature that no deny for that step and object contains. ANY stands for all
+    signatures, so only steps onto guarded objects have a row for each signature that may take them.
     """
     hops = materialise(walkable(edges, top), "hops")
-    guarded = denies.join(hops.select(F.col("dst").alias("target"), "edge_type").distinct(), ["target", "edge_type"], "left_semi")
+    step_of = ["dst", "edge_type"]
+    guarded = denies.select("deny_id", F.col("principal"), "edge_type", F.col("target").alias("dst")).join(hops.select(*step_of).distinct(), step_of, "left_semi")
     sigs = materialise(deny_signatures(guarded, edges), "signatures")
     universe = sigs.select("sig").union(sigs.sparkSession.createDataFrame([("",)], "sig string")).distinct()
-    blocked = guarded.crossJoin(universe).where(F.array_contains(F.split("sig", ","), F.col("deny_id").cast("string"))).select(F.col("target").alias("dst"), "edge_type", "sig").distinct()
+    bound = universe.select("sig", F.explode(F.split("sig", ",")).alias("deny_id"))
+    blocked = bound.join(guarded.select(F.col("deny_id").cast("string").alias("deny_id"), *step_of), "deny_id").select(*step_of, "sig").distinct()
     universe, blocked = materialise(universe, "universe"), materialise(blocked, "blocked")
     own = hops.select(F.col("dst").alias("id")).union(hops.select("src")).union(top.select("id")).distinct().join(sigs.withColumnRenamed("actor", "id"), "id", "left").select("id", F.coalesce("sig", F.lit("")).alias("own"))
     own = materialise(own, "own")
     nested = hops.where("edge_type = 'MemberOf'").select("src", F.col("dst").alias("id"))
-    landing = hops.where("edge_type <> 'MemberOf'").crossJoin(universe).join(blocked, ["dst", "edge_type", "sig"], "left_anti")
-    landing = materialise(landing.join(own, F.col("dst") == F.col("id")).select("src", F.col("dst").alias("id"), "attack", F.col("own").alias("ahead"), F.col("sig").alias("behind")).distinct(), "landing")
+    landed = hops.where("edge_type <> 'MemberOf'").join(own, F.col("dst") == F.col("id"))
+    free = landed.join(blocked.select(*step_of).distinct(), step_of, "left_anti").select("src", "id", "attack", "own", F.lit(ANY).alias("behind"))
+    # only steps that a deny names meet the signatures
+    barred = landed.join(blocked.select(*step_of).distinct(), step_of, "left_semi").crossJoin(universe).join(blocked, [*step_of, "sig"], "left_anti")
+    landing = materialise(free.union(barred.select("src", "id", "attack", "own", "sig")).distinct(), "landing")
 
     def step(new: DataFrame) -> DataFrame:
         up = new.join(nested, "id").select(F.col("src").alias("id"), "attacked", "sig")
-        on = new.join(landing, (new["id"] == landing["id"]) & (new["sig"] == landing["ahead"])).select(F.col("src").alias("id"), (F.col("attacked") | F.col("attack")).alias("attacked"), F.col("behind").alias("sig"))
-        return up.union(on)
+        on = new.join(landing, "id").where((F.col("sig") == ANY) | (F.col("sig") == F.col("own")))
+        return up.union(on.select(F.col("src").alias("id"), (F.col("attacked") | F.col("attack")).alias("attacked"), F.col("behind").alias("sig")))
 
-    start = top.select("id").crossJoin(universe).select("id", F.lit(False).alias("attacked"), "sig")
-    found = semi_naive(start, step, ["id", "attacked", "sig"])
-    return found.where("attacked").join(own, "id").where("sig = own").join(top, "id", "left_anti").groupBy("id").agg(F.min("depth").alias("hops"))
+    found = semi_naive(top.select("id", F.lit(False).alias("attacked"), F.lit(ANY).alias("sig")), step, ["id", "attacked", "sig"])
+    found = found.where("attacked").join(own, "id").where((F.col("sig") == ANY) | (F.col("sig") == F.col("own")))
+    return found.join(top, "id", "left_anti").groupBy("id").agg(F.min("depth").alias("hops"))

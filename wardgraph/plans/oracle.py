@@ -195,7 +195,7 @@ ORACLES["breach_routes"] = GRAPH + """, back(id) AS (SELECT id FROM top UNION SE
   FROM f p JOIN hops h ON h.src = p.target WHERE p.length < 12 AND p.before < 4000 AND NOT list_contains(p.nl, h.dst) AND h.dst IN (SELECT id FROM back)
 ) SELECT source, target, length, array_to_string(nl, '>') AS nodes, array_to_string(el, '>') AS edge_types FROM f WHERE attacked AND target IN (SELECT id FROM top) ORDER BY length, source, target, nl, el LIMIT 4000"""
 ORACLES["crown_jewels"] = GRAPH + """, jw AS (SELECT object_id AS id, CAST(substr(object_id, 2) AS INTEGER) % 7 AS value FROM nodes WHERE node_type = 'Computer' AND CAST(substr(object_id, 2) AS INTEGER) % 5 = 0
-), r(origin, id, d) AS (SELECT id, id, 0 FROM jw UNION SELECT r.origin, e.src, r.d + 1 FROM r JOIN edges e ON e.dst = r.id WHERE r.d < 3
+), r(origin, id, d) AS (SELECT id, id, 0 FROM jw UNION SELECT r.origin, e.src, r.d + 1 FROM r JOIN edges e ON e.dst = r.id WHERE r.d < 20
 ), q AS (SELECT r.origin, r.id, min(d) AS d FROM r JOIN nodes n ON n.object_id = r.id WHERE r.id <> r.origin AND n.node_type IN ('User', 'Computer') GROUP BY r.origin, r.id)
 SELECT jw.id AS jewel, CAST(jw.value AS INTEGER) AS value, count(q.id) AS reachers, CAST(min(q.d) AS INTEGER) AS nearest FROM jw LEFT JOIN q ON q.origin = jw.id GROUP BY jw.id, jw.value"""
 ORACLES["fix_safety"] = greedy(5) + """ SELECT f.src, f.dst, f.edge_type, CASE WHEN n.name LIKE 'SVC_%' AND n.enabled THEN 'caution' WHEN t.node_type = 'Computer' AND t.tier = 0 THEN 'caution' ELSE 'safe' END AS safety FROM fixes f JOIN nodes n ON n.object_id = f.src JOIN tiered t ON t.object_id = f.dst"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import registry, scalars
-from ..operators import audit, derive, exposure, fixpoint, paths, scoring, tiering, whatif
+from ..operators import audit, derive, exposure, fixpoint, maintained, paths, scoring, tiering, whatif
 from ..sources import tpch_graph
 from ..storage import materialise
 from ..streaming import sessions
@@ -42,6 +42,11 @@ class Graph:
     def of(self, *types: str) -> DataFrame:
         return self.nodes.where(F.col("node_type").isin(list(types))).select(F.col("object_id").alias("id"))
 
+    @cached_property
+    def kept(self) -> maintained.Kept:
+        """The states of exposure and their next steps, which later changes start from."""
+        return maintained.keep(self.edges, self.top)
+
     @cached_property
     def paths(self) -> DataFrame:
         return materialise(paths.with_ids(paths.enumerate_paths(self.nodes, self.edges, self.top)), "all-paths")
@@ -68,7 +73,7 @@ def exposure_hops(g: Graph) -> DataFrame:
 
 @query
 def exposure_routes(g: Graph) -> DataFrame:
-    return exposure.next_steps(g.edges, g.top, exposure.states(g.edges, g.top))
+    return g.kept.base.where("depth > 0").select("id", "attacked", "depth", "next_id", "next_attacked", "edge_type")
 
 
 @query
@@ -241,7 +246,7 @@ def whatif_impact(g: Graph) -> DataFrame:
     removed = gone.select(F.lit(0).alias("idx"), F.lit("remove").alias("op"), "src", "edge_type", "dst", F.lit(None).cast("int").alias("ttl_minutes"))
     added = whatif.parse_changes("grant R1 GenericAll S-1-5-21-0-512\ngrant R2 GenericAll C1")
     added = whatif.resolve_changes(g.spark.createDataFrame(added, whatif.CHANGES), g.nodes).select(*removed.columns)
-    return whatif.impact(g.nodes, g.edges, materialise(whatif.apply_changes(g.edges, removed.union(added)), "after")).exposure
+    return whatif.forecast(g.nodes, g.edges, g.kept, g.top, materialise(removed.union(added), "changes")).impact.exposure
 
 
 @query
@@ -270,7 +275,7 @@ def breach_routes(g: Graph) -> DataFrame:
 @query
 def crown_jewels(g: Graph) -> DataFrame:
     key = F.substring("id", 2, 20).cast("int")
-    return scoring.crown_jewels(g.of("Computer").where(key % 5 == 0).withColumn("value", key % 7), g.tiered, g.edges, 3)
+    return scoring.crown_jewels(g.of("Computer").where(key % 5 == 0).withColumn("value", key % 7), g.tiered, g.edges, 20)
 
 
 @query
