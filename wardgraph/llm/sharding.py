@@ -7,7 +7,7 @@ job that dies leaves the last version as it was.
 
 ``append`` writes arrivals as small shards without a shuffle. ``compact`` puts shards below the target size into tiers (a tier's
 shards are at most ``growth`` times apart), and a tier of at least ``fan_in`` shards is dealt into runs of about the target size. Runs are
-numbered, and each has a task of its own, which writes one file; so no task holds more than a run. Passes repeat until no tier has enough
+numbered, and each has a task of its own, which reads the run's shards one after another and writes one file; nothing is shuffled, and no task holds more than a batch of rows. Passes repeat until no tier has enough
 shards. Rows are kept whole, in no particular order; repeated rows stay repeated.
 An empty append commits a version without new shards; nulls and any column names are stored as they are.
 """
@@ -17,6 +17,8 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -81,10 +83,10 @@ class ShardStore:
         version = self.versions()[-1] if version is None else version
         return self.spark.read.schema(ENTRIES).parquet(literal(self._head(version)["manifest"]))
 
-    def _written(self, folder: str) -> DataFrame:
-        """Entries of the shards of a job, from their footers."""
+    def _written(self, *folders: str) -> DataFrame:
+        """Entries of the shards of some jobs, from their footers."""
         try:
-            found = self.spark.read.parquet(literal(folder))
+            found = self.spark.read.parquet(*map(literal, folders))
         except AnalysisException:  # no rows, so no shards
             return self.spark.createDataFrame([], ENTRIES)
         return found.groupBy(file_path().alias("path"), F.col("_metadata.file_size").alias("bytes")).agg(F.count("*").alias("rows")).where("rows > 0").select("path", "rows", "bytes")
@@ -110,8 +112,16 @@ class ShardStore:
         several = runs.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run", (F.row_number().over(Window.orderBy("run")) - 1).alias("number"))
         return runs.join(several, "run").select("path", F.col("number").alias("run"), "bytes")
 
-    def compact(self, target_bytes: int = 64 << 20, fan_in: int = 4, growth: float = 4.0, max_passes: int = 8) -> int:
-        """Merges until no tier of shards below the target has ``fan_in`` members; commits each pass. Returns the version."""
+    def _merged(self, runs: list[list[str]], schema: T.StructType) -> str:
+        """Writes a file for each run (its shards' paths): a task reads the run's shards one after another, so nothing is shuffled."""
+        folder = f"{self.root}/data/{uuid.uuid4().hex}"
+        reader = self.spark.read.schema(schema)
+        reduce(DataFrame.union, [reader.parquet(*paths).coalesce(1) for paths in runs]).write.option("compression", "zstd").parquet(folder)
+        return folder
+
+    def compact(self, target_bytes: int = 64 << 20, fan_in: int = 4, growth: float = 4.0, max_passes: int = 8, together: int = 64, at_once: int = 4) -> int:
+        """Merges until no tier of shards below the target has ``fan_in`` members; commits each pass. Returns the version. A job merges ``together`` runs, and
+        ``at_once`` jobs run side by side."""
         version = self.versions()[-1]
         for _ in range(max_passes):
             head = self._head(version)
@@ -119,17 +129,16 @@ class ShardStore:
             entries = self.manifest(version)
             plan = self.plan(entries, target_bytes, fan_in, growth).persist()
             try:
-                paths = [r["path"] for r in plan.select("path").collect()]  # names of files, of which the scan keeps a list anyway
-                if not paths:
+                runs: dict[int, list[str]] = {}
+                for r in plan.select("run", "path").collect():  # names of files, of which the scan keeps a list anyway
+                    runs.setdefault(r["run"], []).append(literal(r["path"]))
+                if not runs:
                     return version
-                runs = plan.select("run").distinct().count()
-                run, name = f"run_{uuid.uuid4().hex[:8]}", f"path_{uuid.uuid4().hex[:8]}"
-                rows = self.spark.read.schema(schema).parquet(*map(literal, paths)).withColumn(name, file_path())
-                rows = rows.join(plan.select(F.col("path").alias(name), F.col("run").alias(run)), name).drop(name)
-                folder = f"{self.root}/data/{uuid.uuid4().hex}"
-                rows.repartitionById(runs, F.col(run).cast("int")).drop(run).write.option("compression", "zstd").parquet(folder)
+                jobs = [list(runs.values())[k : k + together] for k in range(0, len(runs), together)]
+                with ThreadPoolExecutor(at_once) as pool:
+                    folders = list(pool.map(lambda some: self._merged(some, schema), jobs))
                 kept = entries.join(plan.select("path"), "path", "left_anti").select("path", "rows", "bytes")
-                version = self._commit(kept.union(self._written(folder)), schema, version)
+                version = self._commit(kept.union(self._written(*folders)), schema, version)
             finally:
                 plan.unpersist()
         return version
