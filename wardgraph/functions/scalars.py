@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,3 +103,11 @@ def federation_subject(issuer: Column, subject: Column) -> Column:
     gitlab = text.contains("*") | ~F.lower(text).contains("ref_type:branch")
     broad = F.when(provider == "github", github).when(provider == "gitlab", gitlab).when(provider == "azuredevops", text.contains("*")).otherwise(True)
     return F.struct(provider.alias("provider"), repo.alias("repo"), broad.alias("broad"))
+
+
+def uuid5(namespace: uuid.UUID, text: Column) -> Column:
+    """The version 5 UUID of a text in a namespace: SHA-1 of both, with the bits of version and variant set."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace.hex)), F.encode(text, "UTF-8")))
+    part = lambda at, n: F.substring(h, at, n)
+    variant = F.lower(F.hex(F.conv(part(17, 1), 16, 10).cast("int").bitwiseAND(F.lit(3)).bitwiseOR(F.lit(8))))
+    return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))

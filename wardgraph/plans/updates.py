@@ -8,11 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import maintained, names, paths, scoring, units, whatif
+from .. import detections
+from ..functions import registry
+from ..operators import maintained, names, paths, policy, scoring, units, whatif
 from ..storage import materialise
 from .facts import EDGE, _hosts, _key, _number
-from .oracle import DIM, GRAPH, ORACLES, STATES
-from .queries import Graph, query
+from .oracle import DIM, GRAPH, ORACLES, PATHS, STATES
+from .queries import RULES, TELEMETRY, Graph, query
 
 # exposure kept up to date
 
@@ -225,3 +227,86 @@ ORACLES["unit_breakdown"] = f"""WITH risk AS ({ORACLES["node_risk"]}), rows_ AS
 ), c AS (SELECT unit, count(*) AS objects, count(*) FILTER (tier0_reach > 0) AS reaching FROM rows_ GROUP BY unit), f AS (SELECT *, row_number() OVER (ORDER BY reaching DESC, objects DESC, unit) AS place FROM c
 ), k AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY tier0_reach DESC, risk DESC, object_id) AS rank FROM rows_)
 SELECT CAST(place AS INTEGER) AS place, f.unit, objects, reaching, CAST(rank AS INTEGER) AS rank, object_id, tier0_reach, risk FROM f JOIN k ON k.unit = f.unit WHERE place <= 20 AND rank <= 8"""
+
+
+# policy and detection
+
+
+@query
+def softened_findings(g: Graph) -> DataFrame:
+    """A finding for each customer, of two changes of nations, under controls and waivers of regions, one of which has run out."""
+    k, n, r = F.col("c_custkey"), F.col("n_nationkey").cast("int"), F.col("r_regionkey").cast("int")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("NEW_EXPOSURE", "COMBINED_EFFECT", "PATH_SHORTENED", "RISK_REDUCTION")]), (k % 4 + 1).cast("int"))
+    findings = g.table("customer").select(k.alias("finding_id"), kind.alias("kind"), (k % 5 + 1).cast("int").alias("severity"), F.array((k % 25).cast("int"), ((7 * k + 3) % 25).cast("int")).alias("changes"), (k % 11 == 0).alias("superseded"))
+    places = g.table("nation").join(g.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    changes = places.select(n.alias("idx"), F.col("n_name").alias("source"), F.when(n % 2 == 0, "MemberOf").otherwise("AdminTo").alias("edge"), F.col("r_name").alias("target"), F.when(n % 3 != 0, n * 10).alias("ttl_minutes"))
+    regions = g.table("region")
+    expires = F.when(r == 1, F.to_date(F.lit("2020-01-01")))
+    controls = regions.where("r_regionkey < 4").select(F.concat(F.lit("c"), r).alias("rule_id"), r.alias("place"), F.lit("nation*").alias("source"), F.when(r == 2, "Admin*").otherwise("*").alias("edge"), F.lower("r_name").alias("target"), F.array(F.when(r == 3, "COMBINED_EFFECT").otherwise("*")).alias("kinds"), expires.alias("expires"), (r % 2 + 1).alias("steps"))
+    waivers = regions.where("r_regionkey < 3").select(F.concat(F.lit("w"), r).alias("rule_id"), r.alias("place"), F.lit("*").alias("source"), F.lit("member??").alias("edge"), F.col("r_name").alias("target"), F.array(F.lit("*")).alias("kinds"), expires.alias("expires"))
+    today = F.to_date(F.lit("2024-06-01"))
+    done = policy.decided(policy.waived(policy.softened(findings, changes, controls, today, 120), changes, waivers, today))
+    return done.select("finding_id", "severity", "temporary", "control", "control_status", "waiver", "waiver_status", "decision")
+
+
+ORACLES["softened_findings"] = """WITH f AS (SELECT c_custkey AS id, ['NEW_EXPOSURE', 'COMBINED_EFFECT', 'PATH_SHORTENED', 'RISK_REDUCTION'][c_custkey % 4 + 1] AS kind, c_custkey % 5 + 1 AS sev, [c_custkey % 25, (7 * c_custkey + 3) % 25] AS ch, c_custkey % 11 = 0 AS sup FROM customer
+), c AS (SELECT n_nationkey AS idx, n_nationkey % 2 = 1 AS adm, n_regionkey AS r, CASE WHEN n_nationkey % 3 <> 0 THEN n_nationkey * 10 END AS ttl FROM nation
+), e AS (SELECT id, kind, at_, ch[at_] AS idx FROM f, (SELECT unnest([1, 2]) AS at_) a
+), m AS (SELECT e.id, e.kind, at_, coalesce(ttl, 0) AS ttl,
+  CASE WHEN r = 0 THEN 'c0' WHEN r = 1 THEN 'c1' WHEN r = 2 AND adm THEN 'c2' WHEN r = 3 AND kind = 'COMBINED_EFFECT' THEN 'c3' END AS ctl, r = 1 AS old, r % 2 + 1 AS steps, CASE WHEN r < 3 AND NOT adm THEN 'w' || CAST(r AS VARCHAR) END AS wv FROM e JOIN c USING (idx)
+), g AS (SELECT id, min(ttl) > 0 AS jit, max(ttl) AS longest, bool_and(ctl IS NOT NULL AND NOT old) AS on_, min(steps) AS steps, min(ctl) FILTER (at_ = 1) AS c1, min_by(ctl, at_) FILTER (old AND ctl IS NOT NULL AND at_ = 1) AS o1, min(ctl) FILTER (at_ = 2 AND old) AS o2, bool_and(ctl IS NOT NULL AND NOT old) FILTER (at_ = 1) AS live1,
+  bool_and(wv IS NOT NULL AND wv <> 'w1') AS won, min(wv) FILTER (at_ = 1) AS w1, bool_and(wv IS NOT NULL AND wv <> 'w1') FILTER (at_ = 1) AS wlive1, min(wv) FILTER (at_ = 2) AS w2 FROM m GROUP BY id
+), s AS (SELECT f.id, kind, sup, sev, NOT sup AND kind <> 'RISK_REDUCTION' AS ok, CASE WHEN kind = 'COMBINED_EFFECT' THEN 3 ELSE 2 END AS fl, g.* EXCLUDE (id) FROM f JOIN g USING (id)
+), t AS (SELECT *, CASE WHEN ok AND jit AND longest <= 120 THEN least(sev, greatest(sev - 1, fl)) ELSE sev END AS s1 FROM s
+), u AS (SELECT *, CASE WHEN ok AND on_ THEN least(s1, greatest(s1 - steps, fl)) ELSE s1 END AS s2, CASE WHEN NOT ok THEN NULL WHEN on_ THEN c1 WHEN NOT live1 THEN o1 ELSE o2 END AS ctl, CASE WHEN won THEN w1 WHEN NOT wlive1 THEN w1 ELSE w2 END AS wv FROM t
+), v AS (SELECT *, CASE WHEN ctl IS NOT NULL THEN CASE WHEN on_ THEN 'applied' ELSE 'expired' END END AS cs, CASE WHEN wv IS NOT NULL THEN CASE WHEN won THEN 'applied' ELSE 'expired' END END AS ws, kind IN ('NEW_EXPOSURE', 'COMBINED_EFFECT') AND s2 >= 4 AS gated FROM u)
+SELECT id AS finding_id, CAST(s2 AS INTEGER) AS severity, CASE WHEN ok AND jit THEN CAST(longest AS INTEGER) END AS temporary, ctl AS control, cs AS control_status, wv AS waiver, ws AS waiver_status,
+CASE WHEN sup OR kind = 'RISK_REDUCTION' OR (NOT gated AND s2 < 3) THEN 'ok' WHEN coalesce(ws = 'applied', false) THEN 'waived' WHEN gated THEN 'block' ELSE 'review' END AS decision FROM v"""
+
+
+@query
+def telemetry_plan(g: Graph) -> DataFrame:
+    """What to switch on, in order, where nothing is on yet."""
+    return policy.telemetry_plan(g.paths, [])
+
+
+_ROUNDS = 12
+_OPTIONS = ", ".join(f"('{e}', {needs.split('+')}, {registry.CONFIDENCES.index(q) + 1})" for e, needs, q in registry.OBSERVABLE if e in ("AdminTo", "HasSession", "ForceChangePassword", "GenericWrite", "WriteDacl"))
+ORACLES["telemetry_plan"] = PATHS + f", opt(edge_type, needs, q) AS (SELECT * FROM (VALUES {_OPTIONS}) v), po AS (SELECT DISTINCT path_id, needs, q FROM steps JOIN opt USING (edge_type)), on0 AS (SELECT []::VARCHAR[] AS o)" + "".join(
+    f""", blind{k} AS (SELECT path_id FROM po, on{k - 1} GROUP BY path_id HAVING bool_and(len(list_filter(needs, lambda x: NOT list_contains(o, x))) > 0)
+), miss{k} AS (SELECT path_id, q, list_filter(needs, lambda x: NOT list_contains(o, x)) AS z FROM po JOIN blind{k} USING (path_id), on{k - 1}
+), best{k} AS MATERIALIZED (SELECT m, count(*) AS n FROM (SELECT path_id, z[1] AS m, max(q) AS q FROM miss{k} WHERE len(z) = 1 GROUP BY path_id, z[1]) y GROUP BY m ORDER BY n DESC, sum(q) DESC, m DESC LIMIT 1
+), on{k} AS MATERIALIZED (SELECT list_append(o, m) AS o FROM on{k - 1}, best{k})"""
+    for k in range(1, _ROUNDS + 1)
+) + " " + " UNION ALL ".join(f"SELECT {k} AS rank, m AS telemetry, n AS paths FROM best{k}" for k in range(1, _ROUNDS + 1))
+
+
+@query
+def rules_to_write(g: Graph) -> DataFrame:
+    return policy.rules_to_write(paths.coverage(g.paths, TELEMETRY, RULES))
+
+
+ORACLES["rules_to_write"] = ORACLES["coverage_by_edge"].rpartition(" SELECT edge_type")[0] + " SELECT edge_type, count(*) AS steps FROM cov WHERE status = 1 GROUP BY edge_type"
+
+
+@query
+def detection_rules(g: Graph) -> DataFrame:
+    """Rules on what the paths pass, and on new members of tier-0 groups and of groups that reach tier 0."""
+    found = detections.rules(g.paths, g.nodes, g.top, g.kept.exposed(g.top))
+    return found.select("rule", "part", "rule_id", "severity", F.size("objects").alias("n"), F.get("objects", 0).alias("first"), "covered")
+
+
+_KINDS = ", ".join(f"('{rule}', '{kind}', '{only}', '[{events.replace(' ', ',')}]', '{field}', '{compared}', '{severity}')" for rule, kinds, only, events, field, compared, severity in detections.KINDS for kind in kinds.split())
+ORACLES["detection_rules"] = PATHS + f""", wlk(id, attacked, d) AS (SELECT id, false, 0 FROM top UNION SELECT hops.src, w.attacked OR hops.attack, w.d + 1 FROM wlk w JOIN hops ON hops.dst = w.id WHERE w.d < 24
+), kinds(rule, edge_type, only_, events, field, compared, severity) AS (SELECT * FROM (VALUES {_KINDS}) v
+), shown AS (SELECT object_id AS id, node_type, CASE WHEN node_type = 'Computer' THEN split_part(split_part(name, '@', 1), '.', 1) || '$' ELSE split_part(name, '@', 1) END AS object FROM nodes
+), pts AS (SELECT edge_type, dst AS id, count(DISTINCT path_id) AS covered FROM steps GROUP BY edge_type, dst
+), rws AS (SELECT rule, severity, events, field, compared, object, covered FROM pts JOIN shown USING (id) JOIN kinds USING (edge_type) WHERE only_ = '' OR only_ = node_type
+  UNION ALL SELECT 'T0_GROUP_MEMBERSHIP', 'critical', '[4728,4732,4756]', 'TargetUserName', 'eq', object, 0 FROM shown WHERE node_type = 'Group' AND id IN (SELECT id FROM top)
+  UNION ALL SELECT 'EXPOSED_GROUP_MEMBERSHIP', 'high', '[4728,4732,4756]', 'TargetUserName', 'eq', object, 0 FROM shown WHERE node_type = 'Group' AND id NOT IN (SELECT id FROM top) AND id IN (SELECT id FROM wlk WHERE attacked)
+), own AS (SELECT rule, severity, events, field, compared, lower(object) AS k, min(object) AS object, sum(covered) AS covered FROM rws GROUP BY rule, severity, events, field, compared, lower(object)
+), dealt AS (SELECT *, (row_number() OVER (PARTITION BY rule ORDER BY k) - 1) // 200 + 1 AS part FROM own
+), prt AS (SELECT rule, part, severity, events, field, compared, count(*) AS n, min_by(object, k) AS first, sum(covered) AS covered, string_agg('"' || object || '"', ',' ORDER BY k) AS os FROM dealt GROUP BY rule, part, severity, events, field, compared
+), named AS (SELECT *, sha1(unhex('{detections.NAMESPACE.hex}') || encode('["' || rule || '",' || CAST(part AS VARCHAR) || ',' || events || ',"' || field || '","' || compared || '",[' || os || ']]')) AS h FROM prt)
+SELECT rule, CAST(part AS INTEGER) AS part, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST(strpos('0123456789abcdef', substr(h, 17, 1)) - 1 AS INTEGER) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS rule_id,
+severity, CAST(n AS INTEGER) AS n, first, CAST(covered AS BIGINT) AS covered FROM named"""
