@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialise
+
 #: What rights are called as edges.
 RIGHT_EDGES = {
     "GenericAll": "GenericAll",
@@ -119,7 +121,10 @@ def nodes(objects: DataFrame) -> DataFrame:
 
 
 def edges(objects: DataFrame) -> DataFrame:
-    """(src, dst, edge_type) of access entries, member lists, primary groups and session files; entries onto the object itself are dropped."""
+    """(src, dst, edge_type) of access entries, member lists, primary groups and session files; entries onto the object itself are dropped.
+
+    Objects are written once, parsed, so that each kind of entry scans a table and no file is read or parsed again."""
+    objects = materialise(objects.select("kind", "o"), "objects")
     rights = F.create_map(*[F.lit(x) for pair in RIGHT_EDGES.items() for x in pair])
     own = _text("$.ObjectIdentifier", "$.objectid", "$.id").alias("id")
     rows = objects.where(F.col("kind").isin(list(TYPES)))
