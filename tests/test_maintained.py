@@ -26,15 +26,15 @@ def rows(df):
 
 
 def test_updates_equal_a_new_search(spark):
-    """120 graphs in one table, four changes one after the other: edges go and come, objects enter and leave tier 0."""
-    parts = [graph(5000 + s) for s in range(120)]
+    """80 graphs in one table, three changes one after the other: edges go and come, objects enter and leave tier 0."""
+    parts = [graph(5000 + s) for s in range(80)]
     names = [p[0] for p in parts]
     edges, tops = [p[2] for p in parts], [p[1] for p in parts]
     table = lambda es: spark.createDataFrame([e for x in es for e in x], EDGES)
     ids = lambda xs: spark.createDataFrame([(t,) for t in xs], "id string")
     kept = maintained.keep(table(edges), ids([t for ts in tops for t in ts]))
     first = kept
-    for step in range(4):
+    for step in range(3):
         after = [changed(s, names[s], tops[s], edges[s], step) for s in range(len(parts))]
         new_edges, new_tops = [a[0] for a in after], [a[1] for a in after]
         gone = [[e for e in x if e not in set(y)] for x, y in zip(edges, new_edges, strict=True)]
