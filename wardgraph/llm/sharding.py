@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ENTRIES = "path string, rows long, bytes long"
+#: Where this is on, a union of single partitions is a single one, and one task would merge all runs.
+UNION = "spark.sql.unionOutputPartitioning"
 
 
 def file_path() -> Column:
@@ -135,8 +137,13 @@ class ShardStore:
                 if not runs:
                     return version
                 jobs = [list(runs.values())[k : k + together] for k in range(0, len(runs), together)]
-                with ThreadPoolExecutor(at_once) as pool:
-                    folders = list(pool.map(lambda some: self._merged(some, schema), jobs))
+                before = self.spark.conf.get(UNION)
+                self.spark.conf.set(UNION, "false")
+                try:
+                    with ThreadPoolExecutor(at_once) as pool:
+                        folders = list(pool.map(lambda some: self._merged(some, schema), jobs))
+                finally:
+                    self.spark.conf.set(UNION, before)
                 kept = entries.join(plan.select("path"), "path", "left_anti").select("path", "rows", "bytes")
                 version = self._commit(kept.union(self._written(*folders)), schema, version)
             finally:
