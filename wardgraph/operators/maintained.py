@@ -122,10 +122,13 @@ def update(kept: Kept, edges: DataFrame, top: DataFrame, removed: DataFrame, add
 
 def changes_of(before: Kept, after: Kept, top_before: DataFrame, top_after: DataFrame) -> DataFrame:
     """(id, hops_before, hops_after) of objects whose exposure differs, read from the states that ``after`` changed and the objects whose tier did."""
-    touched = after.overlay.where("attacked").select("id")
-    moved = top_before.select("id").exceptAll(top_after.select("id")).union(top_after.select("id").exceptAll(top_before.select("id")))
-    ids = touched.union(moved).distinct()
-    was = before.table().where("attacked").join(ids, "id", "left_semi").join(top_before.select("id"), "id", "left_anti").select("id", F.col("depth").alias("hops_before"))
-    now = after.table().where("attacked").join(ids, "id", "left_semi").join(top_after.select("id"), "id", "left_anti").select("id", F.col("depth").alias("hops_after"))
+    new = after.overlay.where("attacked").select("id", "depth")
+    old = before.table().where("attacked").select("id", "depth")
+    ids, now = new.select("id"), new.where("depth is not null")
+    if top_before is not top_after:
+        moved = top_before.join(top_after, "id", "left_anti").select("id").union(top_after.join(top_before, "id", "left_anti").select("id"))
+        ids, now = ids.union(moved), now.union(old.join(moved, "id", "left_semi").join(ids, "id", "left_anti"))
+    was = old.join(ids, "id", "left_semi").join(top_before.select("id"), "id", "left_anti").select("id", F.col("depth").alias("hops_before"))
+    now = now.join(top_after.select("id"), "id", "left_anti").select("id", F.col("depth").alias("hops_after"))
     return was.join(now, "id", "full").where(~F.col("hops_before").eqNullSafe(F.col("hops_after")))
 
