@@ -209,11 +209,16 @@ def _next_keys(ids: np.ndarray) -> np.ndarray:
     return keys
 
 
+def _width(least: int) -> str:
+    """The kind of counts that stop at ``least``."""
+    return "<u1" if least < 256 else "<u4"
+
+
 def _offered(ids: np.ndarray, chunk: int, blocks: int, least: int) -> Iterator[tuple]:
     """Rows of kind 2 of a chunk."""
     keys = _next_keys(ids)
     keys, counts = np.unique(keys[keys > 0], return_counts=True)
-    counts = np.minimum(counts, least).astype("<u4")
+    counts = np.minimum(counts, least).astype(_width(least))
     own = Blocks("", blocks, dict.fromkeys(range(blocks), 0))
     for k, at in own.parted(keys):
         yield 2, chunk, k, keys[at].tobytes(), counts[at].tobytes()
@@ -248,7 +253,7 @@ def first_pass(rows: DataFrame, words: Blocks, blocks: int, least: int, chunk: i
                 for w in new:
                     if len(w) > 64:
                         del own[w]
-            if sum(map(len, known.values())) > 1_000_000:
+            if sum(map(len, known.values())) > 600_000:
                 known.clear()
             if sum(map(len, parts)) >= chunk:
                 yield from closed()
@@ -291,7 +296,7 @@ def phrase_blocks(found: DataFrame, blocks: int, least: int, folder: str) -> Dat
 
     def build(table: pa.Table) -> pa.Table:
         keys = np.concatenate([np.frombuffer(x, "<u8") for x in table.column("x").to_pylist()])
-        counts = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("y").to_pylist()])
+        counts = np.concatenate([np.frombuffer(x, _width(least)) for x in table.column("y").to_pylist()])
         keys, at = np.unique(keys, return_inverse=True)
         keys = keys[np.bincount(at, weights=counts) >= least]  # sums of counts, exact in a double below 2^53
         k = table.column("block")[0].as_py()
@@ -355,7 +360,7 @@ def _longer(shorter: DataFrame, keyed: DataFrame) -> DataFrame:
 PHRASES = "lang string, rank long, phrase string, a long, l long, r long, n long, score long"
 
 
-def top_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30, longest: int = 4, top: int = 2000, covered: int = 80, chunk: int = 2_000_000, block_words: int = 8_000_000) -> DataFrame:
+def top_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30, longest: int = 4, top: int = 2000, covered: int = 80, chunk: int = 2_000_000, block_words: int = 4_000_000) -> DataFrame:
     """PHRASES: of each language the ``top`` phrases by score (of the cut with the lowest: 2,000,000 * a / (l + r), rounded down), then a, then phrase
     in byte order. Candidates inside a longer one that has at least ``covered`` per cent of their count are dropped."""
     spark: SparkSession = docs.sparkSession
