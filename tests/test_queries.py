@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from wardgraph.plans import facts, oracle, queries, updates  # noqa: F401  facts and updates register their queries
+from wardgraph.plans import facts, ingested, oracle, queries, updates  # noqa: F401  these register their queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
