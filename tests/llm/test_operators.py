@@ -528,5 +528,5 @@ def test_pipeline(spark, sf, docs):
 
 
 def test_registered(spark):
-    assert len(queries.QUERIES) == 10 and sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert len(queries.QUERIES) == 13 and sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert {*queries.ORACLES} <= {*queries.QUERIES}
