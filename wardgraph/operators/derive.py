@@ -99,26 +99,41 @@ def without_protected_delegation(edges: DataFrame, protected: DataFrame, unconst
     return rows.where(~gone).select("src", "dst", "edge_type")
 
 
-#: Names of management-plane groups that count as tier 0; the first that matches names the family.
-SHADOW_NAMES = [
-    ("backup", r"(?i)\b(veeam|backup exec|commvault|rubrik|cohesity)\b"),
-    ("hypervisor", r"(?i)\b(vcenter|vsphere|esxi?|hyper-?v)\b.*\badmin"),
-    ("endpoint-management", r"(?i)\b(sccm|mecm|intune|configmgr)\b.*\badmin"),
-    ("identity-sync", r"(?i)^(msol_|aad_|adconnect)"),
-]
+#: Products whose operators can reach any machine or credential, by family, and prefixes of directory-sync accounts.
+SHADOW_PRODUCTS = {
+    "deployment": "SCCM|MECM|CONFIGMGR|CONFIGURATION MANAGER|ENDPOINT MANAGER|ALTIRIS|BIGFIX|TANIUM|PDQ DEPLOY|LANDESK|IVANTI|MANAGEENGINE|DESKTOP CENTRAL|NINJAONE|ACTION1|KASEYA|CONNECTWISE",
+    "backup": "VEEAM|COMMVAULT|NETBACKUP|RUBRIK|COHESITY|BACULA|BACKUP EXEC|ACRONIS|AZURE BACKUP|DPM|AVAMAR|NETWORKER|BACKUP ADMIN",
+    "hypervisor": "VMWARE|VSPHERE|VCENTER|ESX|HYPER-?V|PROXMOX|NUTANIX|CITRIX HYPERVISOR|XENSERVER|RHEV|OVIRT",
+    "endpoint-detection": "CROWDSTRIKE|SENTINELONE|CARBON BLACK|CYLANCE|DEFENDER FOR ENDPOINT|MDE|EDR ADMIN|CORTEX XDR|SOPHOS CENTRAL",
+    "privileged-access": "CYBERARK|THYCOTIC|DELINEA|BEYONDTRUST|HASHICORP VAULT|SECRET SERVER|PASSWORD ?VAULT|PAM ADMIN|PRIVILEGED ACCESS",
+    "identity-sync": "AAD ?CONNECT|AZURE AD CONNECT|ENTRA CONNECT|DIRSYNC|ADSYNC",
+    "updates": "WSUS|UPDATE SERVICES",
+}
+SYNC_ACCOUNTS = "MSOL_|AAD_|SYNC_|ADSYNC|AZUREADSSOACC"
+#: Rights on a domain object that are as good as the domain.
+TAKEOVER = ["DCSync", "GenericAll", "WriteDacl", "Owns", "GenericWrite", "AllExtendedRights"]
+
+
+def shadow_patterns() -> list[tuple[str, str]]:
+    """(family, pattern) on display names; the first that fits counts. A product may be followed by more letters where its people are named by it (BACKUP ADMINS)."""
+    return [(family, rf"(?i)\b(?:{words})" + ("" if family == "backup" else r"\b")) for family, words in SHADOW_PRODUCTS.items()]
 
 
 def shadow_tier0(nodes: DataFrame, edges: DataFrame, controllers: DataFrame, names: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(id, reason): groups, users and computers (but domain controllers) that control a domain object, and those whose name tells."""
-    rights = ["DCSync", "GenericAll", "WriteDacl", "Owns", "GenericWrite", "AllExtendedRights"]
+    """(id, reason): groups, users and computers (but domain controllers) that control a domain object, and groups and users whose name tells what they
+    operate. names: (reason, pattern), an empty list for rights alone; directory-sync accounts are told by prefix unless names are given."""
     domains = nodes.where("node_type = 'Domain'").select(F.col("object_id").alias("dst"))
     kinds = nodes.where(F.col("node_type").isin("Group", "User", "Computer"))
-    held = edges.where(F.col("edge_type").isin(rights)).join(domains, "dst", "left_semi").select(F.col("src").alias("id")).distinct()
+    held = edges.where(F.col("edge_type").isin(TAKEOVER)).join(domains, "dst", "left_semi").select(F.col("src").alias("id")).distinct()
     derived = held.join(kinds.select(F.col("object_id").alias("id")), "id", "left_semi").join(controllers, "id", "left_anti").select("id", F.lit("derived").alias("reason"))
+    shown = F.split_part("name", F.lit("@"), F.lit(1))
     family = F.lit(None).cast("string")
-    for name, pattern in reversed(SHADOW_NAMES if names is None else names):
-        family = F.when(F.col("name").rlike(pattern), name).otherwise(family)
-    named = kinds.select(F.col("object_id").alias("id"), family.alias("reason")).where("reason is not null")
+    for name, pattern in reversed(shadow_patterns() if names is None else names):
+        family = F.when(shown.rlike(pattern), name).otherwise(family)
+    if names is None:
+        account = F.element_at(F.split(shown, r"\\"), -1)
+        family = F.when((F.col("node_type") == "User") & account.rlike(f"(?i)^(?:{SYNC_ACCOUNTS})"), "identity-sync").otherwise(family)
+    named = kinds.where("node_type <> 'Computer'").select(F.col("object_id").alias("id"), family.alias("reason")).where("reason is not null")
     return derived.union(named.join(derived.select("id"), "id", "left_anti"))
 
 

@@ -123,17 +123,25 @@ ORACLES["protected_delegation"] = GRAPH + """, a(host, id) AS (SELECT dst, src F
 SELECT 'C' || CAST(c_custkey AS VARCHAR) AS src, 'S' || CAST(c_custkey % 10 + 1 AS VARCHAR) AS dst, 'AllowedToDelegate' AS edge_type FROM customer WHERE c_custkey % 5 = 0 AND (c_custkey % 3 = 0 OR 'S' || CAST(c_custkey % 10 + 1 AS VARCHAR) NOT IN (SELECT host FROM safe))"""
 
 
+#: Names of customers by their number, and what they tell.
+_OPERATORS = [
+    ("Customer ", None), ("veeam operators ", "backup"), ("MSOL_", "identity-sync"), ("MECM site admins ", "deployment"), ("old-vcenter crew ", "hypervisor"), ("hyper-v ", "hypervisor"), ("Hyperv ", "hypervisor"), ("cortex xdr ", "endpoint-detection"),
+    ("Passwordvault keepers ", "privileged-access"), ("entra connect ", "identity-sync"), ("x MSOL_", None), ("wsus ", "updates"), ("backup administrators ", "backup"), ("resccm ", None), ("CORP\\AAD_", "identity-sync"), ("edr admin ", "endpoint-detection"), ("esx", None),
+]
+
+
 @query
 def shadow_tier0(g: Graph) -> DataFrame:
-    """A domain that every eleventh customer may rewrite; names of some customers tell what they manage."""
+    """A domain that every eleventh customer may rewrite; names of most customers tell what they operate, or seem to."""
     k = _number("object_id")
-    renamed = g.nodes.withColumn("name", F.when((F.col("node_type") == "User") & (k % 40 == 1), F.concat(F.lit("veeam operators "), k.cast("string"))).when((F.col("node_type") == "User") & (k % 40 == 2), F.concat(F.lit("MSOL_"), k.cast("string"))).otherwise(F.col("name")))
+    renamed = g.nodes.withColumn("name", F.when(F.col("node_type") == "User", F.element_at(F.array(*[F.concat(F.lit(x), k.cast("string")) for x, _ in _OPERATORS]), k % len(_OPERATORS) + 1)).when(F.col("node_type") == "Computer", "sccm01").otherwise(F.col("name")))
     nodes = renamed.union(g.nodes.limit(1).select(F.lit("DOM"), F.lit("corp"), F.lit("Domain"), F.lit(True), F.lit(False)))
     rights = g.table("customer").where("c_custkey % 11 = 0").select(_key("C", "c_custkey").alias("src"), F.lit("DOM").alias("dst"), F.lit("WriteDacl").alias("edge_type"))
     return derive.shadow_tier0(nodes, g.edges.select(*EDGE).union(rights), g.of("Computer").where("id = 'S1'"))
 
 
-ORACLES["shadow_tier0"] = """SELECT 'C' || CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 11 = 0 THEN 'derived' WHEN c_custkey % 40 = 1 THEN 'backup' ELSE 'identity-sync' END AS reason FROM customer WHERE c_custkey % 11 = 0 OR c_custkey % 40 IN (1, 2)"""
+_TOLD = " ".join(f"WHEN {i} THEN '{what}'" for i, (_, what) in enumerate(_OPERATORS) if what)
+ORACLES["shadow_tier0"] = f"""WITH x AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 11 = 0 THEN 'derived' ELSE CASE c_custkey % {len(_OPERATORS)} {_TOLD} END END AS reason FROM customer) SELECT 'C' || CAST(k AS VARCHAR) AS id, reason FROM x WHERE reason IS NOT NULL"""
 
 
 @query
