@@ -22,7 +22,7 @@ def _key(prefix: str, column: str) -> F.Column:
 
 
 def _number(column: str) -> F.Column:
-    return F.substring(column, 2, 20).cast("int")
+    return F.substring(column, 2, 20).try_cast("int")
 
 
 # derivations

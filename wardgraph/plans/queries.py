@@ -242,7 +242,7 @@ def session_merge(table) -> DataFrame:
 @query
 def whatif_impact(g: Graph) -> DataFrame:
     """Every fifth host loses its administrators, and two units gain a right over an administrator group and over a user."""
-    gone = g.edges.where("edge_type = 'AdminTo'").where(F.substring("dst", 2, 20).cast("int") % 5 == 0)
+    gone = g.edges.where("edge_type = 'AdminTo'").where(F.substring("dst", 2, 20).try_cast("int") % 5 == 0)
     removed = gone.select(F.lit(0).alias("idx"), F.lit("remove").alias("op"), "src", "edge_type", "dst", F.lit(None).cast("int").alias("ttl_minutes"))
     added = whatif.parse_changes("grant R1 GenericAll S-1-5-21-0-512\ngrant R2 GenericAll C1")
     added = whatif.resolve_changes(g.spark.createDataFrame(added, whatif.CHANGES), g.nodes).select(*removed.columns)
