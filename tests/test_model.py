@@ -86,6 +86,26 @@ def test_protected_hosts_need_every_administrator(spark):
     assert rows(left.where("edge_type = 'AllowedToDelegate'"), "src", "dst") == [("x", "H1"), ("y", "H2")]
 
 
+def test_protected_hosts_find_members_once_for_each_administrator(spark, monkeypatch):
+    """Many hosts share a large group: no row for a host and a member. Nested and empty groups, cycles, nulls and shared members count as they did by host."""
+    made, closure = [], derive.closure
+
+    def counted(*args):
+        found = closure(*args)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(derive, "closure", counted)
+    edges = [(f"u{i}", "G", "MemberOf") for i in range(50)] + [("G", f"H{i}", "AdminTo") for i in range(100)]
+    edges += [("u1", "H1", "AdminTo"), ("v", "H1", "AdminTo"), ("x", "H2", "AdminTo"), (None, "H3", "AdminTo"), ("u2", "K", "MemberOf"), ("v", "K", "MemberOf"), ("K", "H4", "AdminTo"), ("K", "H5", "AdminTo"), ("G", "K2", "MemberOf"), ("K2", "H4", "AdminTo")]
+    edges += [("A", "B", "MemberOf"), ("B", "A", "MemberOf"), ("A", "H6", "AdminTo"), ("A", "H7", "AdminTo"), ("A", "I", "AdminTo"), ("v", "I2", "AdminTo"), ("A", "I2", "AdminTo"), ("v", "I2", "AdminTo"), ("v", None, "AdminTo")]
+    protected = spark.createDataFrame([(f"u{i}",) for i in range(50)] + [("v",), ("v",), (None,)], "id string")
+    found = {r["id"]: r["admins"] for r in derive.fully_protected_hosts(spark.createDataFrame(edges, EDGES), protected).collect()}
+    want = {f"H{i}": 50 for i in range(100)} | {"H1": 51, "H4": 51, "H5": 51, "I2": 1, None: 1}
+    assert found == {h: n for h, n in want.items() if h not in ("H2", "H3")}
+    assert sum(made) < 200
+
+
 @pytest.fixture(scope="module")
 def collected(spark, tmp_path_factory):
     at = tmp_path_factory.mktemp("collection")

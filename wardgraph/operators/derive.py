@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import registry
+from ..storage import materialise
 from .fixpoint import closure, semi_naive
 
 
@@ -81,18 +82,43 @@ def gpo_rights(grants: DataFrame, scope: DataFrame, nodes: DataFrame) -> DataFra
     return grants.join(scope, "gpo").join(hosts, "id", "left_semi").select(F.col("principal").alias("src"), F.col("id").alias("dst"), F.lit("GPOUserRight").alias("edge_type")).where("src <> dst").distinct()
 
 
+def _protected(edges: DataFrame, protected: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((host, all, class) of hosts of which every administrator, with all recursive members, is protected (id); (admin, id) of those administrators' members).
+
+    Members are found once for each administrator, not for each of its hosts. all: the host's administrators; class: their digest, equal for many hosts.
+    """
+    members = edges.where("edge_type = 'MemberOf'")
+    admins = materialise(edges.where("edge_type = 'AdminTo'").select(F.col("dst").alias("host"), F.col("src").alias("admin")).distinct(), "admins")
+    everyone = closure(admins.select(F.col("admin").alias("origin"), F.col("admin").alias("id")).distinct(), members, "dst", "src")
+    principals = everyone.join(members.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")  # groups stand for their members
+    flagged = principals.join(protected.select("id").distinct().withColumn("p", F.lit(True)), "id", "left").select(F.col("origin").alias("admin"), "id", F.coalesce("p", F.lit(False)).alias("p"))
+    flagged = materialise(flagged, "flagged")
+    whole = flagged.groupBy(F.col("admin").alias("a")).agg(F.min("p").alias("ok"))
+    # an administrator without members of any kind says nothing of a host
+    rated = admins.join(whole, F.col("admin").eqNullSafe(F.col("a"))).drop("a")
+    hosts = rated.groupBy("host").agg(F.min("ok").alias("ok"), F.array_sort(F.collect_set("admin")).alias("all")).where("ok")
+    hosts = materialise(hosts.select("host", "all", F.sha2(F.to_json("all"), 256).alias("class")), "protected-hosts")
+    return hosts, flagged.select("admin", "id")
+
+
 def fully_protected_hosts(edges: DataFrame, protected: DataFrame) -> DataFrame:
-    """(id, admins): hosts of which every administrator, with all recursive members, is protected (id)."""
-    admins = edges.where("edge_type = 'AdminTo'").select(F.col("dst").alias("origin"), F.col("src").alias("id"))
-    everyone = closure(admins, edges.where("edge_type = 'MemberOf'"), "dst", "src")
-    principals = everyone.join(edges.where("edge_type = 'MemberOf'").select(F.col("dst").alias("id")).distinct(), "id", "left_anti")  # groups stand for their members
-    flagged = principals.join(protected.select("id", F.lit(True).alias("p")), "id", "left")
-    return flagged.groupBy(F.col("origin").alias("id")).agg(F.min(F.coalesce("p", F.lit(False))).alias("ok"), F.count_distinct("id").alias("admins")).where("ok").select("id", "admins")
+    """(id, admins): hosts of which every administrator, with all recursive members, is protected (id).
+
+    Principals that are below the same administrators are counted as one group, and hosts with the same administrators as one class: classes meet groups, so
+    no row is made for a host and a member of its administrators.
+    """
+    hosts, members = _protected(edges, protected)
+    classes = hosts.groupBy("class").agg(F.first("all").alias("all")).select("class", F.explode("all").alias("admin"))
+    wanted = members.join(classes.select("admin").distinct(), "admin", "left_semi")
+    groups = wanted.groupBy("id").agg(F.array_sort(F.collect_set("admin")).alias("above")).groupBy("above").agg(F.count("*").alias("n"))
+    groups = groups.select(F.explode("above").alias("admin"), F.sha2(F.to_json("above"), 256).alias("group"), "n")
+    counted = classes.join(groups, "admin").groupBy("class", "group").agg(F.first("n").alias("n")).groupBy("class").agg(F.sum("n").alias("admins"))
+    return hosts.join(counted, "class").select(F.col("host").alias("id"), "admins")
 
 
 def without_protected_delegation(edges: DataFrame, protected: DataFrame, unconstrained: DataFrame) -> DataFrame:
     """``edges`` without delegation onto hosts whose administrators are all protected, unless the source (id) is unconstrained."""
-    hosts = fully_protected_hosts(edges, protected).select(F.col("id").alias("dst"), F.lit(True).alias("safe"))
+    hosts = _protected(edges, protected)[0].select(F.col("host").alias("dst"), F.lit(True).alias("safe"))
     free = unconstrained.select(F.col("id").alias("src"), F.lit(True).alias("free"))
     rows = edges.join(hosts, "dst", "left").join(free, "src", "left")
     gone = F.col("edge_type").isin("AllowedToDelegate", "AllowedToAct") & F.col("safe").isNotNull() & F.col("free").isNull()
