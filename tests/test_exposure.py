@@ -186,3 +186,20 @@ def test_paths_and_routes_match_search(spark):
     for most in (None, len(begun) - 3):
         assert sorted(rows(paths.breach_routes(asked, nodes, edges, top, 4, most))) == begun[:most]
     assert rows(paths.breach_routes(asked.limit(0), nodes, edges, top)) == [] == rows(paths.enumerate_paths(nodes, edges, top.limit(0)))
+
+
+def test_growing_tables_are_dealt_by_key_not_sent_through_the_driver(spark):
+    """Small tables are dealt out too: Spark's estimate of a table of ids is far below what it fills in memory."""
+    from wardgraph.operators import exposure, maintained, whatif
+
+    edges = spark.createDataFrame([("a", "T", "AdminTo"), ("b", "a", "MemberOf"), ("c", "b", "GenericAll")], "src string, dst string, edge_type string")
+    top = spark.createDataFrame([("T",)], "id string")
+    kept = maintained.keep(edges, top)
+    gone = edges.where("src = 'b'")
+    after = whatif.applied(edges, whatif.Deltas(gone, gone.limit(0)))
+    later = maintained.update(kept, after, top, gone, gone.limit(0))
+    changes = maintained.changes_of(kept, later, top, top)
+    found = exposure.states(edges, top)
+    for df in (exposure.walkable(edges, top), exposure.exposed(edges, top), exposure.next_steps(edges, top, found), after, later.table(), changes):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in changes.collect()) == [("b", 2, None), ("c", 3, None)]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import registry, scalars
-from ..storage import materialise
+from ..storage import materialise, shuffled
 from .exposure import exposed, walkable
 from .fixpoint import semi_naive
 from .maintained import Kept, changes_of, update
@@ -131,7 +131,7 @@ def deltas(edges: DataFrame, changes: DataFrame) -> Deltas:
 
 def applied(edges: DataFrame, change: Deltas) -> DataFrame:
     """``edges`` (a set of EDGE) after a change."""
-    return edges.select(*EDGE).distinct().join(change.removed, EDGE, "left_anti").union(change.added)
+    return edges.select(*EDGE).distinct().join(shuffled(change.removed), EDGE, "left_anti").union(change.added)
 
 
 def undone(edges: DataFrame, change: Deltas) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import detections
 from ..functions import registry
 from ..operators import maintained, names, paths, policy, scoring, units, whatif
-from ..storage import materialise
+from ..storage import materialise, shuffled
 from .facts import EDGE, _hosts, _key, _number
 from .oracle import DIM, GRAPH, ORACLES, PATHS, STATES
 from .queries import RULES, TELEMETRY, Graph, query
@@ -24,7 +24,7 @@ def _nation(key: F.Column) -> F.Column:
 
 
 def _updated(g: Graph, removed: DataFrame, added: DataFrame) -> DataFrame:
-    d = whatif.Deltas(removed.select(*EDGE), added.select(*EDGE).join(g.edges, EDGE, "left_anti"))
+    d = whatif.Deltas(removed.select(*EDGE), added.select(*EDGE).join(shuffled(g.edges), EDGE, "left_anti"))
     after = maintained.update(g.kept, whatif.applied(g.edges, d), g.top, d.removed, d.added)
     return maintained.changes_of(g.kept, after, g.top, g.top)
 
@@ -54,8 +54,8 @@ def exposure_after_removals(g: Graph) -> DataFrame:
     """Hosts of low balance lose their administrators and sessions, and customers their rights over one another where the first owes money."""
     poor = g.table("supplier").where("s_acctbal < 5000").select(_key("S", "s_suppkey").alias("host"))
     owing = g.table("customer").where("c_acctbal < 0").select(_key("C", "c_custkey").alias("src"))
-    gone = g.edges.where("edge_type = 'AdminTo'").join(poor, F.col("dst") == F.col("host"), "left_semi").union(g.edges.where("edge_type = 'HasSession'").join(poor, F.col("src") == F.col("host"), "left_semi"))
-    gone = gone.union(g.edges.where("edge_type in ('ForceChangePassword', 'GenericWrite', 'WriteDacl')").join(owing, "src", "left_semi").select(*gone.columns))
+    gone = g.edges.where("edge_type = 'AdminTo'").join(shuffled(poor), F.col("dst") == F.col("host"), "left_semi").union(g.edges.where("edge_type = 'HasSession'").join(shuffled(poor), F.col("src") == F.col("host"), "left_semi"))
+    gone = gone.union(g.edges.where("edge_type in ('ForceChangePassword', 'GenericWrite', 'WriteDacl')").join(shuffled(owing), "src", "left_semi").select(*gone.columns))
     return _updated(g, materialise(gone, "gone"), gone.limit(0))
 
 
