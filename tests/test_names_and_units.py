@@ -162,3 +162,18 @@ def test_cheapest_routes_onto_jewels(spark):
         assert r["nodes"][0] == r["source"] and r["nodes"][-1] == jewel and all(h in walk for h in hops) and len(hops) == r["steps"]
         assert tuple(map(sum, zip(*[dim[k] for *_, k in hops], strict=True))) == (r["effort"], r["noise"])
     assert sum(r["source"] is not None for r in got.values()) >= 3
+
+
+def test_parts_of_names_are_found_by_equal_pieces(spark):
+    """Names that begin alike are not compared one by one with all queries that do; every part counts, whatever its length."""
+    names = [f"Customer#0000{i % 30:03d}" for i in range(60)] + ["", "a", "Ä#000x", "aaaa", None]
+    asked = ["", "a", "aa", "AAA", "000", "0000001", "#0000", "customer#0000029", "ä#", "nothing", "x" * 40, "00", None]
+    nodes = spark.createDataFrame([(f"I{i}", n, "User") for i, n in enumerate(names)], "object_id string, name string, node_type string")
+    found = tiering.resolve(spark.createDataFrame([(a,) for a in asked], "query string"), nodes)
+    want = set()
+    for a in {a for a in asked if a is not None}:
+        full = {f"I{i}" for i, n in enumerate(names) if n is not None and n.upper() == a.upper()}
+        part = {f"I{i}" for i, n in enumerate(names) if n is not None and a.upper() in n.upper()}
+        want |= {(a, i, 2 if full else 3) for i in full or part}
+    assert {tuple(r) for r in found.collect()} == want
+    assert "Contains" not in found._jdf.queryExecution().executedPlan().toString()
