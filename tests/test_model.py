@@ -106,6 +106,17 @@ def test_protected_hosts_find_members_once_for_each_administrator(spark, monkeyp
     assert sum(made) < 200
 
 
+def test_names_of_shadow_tier0_are_matched_once_and_in_many_tasks(spark, monkeypatch):
+    """One small file holds many names; what tells them is costly."""
+    written = []
+    materialise = derive.materialise
+    monkeypatch.setattr(derive, "materialise", lambda df, label: written.append(df.rdd.getNumPartitions()) or materialise(df, label))
+    nodes = spark.createDataFrame([(f"u{i}", "veeam operators" if i % 2 else "nobody", "User", True, False) for i in range(100)], NODES).coalesce(1)
+    found = derive.shadow_tier0(nodes, spark.createDataFrame([], EDGES), spark.createDataFrame([], "id string"))
+    assert found.where("reason = 'backup'").count() == found.count() == 50
+    assert written and min(written) > 1
+
+
 @pytest.fixture(scope="module")
 def collected(spark, tmp_path_factory):
     at = tmp_path_factory.mktemp("collection")

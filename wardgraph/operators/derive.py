@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import registry
-from ..storage import materialise
+from ..storage import materialise, shuffled
 from .fixpoint import closure, semi_naive
 
 
@@ -151,16 +151,19 @@ def shadow_tier0(nodes: DataFrame, edges: DataFrame, controllers: DataFrame, nam
     domains = nodes.where("node_type = 'Domain'").select(F.col("object_id").alias("dst"))
     kinds = nodes.where(F.col("node_type").isin("Group", "User", "Computer"))
     held = edges.where(F.col("edge_type").isin(TAKEOVER)).join(domains, "dst", "left_semi").select(F.col("src").alias("id")).distinct()
-    derived = held.join(kinds.select(F.col("object_id").alias("id")), "id", "left_semi").join(controllers, "id", "left_anti").select("id", F.lit("derived").alias("reason"))
-    shown = F.split_part("name", F.lit("@"), F.lit(1))
+    derived = held.join(shuffled(kinds.select(F.col("object_id").alias("id"))), "id", "left_semi").join(controllers, "id", "left_anti").select("id", F.lit("derived").alias("reason"))
+    shown = F.col("shown")
     family = F.lit(None).cast("string")
     for name, pattern in reversed(shadow_patterns() if names is None else names):
         family = F.when(shown.rlike(pattern), name).otherwise(family)
     if names is None:
         account = F.element_at(F.split(shown, r"\\"), -1)
         family = F.when((F.col("node_type") == "User") & account.rlike(f"(?i)^(?:{SYNC_ACCOUNTS})"), "identity-sync").otherwise(family)
-    named = kinds.where("node_type <> 'Computer'").select(F.col("object_id").alias("id"), family.alias("reason")).where("reason is not null")
-    return derived.union(named.join(derived.select("id"), "id", "left_anti"))
+    # names are matched once each, in many tasks even where a small file holds all of them
+    people = kinds.where("node_type <> 'Computer'").select("object_id", "node_type", F.split_part("name", F.lit("@"), F.lit(1)).alias("shown"))
+    people = people.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "object_id")
+    named = materialise(people.select(F.col("object_id").alias("id"), family.alias("reason")), "named").where("reason is not null")
+    return derived.union(named.join(shuffled(derived.select("id")), "id", "left_anti"))
 
 
 def merge_collections(edges: DataFrame) -> DataFrame:
