@@ -10,6 +10,7 @@ from wardgraph.functions import registry, scalars
 from wardgraph.operators import audit, derive, scoring, tiering, whatif
 from wardgraph.operators import paths as P
 from wardgraph.sources import collections
+from wardgraph.storage import materialise
 from wardgraph.streaming import sessions
 
 EDGES = "src string, dst string, edge_type string"
@@ -71,6 +72,19 @@ def test_both_rights_gives_the_highest_holders(corp):
     assert rows(derive.dcsync(edges, top), "src", "dst", "edge_type") == [("U1", "D", "DCSync")]
 
 
+def test_a_large_group_is_many_tasks_work(spark, monkeypatch):
+    monkeypatch.setattr(tiering, "_PART", 8, raising=False)
+    users = [f"U{i}" for i in range(40)]
+    member = [(u, "G", "MemberOf") for u in users] + [("G", "H", "MemberOf")]
+    rights = [("G", f"C{i}", kind) for i in range(30) for kind in ("AdminTo", "CanRDP")] + [("H", "C0", "AdminTo"), ("U1", "C1", "AdminTo"), ("X", "C1", "AdminTo")]
+    edges = materialise(spark.createDataFrame(member + rights, EDGES).coalesce(1), "edges")
+    found = tiering.effective_permissions(spark.createDataFrame([(u,) for u in users], "id string"), edges).withColumn("task", F.spark_partition_id()).collect()
+    expected = [(u, c, kind, "G") for u in users for g, c, kind in rights if g == "G"] + [(u, "C0", "AdminTo", "H") for u in users] + [("U1", "C1", "AdminTo", None)]
+    assert sorted(map(str, (tuple(r)[:4] for r in found))) == sorted(map(str, expected))
+    mine = [r["task"] for r in found if r["principal_id"] == "U1"]  # not even one member's rows are one task's
+    assert max(mine.count(t) for t in mine) < 0.6 * len(mine)
+
+
 def test_policies_reach_and_are_blocked(spark):
     contains = spark.createDataFrame([("OU1", "OU2"), ("OU2", "H1"), ("OU1", "H2")], "src string, dst string")
     links = spark.createDataFrame([("P", "OU1", False), ("Q", "OU1", True)], "gpo string, container string, enforced boolean")
