@@ -1,6 +1,7 @@
 """Cloud collections and certificate services, from items as collectors write them."""
 
 import json
+import random
 
 import pytest
 
@@ -122,6 +123,48 @@ def test_highest_holders(spark):
     assert rows(adcs.highest_holders(rights, edges, ["k"]), "k", "id") == [("k", "u"), ("l", "x"), ("l", "y")]
 
 
+def test_equal_rights_are_followed_once(spark, monkeypatch):
+    """Forty templates and fifty members of a group: neither a row for each template and member, nor one for each member."""
+    made, fixpoint = [], adcs.semi_naive
+
+    def counted(*args):
+        found = fixpoint(*args)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(adcs, "semi_naive", counted)
+    files = lab(0)
+    files[1]["data"][0]["Members"] = [{"ObjectIdentifier": f"U{i}"} for i in range(50)]
+    files[3]["data"] = [{**files[3]["data"][0], "ObjectIdentifier": f"T{i}"} for i in range(40)]
+    files[4]["data"][0]["EnabledCertTemplates"] = [{"ObjectIdentifier": f"T{i}"} for i in range(40)]
+    objects = parsed(spark, *files)
+    ca = pki.authorities(objects)
+    found = adcs.derive(collections.nodes(objects), collections.edges(objects), spark.createDataFrame([("D0",)], "id string"), pki.templates(objects), ca, pki.published(objects), pki.stores(objects), pki.issuance_policies(objects), pki.controllers(objects), pki.relay_facts(objects, ca))
+    assert set(rows(found, "src", "dst", "edge_type")) == {("P0", "D0", "ADCSESC5"), ("G0", "D0", "ADCSESC1"), ("G0", "D0", "ADCSESC15")}
+    assert sum(made) < 60
+
+
+def test_highest_holders_are_those_of_a_plain_search(spark):
+    rng = random.Random(6)
+    edges = {(f"u{i}", f"g{g}") for i in range(30) for g in rng.sample(range(6), rng.randint(1, 2))} | {(f"g{a}", f"g{b}") for a, b in ((0, 1), (1, 2), (3, 4), (4, 3))}
+    rights = {(f"k{k}", n, rng.choice([f"g{rng.randrange(6)}", f"u{rng.randrange(30)}"])) for k in range(6) for n in (1, 2) for _ in range(3)}
+    up = lambda x: {b for a, b in edges if a == x}
+
+    def above(x):
+        seen, front = {x}, {x}
+        while front := {y for z in front for y in up(z)} - seen:
+            seen |= front
+        return seen
+
+    want, people = set(), {x for e in edges for x in e}
+    for k in {k for k, *_ in rights}:
+        full = {x for x in people if all(any((k, n, y) in rights for y in above(x)) for n in (1, 2))}
+        high = {x for x in full if not up(x) & full}
+        want |= {(k, x) for x in full if x in high or not above(x) & high}
+    found = adcs.highest_holders(spark.createDataFrame(sorted(rights), "k string, need int, id string"), spark.createDataFrame([(*e, "MemberOf") for e in sorted(edges)], "src string, dst string, edge_type string"), ["k"])
+    assert rows(found, "k", "id") == sorted(want) and len(want) > 20
+
+
 def test_more_ways_in(spark):
     objects = parsed(
         spark,
