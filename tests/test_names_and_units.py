@@ -6,7 +6,7 @@ import random
 import pytest
 
 from wardgraph.functions import registry
-from wardgraph.operators import names, tiering, units, whatif
+from wardgraph.operators import fixpoint, names, tiering, units, whatif
 from wardgraph.plans import queries, updates  # noqa: F401  updates registers its queries
 
 NODES = "object_id string, name string, node_type string"
@@ -164,6 +164,21 @@ def test_cheapest_routes_onto_jewels(spark):
     assert sum(r["source"] is not None for r in got.values()) >= 3
 
 
+def test_jewels_behind_a_group_share_their_search(spark, monkeypatch):
+    """Sixty hosts that a group of sixty users administers: no state for each user and host. Of equal routes the one with the least next object counts."""
+    made, add = [], fixpoint.Rounds.add
+    monkeypatch.setattr(fixpoint.Rounds, "add", lambda self, *args: made.append(add(self, *args)) or made[-1])
+    edges = [(f"u{i:02}", g, "MemberOf") for i in range(60) for g in ("H", "G")] + [(g, f"j{i:02}", "AdminTo") for i in range(60) for g in ("G", "H")]
+    edges += [("j00", "u00", "HasSession"), ("j07", "j08", "AdminTo"), ("j08", "j07", "AdminTo"), ("T", "j09", "AdminTo")]
+    tiered = [(f"u{i:02}", "User", 2) for i in range(60)] + [(f"j{i:02}", "Computer", 2) for i in range(60)] + [("G", "Group", 2), ("H", "Group", 2), ("T", "User", 0)]
+    jewels = spark.createDataFrame([(f"j{i:02}", i) for i in range(60)], "id string, value int")
+    found = units.jewel_routes(jewels, spark.createDataFrame(tiered, "object_id string, node_type string, tier int"), spark.createDataFrame(edges, "src string, dst string, edge_type string"))
+    got = {r["jewel"]: (r["nodes"], r["edge_types"]) for r in found.collect()}
+    want = {f"j{i:02}": (["u00", "G", f"j{i:02}"], ["MemberOf", "AdminTo"]) for i in range(60)}
+    assert got == want | {"j07": (["j08", "j07"], ["AdminTo"]), "j08": (["j07", "j08"], ["AdminTo"])}
+    assert sum(made) < 1200
+
+
 def test_parts_of_names_are_found_by_equal_pieces(spark):
     """Names that begin alike are not compared one by one with all queries that do; every part counts, whatever its length."""
     names = [f"Customer#0000{i % 30:03d}" for i in range(60)] + ["", "a", "Ä#000x", "aaaa", None]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import registry, scalars
 from .names import lookup
-from .paths import routes_of, weighted_tree
+from .paths import nearest_routes
 
 
 def parts(dn: Column) -> Column:
@@ -64,18 +64,16 @@ def jewel_routes(jewels: DataFrame, tiered: DataFrame, edges: DataFrame) -> Data
     """(jewel, value, source, effort, noise, steps, nodes, edge_types): the cheapest route onto each jewel (id, value) from any user or computer below tier 0
     along walkable edges: least effort, then noise, then steps, then source. Jewels that nobody reaches have nulls.
 
-    All jewels are searched at once, backwards, and exactly: neither sources nor routes are bounded."""
+    All sources search at once, forwards, and exactly: neither sources nor routes are bounded, and jewels add no more than their own routes."""
     named = jewels.groupBy("id").agg(F.max("value").alias("value"))
-    walk = edges.where(~F.col("edge_type").isin(registry.NON_TRAVERSABLE)).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "edge_type")
+    walk = edges.where(~F.col("edge_type").isin(registry.NON_TRAVERSABLE))
     # one number: effort, noise and steps, in this order
     costs = registry.edge_dim(edges.sparkSession).select("edge_type", (F.col("effort") * (1 << 40) + F.col("noise") * (1 << 20) + 1).cast("long").alias("w"))
-    tree = weighted_tree(named, walk, costs, 1 + (11 << 40) + (3 << 20))
     actors = tiered.where(F.col("node_type").isin(registry.ACTORS) & (F.col("tier") != 0)).select(F.col("object_id").alias("id"))
-    best = tree.where("id <> origin").join(actors, "id", "left_semi").groupBy("origin").agg(F.min(F.struct("cost", "id")).alias("x")).select("origin", F.col("x.id").alias("id"), "x.cost")
-    routes = routes_of(tree, best.select("origin", "id")).join(best, ["origin", "id"])
+    routes = nearest_routes(named, actors, walk, costs, 1 + (11 << 40) + (3 << 20))
     out = routes.select(
-        F.col("origin").alias("jewel"), F.col("id").alias("source"), F.shiftright("cost", 40).cast("int").alias("effort"),
+        F.col("target").alias("jewel"), "source", F.shiftright("cost", 40).cast("int").alias("effort"),
         F.shiftright("cost", 20).bitwiseAND(F.lit((1 << 20) - 1)).cast("int").alias("noise"), F.col("cost").bitwiseAND(F.lit((1 << 20) - 1)).cast("int").alias("steps"),
-        F.reverse("nodes").alias("nodes"), F.reverse("edge_types").alias("edge_types"),
+        "nodes", "edge_types",
     )
     return named.select(F.col("id").alias("jewel"), "value").join(out, "jewel", "left")
