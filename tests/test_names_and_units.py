@@ -6,7 +6,7 @@ import random
 import pytest
 
 from wardgraph.functions import registry
-from wardgraph.operators import fixpoint, names, tiering, units, whatif
+from wardgraph.operators import fixpoint, names, scoring, tiering, units, whatif
 from wardgraph.plans import queries, updates  # noqa: F401  updates registers its queries
 
 NODES = "object_id string, name string, node_type string"
@@ -179,6 +179,34 @@ def test_jewels_behind_a_group_share_their_search(spark, monkeypatch):
     assert sum(made) < 1200
 
 
+@pytest.mark.parametrize("depth", [1, 2, 3, 12])
+def test_reachers_of_jewels_are_those_of_a_plain_search(spark, monkeypatch, depth):
+    """Jewels behind the same objects are searched once, also if they reach themselves or each other; more classes than a number has bits."""
+    made, add = [], fixpoint.Rounds.add
+    monkeypatch.setattr(fixpoint.Rounds, "add", lambda self, *args: made.append(add(self, *args)) or made[-1])
+    rng = random.Random(8)
+    ids = [f"n{i:02}" for i in range(90)]
+    edges = {(*rng.sample(ids, 2), rng.choice(["GenericAll", "AdminTo", "Enroll"])) for _ in range(260)} | {("n01", "n01", "AdminTo"), ("h00", "u00", "HasSession"), ("h01", "h00", "AdminTo"), ("h00", "h01", "AdminTo")}
+    edges |= {(f"u{i:02}", "G", "MemberOf") for i in range(60)} | {("G", f"h{i:02}", "AdminTo") for i in range(60)}
+    hosts = [f"h{i:02}" for i in range(60)]
+    tiered = [(x, "User" if i % 3 else "Group", 2) for i, x in enumerate(ids)] + [(x, "Computer", 2) for x in hosts] + [(f"u{i:02}", "User", 2) for i in range(60)] + [("G", "Group", 2)]
+    jewels = [(x, i) for i, x in enumerate([*ids[:80], *hosts, "lone"])]
+    found = scoring.crown_jewels(spark.createDataFrame([*jewels, ("n00", 99)], "id string, value int"), spark.createDataFrame(tiered, "object_id string, node_type string, tier int"), spark.createDataFrame(sorted(edges), "src string, dst string, edge_type string"), depth)
+    onto, actors, want = {}, {x for x, kind, _ in tiered if kind != "Group"}, {}
+    for a, b, kind in edges:
+        if kind not in registry.NON_TRAVERSABLE:
+            onto.setdefault(b, set()).add(a)
+    for jewel, value in jewels:
+        seen, front, at, reached = {jewel}, {jewel}, 0, []
+        while front and at < depth:
+            at, front = at + 1, {a for x in front for a in onto.get(x, ())} - seen
+            seen |= front
+            reached += [at for x in front if x in actors]
+        want[jewel] = (99 if jewel == "n00" else value, len(reached), min(reached, default=None))
+    assert {r["jewel"]: tuple(r)[1:] for r in found.collect()} == want
+    assert sum(made) < 2500
+
+
 def test_parts_of_names_are_found_by_equal_pieces(spark):
     """Names that begin alike are not compared one by one with all queries that do; every part counts, whatever its length."""
     names = [f"Customer#0000{i % 30:03d}" for i in range(60)] + ["", "a", "Ä#000x", "aaaa", None]

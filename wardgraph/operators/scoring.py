@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import registry, scalars
-from ..storage import materialise
+from ..storage import materialise, shuffled
+from .fixpoint import MARKS, marked
 from .paths import blast_radius, enumerate_paths, steps, with_ids
 from .tiering import tier0
 
@@ -115,15 +116,31 @@ def fix_safety(fixes: DataFrame, tiered: DataFrame) -> DataFrame:
 
 
 def crown_jewels(jewels: DataFrame, tiered: DataFrame, edges: DataFrame, max_depth: int = 12) -> DataFrame:
-    """(jewel, value, reachers, nearest): for jewels (id, value; the highest value of an id counts), actors that reach them along walkable edges."""
-    named = jewels.groupBy("id").agg(F.max("value").alias("value"))
-    hops = edges.where(~F.col("edge_type").isin(registry.NON_TRAVERSABLE))
-    from .fixpoint import closure
+    """(jewel, value, reachers, nearest): for jewels (id, value; the highest value of an id counts), actors that reach them along walkable edges.
 
-    found = closure(named.select(F.col("id").alias("origin"), "id"), hops, "dst", "src", max_depth).where("depth > 0")
-    actors = tiered.where(F.col("node_type").isin(registry.ACTORS)).select(F.col("object_id").alias("id"))
-    reach = found.join(actors, "id", "left_semi").groupBy(F.col("origin").alias("id")).agg(F.count("*").alias("reachers"), F.min("depth").alias("nearest"))
-    return named.join(reach, "id", "left").select(F.col("id").alias("jewel"), "value", F.coalesce("reachers", F.lit(0)).alias("reachers"), "nearest")
+    Jewels onto which the same objects have edges are reached by the same, but for themselves; each class of them is searched once, and the classes' marks
+    travel together.
+    """
+    named = jewels.groupBy("id").agg(F.max("value").alias("value"))
+    hops = edges.where(~F.col("edge_type").isin(registry.NON_TRAVERSABLE)).select("src", "dst").where("src <> dst").distinct()
+    actors = tiered.where(F.col("node_type").isin(registry.ACTORS)).select(F.col("object_id").alias("id")).distinct()
+    onto = hops.join(shuffled(named.select(F.col("id").alias("dst"))), "dst", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.array_sort(F.collect_set("src")).alias("before"))
+    onto = materialise(onto, "before")
+    classes = onto.groupBy("before").agg(F.min("id").alias("class"))
+    classed = materialise(onto.join(classes, "before").select("id", "class"), "class-of")
+    start = onto.join(classes.select(F.col("class").alias("id")), "id").select(F.col("id").alias("origin"), F.explode("before").alias("id"))
+    names, found = marked(start, start, hops.select(F.col("dst").alias("src"), F.col("src").alias("dst")), max_depth - 1)
+    names = names.withColumnRenamed("origin", "class")
+    inside = materialise(found.join(shuffled(actors), "id", "left_semi"), "inside")
+    counts = inside.groupBy("block", "depth").agg(F.array(*[F.sum(F.shiftright("marks", i).bitwiseAND(F.lit(1))) for i in range(MARKS)]).alias("counts"))
+    counts = counts.select("block", "depth", F.posexplode("counts").alias("bit", "n")).where("n > 0")
+    levels = names.join(counts, ["block", "bit"]).groupBy("class").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("depth", "n"))).alias("levels"))
+    # a jewel that reaches itself is no reacher of its own
+    own = classed.join(names, "class").join(shuffled(inside), ["id", "block"]).where(F.expr("shiftright(marks, bit) & 1 = 1")).select("id", F.col("depth").alias("own"))
+    reach = classed.join(levels, "class").join(own, "id", "left")
+    left = F.filter("levels", lambda x: (x["depth"] != F.coalesce("own", F.lit(-1))) | (x["n"] > 1))
+    reach = reach.select("id", (F.col("n") - F.when(F.col("own").isNull(), 0).otherwise(1)).alias("reachers"), (F.get(left, 0)["depth"] + 1).alias("nearest"))
+    return named.join(reach, "id", "left").select(F.col("id").alias("jewel"), "value", F.coalesce("reachers", F.lit(0).cast("long")).alias("reachers"), "nearest")
 
 
 def leaf_clusters(tiered: DataFrame, edges: DataFrame, least: int = 6) -> DataFrame:
