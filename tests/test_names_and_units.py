@@ -4,6 +4,7 @@ import difflib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from wardgraph.functions import registry
 from wardgraph.operators import fixpoint, names, scoring, tiering, units, whatif
@@ -92,6 +93,29 @@ def test_selectors(spark, graph):
     assert got == sorted([*deep, *flat, (2, "add", "S-3", "GenericAll", "D-1"), (3, "add", "S-1", "MemberOf", "S-5"), (5, "delete", "S-10", "*", None)])
 
 
+def test_pairs_of_large_groups_are_many_tasks_work(spark, monkeypatch):
+    """Pairs are made in many tasks and not shuffled; of changes that come to the same the first stays, whatever names they use."""
+    for name, value in (("_SOURCES", 4), ("_TARGETS", 8), ("_ROWS", 100)):
+        monkeypatch.setattr(names, name, value, raising=False)
+    groups = {"A": range(40), "B": range(20, 50), "C": range(60, 90), "D": range(35, 70), "E": ()}
+    nodes = [(g, g, "Group") for g in groups] + [(f"U{i}", f"user{i}", "User") for i in range(90)]
+    edges = [(f"U{i}", g, "MemberOf") for g, members in groups.items() for i in members]
+    lines = ["revoke user3 AdminTo user60", "local-admin @members(A) @members(C)", "local-admin @members(B) @members(D)", "local-admin user30 @members(C)", "local-admin user1 user70", "rdp @members(A) @members(C)", "local-admin @members(E) user1", "local-admin user1 @members(E)", "delete @members(A)", "delete user3", "delete @members(B)"]
+    changes = whatif.parse_changes("\n".join(lines))
+    found = names.expand_changes(spark.createDataFrame(changes, whatif.CHANGES), spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, "src string, dst string, edge_type string"))
+    told = lambda x: [f"U{x[4:]}"] if x.startswith("user") else [f"U{i}" for i in groups[x[9]]]
+    want = {}
+    for idx, op, src, kind, dst, _ in changes:
+        for s in told(src):
+            for d in [None] if dst is None else told(dst):
+                if s != d:
+                    want.setdefault((op, s, kind, d), idx)
+    got = found.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(map(str, (tuple(r)[:5] for r in got))) == sorted(str((i, op, s, k, d)) for (op, s, k, d), i in want.items())
+    tasks = [r["task"] for r in got if r["idx"] == 1]
+    assert len({*tasks}) > 8 and max(tasks.count(t) for t in tasks) < 0.5 * len(tasks)
+
+
 def test_all_names_that_fit_nothing_are_told_at_once(spark, graph):
     text = 'add-member alise "Help Desk"\nadd-member bob "Help Desk"\nlocal-admin "@members(No Such)" web99\ngrant @dcs GenericAll S-1'
     change = spark.createDataFrame(whatif.parse_changes(text), whatif.CHANGES)

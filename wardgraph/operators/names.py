@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..storage import materialise
+from ..storage import materialise, shuffled
 from .derive import domain_controllers
 from .fixpoint import closure
 from .tiering import memberships
@@ -126,6 +126,10 @@ def _selected(refs: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[Data
     return found.distinct(), problems
 
 
+#: So many objects on either side of a change are paired at once; a task makes about so many pairs.
+_SOURCES, _TARGETS, _ROWS = 256, 4096, 1 << 21
+
+
 def expand_changes(changes: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``changes`` with names and selectors turned into ids, a row for each pair that they stand for: ``@members(G)`` direct members,
     ``@members*(G)`` all members that are no groups, ``@dcs`` domain controllers, ``<domain>`` the only domain. A pair of one object with itself is none, and of changes that
@@ -140,7 +144,23 @@ def expand_changes(changes: DataFrame, nodes: DataFrame, edges: DataFrame) -> Da
         for r in suggestions(unknown, nodes).orderBy("query", "place").collect():
             hints.setdefault(r["query"], []).append(r["suggestion"])
         raise ChangeError("\n".join(f"{r['query']}: {r['problem']}" + (f"; did you mean {', '.join(hints[r['query']])}?" if r["query"] in hints else "") for r in wrong))
-    one, two = found.select(F.col("query").alias("src"), F.col("id").alias("s")), found.select(F.col("query").alias("dst"), F.col("id").alias("d"))
-    rows = changes.join(one, "src").join(two, "dst", "left").where("dst is null or s <> d")
-    first = rows.groupBy("op", "s", "edge_type", "d").agg(F.min(F.struct("idx", "ttl_minutes")).alias("x"))
-    return first.select("x.idx", "op", F.col("s").alias("src"), "edge_type", F.col("d").alias("dst"), "x.ttl_minutes")
+    # objects that the same names stand for are alike in all changes, so which change of a pair is the first is settled for classes of them
+    sets = materialise(found.groupBy("id").agg(F.array_sort(F.collect_set("query")).alias("names")), "sets")
+    classes = materialise(sets.groupBy("names").agg(F.min("id").alias("class"), F.count("*").alias("n")), "classes")
+    named = classes.select("class", "n", F.explode("names").alias("query"))
+    one, two = named.toDF("a", "m", "src"), named.toDF("b", "n", "dst")
+    lines = changes.join(one, "src").join(two, "dst", "left").where("dst is null or b is not null")
+    lines = materialise(lines.groupBy("op", "edge_type", "a", "m", "b", "n").agg(F.min(F.struct("idx", "ttl_minutes")).alias("x")).select("x.*", "op", "edge_type", "a", "m", "b", "n"), "lines")
+    members = sets.join(classes, "names").select("class", "n", "id")
+
+    def packed(most: int, key: str, name: str) -> DataFrame:
+        """The members of classes in arrays of about ``most``."""
+        part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / most))
+        return members.groupBy(F.col("class").alias(key), part.alias(f"{key}_part")).agg(F.collect_list("id").alias(name))
+
+    # rows are made from these arrays in many tasks and never shuffled
+    total = lines.agg(F.sum(F.col("m") * F.coalesce("n", F.lit(1)))).first()[0] or 0
+    tasks = max(nodes.sparkSession.sparkContext.defaultParallelism, total // _ROWS)
+    blocks = lines.join(shuffled(packed(_SOURCES, "a", "sources")), "a").join(shuffled(packed(_TARGETS, "b", "targets")), "b", "left").repartition(tasks, "idx", "a", "a_part", "b", "b_part")
+    rows = blocks.select("idx", "op", F.explode("sources").alias("src"), "edge_type", "targets", "ttl_minutes")
+    return rows.select("idx", "op", "src", "edge_type", F.explode_outer("targets").alias("dst"), "ttl_minutes").where("dst is null or src <> dst")
