@@ -3,6 +3,7 @@
 import difflib
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +67,39 @@ def test_suggestions_are_those_of_a_plain_scan(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_few_of_many_like_names_are_matched(spark, monkeypatch, tmp_path):
+    """Names that differ in their digits alone: the exact ratio is taken of few pairs, and the suggestions are those of a plain scan, also of long names."""
+    ratio = difflib.SequenceMatcher.ratio
+
+    def told(self):
+        with open(tmp_path / "matched", "a") as f:
+            f.write("x")
+        return ratio(self)
+
+    nodes = [(f"S-{i}", f"Server#{i * 7:06d}", "Computer") for i in range(1000)] + [(f"L-{i}", f"{'x' * i}{'long name' * 8}{i}", "User") for i in range(9)]
+    asked = [f"Servr#{i * 7:06d}" for i in range(0, 1000, 25)] + ["long name" * 8]
+    nearest = names._nearest
+
+    def counted(most):
+        found = nearest(most)
+
+        def wrapped(a: pa.Array, b: pa.Array) -> pa.Array:
+            difflib.SequenceMatcher.ratio = told
+            try:
+                return found(a, b)
+            finally:
+                difflib.SequenceMatcher.ratio = ratio
+
+        return wrapped
+
+    monkeypatch.setattr(names, "_nearest", counted)
+    got = {}
+    for r in names.suggestions(spark.createDataFrame([(x,) for x in asked], "query string"), spark.createDataFrame(nodes, NODES)).orderBy("query", "place").collect():
+        got.setdefault(r["query"], []).append(r["suggestion"])
+    assert got == {x: plain_suggestions(x, nodes) for x in asked}
+    assert 100 < (tmp_path / "matched").stat().st_size < 0.1 * len(asked) * len(nodes)
+
+
 def test_registered_suggestions_are_plain(spark, sf):
     g = queries.Graph.of_folder(spark, sf)
     nodes = [(r["object_id"], r["name"], r["node_type"]) for r in g.nodes.collect()]

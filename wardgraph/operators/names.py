@@ -6,7 +6,9 @@ Everything is an equi-join on keys exploded from the names (ids, full and displa
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,43 +49,148 @@ def lookup(queries: DataFrame, nodes: DataFrame, types: list[str] | None = None)
     return fits.join(best, ["query", "stage"]).select("query", "object_id", "stage").distinct()
 
 
-def _letters(text: Column) -> Column:
-    """How often each character occurs."""
-    each = F.split(text, "")
-    return F.transform(F.array_distinct(each), lambda c: F.struct(c.alias("c"), F.size(F.filter(each, lambda x: x == c)).alias("n")))
+#: So many names with the same letters, texts with the same letters, and sets of letters of either are matched at once.
+_NAMES, _TEXTS, _SETS = 4096, 64, (1024, 256)
 
 
-def _ratio(a: pa.Array, b: pa.Array) -> pa.Array:
-    """The ratio of matching characters of names (a) to what was asked (b)."""
-    matcher, out = difflib.SequenceMatcher(), []
-    for name, asked in zip(a.to_pylist(), b.to_pylist(), strict=True):
-        if matcher.b != asked:
-            matcher.set_seq2(asked)
-        matcher.set_seq1(name)
-        out.append(matcher.ratio())
-    return pa.array(out, pa.float64())
+def _sorted(text: pa.Array) -> pa.Array:
+    """The letters of a text in order: equal for texts that have the same as often."""
+    return pa.array([None if x is None else "".join(sorted(x)) for x in text.to_pylist()], pa.string())
+
+
+def _counts(texts: list[str], places: dict[str, int]) -> np.ndarray:
+    out = np.zeros((len(texts), len(places)), np.int32)
+    for row, text in zip(out, texts, strict=True):
+        for c in text:
+            if (at := places.get(c)) is not None:
+                row[at] += 1
+    return out
+
+
+def _bounded(best: int | None) -> Callable[[pa.Array, pa.Array], pa.Array]:
+    """Of letters asked (letters, least) and letters of names: the pairs whose bound is at least ``least``, or only the ``best`` of each asked."""
+
+    def found(asked: pa.Array, known: pa.Array) -> pa.Array:
+        out = []
+        for asks, names in zip(asked.to_pylist(), known.to_pylist(), strict=True):
+            texts = [x["letters"] for x in asks]
+            places = {c: i for i, c in enumerate(sorted({*"".join(texts)}))}
+            left, right = _counts(texts, places), _counts(names, places)
+            common = sum(np.minimum(left[:, None, i], right[None, :, i]) for i in range(len(places)))
+            bound = 2.0 * common / (np.array([*map(len, texts)])[:, None] + np.array([*map(len, names)])[None, :])
+            rows = []
+            for ask, row in zip(asks, bound, strict=True):
+                at = np.flatnonzero(row >= ask["least"])
+                if best is not None:
+                    at = at[np.argsort(-row[at], kind="stable")][:best]
+                rows += [{"asked": ask["letters"], "letters": names[i], "bound": row[i]} for i in at]
+            out.append(rows)
+        return pa.array(out, pa.list_(pa.struct({"asked": pa.string(), "letters": pa.string(), "bound": pa.float64()})))
+
+    return found
+
+
+def _subsequences(texts: list[str], names: list[str]) -> np.ndarray:
+    """The length of the longest common subsequence of each text and each name, all of one length; for texts of over 64 characters what it is at most.
+    A number holds a row of the usual table as bits."""
+    m = len(names[0])
+    symbols, at = np.unique(np.array(names, f"U{m}").view(np.uint32).reshape(-1, m), return_inverse=True)
+    at, places = at.reshape(-1, m), {chr(c): i for i, c in enumerate(symbols)}
+    there = np.zeros((len(texts), len(symbols)), np.uint64)
+    for row, text in zip(there, texts, strict=True):
+        for i, c in enumerate(text[:64]):
+            if c in places:
+                row[places[c]] |= np.uint64(1 << i)
+    state = np.full((len(texts), len(names)), ~np.uint64(0))
+    for i in range(m):
+        both = state & there[:, at[:, i]]
+        state = (state + both) | (state - both)
+    own = np.array([(1 << min(len(x), 64)) - 1 for x in texts], np.uint64)
+    found = np.bitwise_count(~state & own[:, None]).astype(np.int64)
+    long = np.array([len(x) > 64 for x in texts])
+    found[long] = np.minimum([len(x) for x in texts], m)[long, None]
+    return found
+
+
+def _nearest(most: int) -> Callable[[pa.Array, pa.Array], pa.Array]:
+    """Of texts asked (r, least) and names with the same letters: the ``most`` names of each text with the highest ratios of matching characters, if these are at
+    least ``least``; ties: the last in the alphabet. Common subsequences bound the ratios, and the exact ones are taken from the highest bound down."""
+
+    def found(asked: pa.Array, known: pa.Array) -> pa.Array:
+        matcher, out = difflib.SequenceMatcher(), []
+        for asks, names in zip(asked.to_pylist(), known.to_pylist(), strict=True):
+            names, rows = sorted(names, reverse=True), []
+            texts = [x["r"] for x in asks]
+            bounds = 2.0 * _subsequences(texts, names) / (np.array([*map(len, texts)])[:, None] + len(names[0]))
+            for ask, bound in zip(asks, bounds, strict=True):
+                at, top = np.flatnonzero(bound >= ask["least"]), []
+                if at.size:
+                    matcher.set_seq2(ask["r"])
+                for i in at[np.argsort(-bound[at], kind="stable")]:
+                    if len(top) == most and (bound[i], names[i]) <= top[-1]:
+                        break
+                    matcher.set_seq1(names[i])
+                    if (ratio := matcher.ratio()) >= ask["least"]:
+                        top = sorted([*top, (ratio, names[i])], reverse=True)[:most]
+                rows += [{"r": ask["r"], "key": key, "ratio": ratio} for ratio, key in top]
+            out.append(rows)
+        return pa.array(out, pa.list_(pa.struct({"r": pa.string(), "key": pa.string(), "ratio": pa.float64()})))
+
+    return found
+
+
+def _packed(rows: DataFrame, by: str, value: str, most: int, name: str) -> DataFrame:
+    """(by, part, ``name``): the values of each key in arrays of about ``most``."""
+    counted = rows.groupBy(by).agg(F.count("*").alias("n"))
+    part = F.pmod(F.xxhash64(value), F.ceil(F.col("n") / most))
+    return rows.join(shuffled(counted), by).groupBy(by, part.alias(f"{name}_part")).agg(F.collect_list(value).alias(name))
 
 
 def suggestions(queries: DataFrame, nodes: DataFrame, most: int = 3, cutoff: float = 0.6) -> DataFrame:
     """(query, place, suggestion): the ``most`` names most like a query, of a ratio of ``cutoff`` or more (ties: the last in the alphabet first). Names are
     display names, and hosts' names without their domain.
 
-    Characters that two names share, counted as often as both have them, bound the ratio from above. So an index of characters with a count filter gives
-    all candidates, and only those are matched exactly.
+    Characters that two names share, counted as often as both have them, bound the ratio from above. Far fewer sets of letters than names exist, so the
+    bound is taken of these, in blocks. Names of the likeliest sets give each query ``most`` ratios; then only names whose bounds reach the least of these are
+    matched, so that none which could take its place is left out.
     """
+    spark = nodes.sparkSession
     shown = scalars.display_name(F.col("name"))
+    letters = F.arrow_udf(_sorted, "string")
     full = nodes.groupBy(F.lower(shown).alias("key")).agg(F.min(shown).alias("suggestion"))
     hosts = nodes.where("node_type = 'Computer'").groupBy(_host(F.lower(shown)).alias("key")).agg(F.min(shown).alias("suggestion"))
     pool = full.union(hosts.join(full.select("key"), "key", "left_anti")).where("key <> ''")
-    pool = materialise(pool.withColumn("m", F.length("key")), "pool")
-    asked = queries.where("query is not null").select("query").distinct().withColumn("r", F.rtrim(normalised(F.col("query")), F.lit("$"))).where("r <> ''").withColumn("k", F.length("r"))
-    left = asked.select("query", "k", F.explode(_letters(F.col("r"))).alias("x")).select("query", "k", "x.c", F.col("x.n").alias("own"))
-    right = pool.select("key", "m", F.explode(_letters(F.col("key"))).alias("x")).select("key", "m", "x.c", "x.n")
-    common = left.join(right, "c").groupBy("query", "key", "k", "m").agg(F.sum(F.least("own", "n")).alias("common"))
-    near = common.where(2.0 * F.col("common") / (F.col("k") + F.col("m")) >= cutoff).select("query", "key").join(asked.select("query", "r"), "query")
-    rated = near.sortWithinPartitions("query").withColumn("ratio", F.arrow_udf(_ratio, "double")(F.col("key"), F.col("r"))).where(F.col("ratio") >= cutoff)
+    pool = materialise(pool.withColumn("letters", letters("key")), "pool")
+    asked = queries.where("query is not null").select("query").distinct().withColumn("r", F.rtrim(normalised(F.col("query")), F.lit("$"))).where("r <> ''")
+    asked = materialise(asked, "asked")
+    texts = materialise(asked.select("r").distinct().select("r", letters("r").alias("letters")), "texts")
+    known = materialise(pool.select("letters").distinct(), "known")
+    names = materialise(_packed(pool.select("letters", "key"), "letters", "key", _NAMES, "names"), "names")
+    blocks = -(-known.count() // _SETS[0]) or 1
+    parts = -(-texts.select("letters").distinct().count() // _SETS[1]) or 1
+    tasks = spark.sparkContext.defaultParallelism * 4
+    sets = known.groupBy(F.pmod(F.xxhash64("letters"), F.lit(blocks)).alias("block")).agg(F.collect_list("letters").alias("known"))
+    sets = materialise(sets, "sets")
+
+    def matched(wanted: DataFrame, best: int | None) -> DataFrame:
+        """(r, key, ratio) of the highest ratios of texts (r, letters, least), ``most`` at least of each, from names of all letters that reach ``least`` or of the ``best``."""
+        lowest = wanted.groupBy("letters").agg(F.min("least").alias("least")).withColumn("x", F.struct("letters", "least"))
+        lists = lowest.groupBy(F.pmod(F.xxhash64("letters"), F.lit(parts)).alias("part")).agg(F.collect_list("x").alias("asked"))
+        both = lists.select("part", "asked", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")).join(shuffled(sets), "block")
+        both = both.repartition(min(tasks, parts * blocks), "part", "block").select(F.explode(F.arrow_udf(_bounded(best), "array<struct<asked: string, letters: string, bound: double>>")("asked", "known")).alias("x")).select("x.*")
+        if best is not None:
+            both = both.withColumn("k", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("bound"), "letters"))).where(F.col("k") <= best)
+        asks = _packed(wanted.select("letters", F.struct("r", "least").alias("x")), "letters", "x", _TEXTS, "asks").withColumnRenamed("letters", "asked")
+        rows = materialise(both.select("asked", "letters"), "pairs").join(shuffled(asks), "asked").join(shuffled(names), "letters").repartition(tasks, "asked", "asks_part", "letters", "names_part")
+        found = rows.select(F.explode(F.arrow_udf(_nearest(most), "array<struct<r: string, key: string, ratio: double>>")("asks", "names")).alias("x"))
+        return found.select("x.*")
+
+    first = matched(texts.withColumn("least", F.lit(cutoff)), most).groupBy("r").agg(F.sort_array(F.collect_list("ratio"), False).alias("ratios"))
+    least = F.coalesce(F.get("ratios", most - 1), F.lit(cutoff)).alias("least")
+    wanted = materialise(texts.join(shuffled(first), "r", "left").select("r", "letters", least), "wanted")
+    rated = matched(wanted, None).join(shuffled(asked), "r")
     order = Window.partitionBy("query").orderBy(F.desc("ratio"), F.desc("key"))
-    best = rated.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).join(pool.select("key", "suggestion"), "key")
+    best = rated.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).join(shuffled(pool.select("key", "suggestion")), "key")
     once = best.groupBy("query", "suggestion").agg(F.min("place").alias("place"))
     return once.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("place"))).select("query", "place", "suggestion")
 
