@@ -23,9 +23,10 @@ MANAGE = ["ManageCA", "ManageCertificates"]
 AGENT_USE, ANY_USE = "1.3.6.1.4.1.311.20.2.1", "2.5.29.37.0"
 
 
-def _alike(members: DataFrame, rights: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(``members`` (src, up) with one of all leaves alike, (leaf, id) for the others: whom each is alike). Leaves are members without members and
+def _alike(edges: DataFrame, rights: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(memberships (src, up) with one of all leaves alike, (leaf, id) for the others: whom each is alike). Leaves are members without members and
     without rights (id) of their own; those in the same groups hold the same."""
+    members = edges.where("edge_type = 'MemberOf'").select("src", F.col("dst").alias("up")).distinct()
     inner = members.select(F.col("up").alias("src")).union(rights.select(F.col("id").alias("src"))).distinct()
     leaves = members.join(shuffled(inner), "src", "left_anti").groupBy("src").agg(F.array_sort(F.collect_set("up")).alias("groups"))
     leaves = materialise(leaves, "leaves")
@@ -34,15 +35,14 @@ def _alike(members: DataFrame, rights: DataFrame) -> tuple[DataFrame, DataFrame]
     return materialise(members.join(shuffled(others.select(F.col("leaf").alias("src"))), "src", "left_anti"), "members"), others
 
 
-def highest_holders(rights: DataFrame, edges: DataFrame, keys: list[str], needs: int = 2) -> DataFrame:
+def highest_holders(rights: DataFrame, edges: DataFrame, keys: list[str], needs: int = 2, alike: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(keys, id): for each key the highest principals that hold all ``needs`` rights (rights: keys, need, id), themselves or through groups above them.
 
     ``need`` numbers the rights, from 1; a principal below one that is found is left out. Groups that are members of each other, with no holder
-    above, are all kept.
+    above, are all kept. ``alike``: of ``_alike`` for these rights and any others.
     """
-    members = edges.where("edge_type = 'MemberOf'").select("src", F.col("dst").alias("up")).distinct()
     rights = materialise(rights.select(*keys, "need", "id").distinct(), "rights")
-    members, others = _alike(members, rights)
+    members, others = alike or _alike(edges, rights)
     held = semi_naive(rights, lambda new: new.join(members, new["id"] == members["up"]).select(*keys, "need", F.col("src").alias("id")), [*keys, "need", "id"])
     full = materialise(held.groupBy(*keys, "id").agg(F.count_distinct("need").alias("n")).where(F.col("n") == needs).select(*keys, "id"), "holders")
     under = full.join(members, full["id"] == members["up"]).select(*keys, F.col("src").alias("id"))
@@ -93,17 +93,18 @@ def derive(nodes: DataFrame, edges: DataFrame, top: DataFrame, templates: DataFr
     }
     flags = [F.coalesce(c, F.lit(False)).alias(name) for name, c in flags.items()]
     pairs = ca.drop("names").join(published, "ca").join(templates, "template").select("ca", "domain", "ce", "te", "tc", "template", F.when(logon, F.col("issuance")).alias("issuance"), *flags)
-    alike = [c for c in pairs.columns if c != "template"]
-    pairs = materialise(pairs.groupBy(*alike).agg(F.min("template").alias("least"), F.max("template").alias("most")), "pairs")
+    shared = [c for c in pairs.columns if c != "template"]
+    pairs = materialise(pairs.groupBy(*shared).agg(F.min("template").alias("least"), F.max("template").alias("most")), "pairs")
 
     def holders(by: DataFrame, classes: DataFrame, of: str, need: int, keys: list[str]) -> DataFrame:
         """Rights (keys, need, id) of the class ``of`` of ``by``."""
         return by.join(classes.withColumnRenamed(classes.columns[0], of), of).select(*keys, F.lit(need).alias("need"), "id")
 
+    alike = _alike(edges, enrol_template.select("id").union(control_template.select("id")).union(enrol_ca.select("id")))
     key, ruled = ["ce", "te"], ["ce", "tc"]
     both, control = pairs.select(*key).distinct(), pairs.select(*ruled).distinct()
-    enrols = materialise(highest_holders(holders(both, enrol_template, "te", 1, key).union(holders(both, enrol_ca, "ce", 2, key)), edges, key), "enrols")
-    controls = highest_holders(holders(control, control_template, "tc", 1, ruled).union(holders(control, enrol_ca, "ce", 2, ruled)), edges, ruled)
+    enrols = materialise(highest_holders(holders(both, enrol_template, "te", 1, key).union(holders(both, enrol_ca, "ce", 2, key)), edges, key, alike=alike), "enrols")
+    controls = highest_holders(holders(control, control_template, "tc", 1, ruled).union(holders(control, enrol_ca, "ce", 2, ruled)), edges, ruled, alike=alike)
 
     def from_pairs(condition: str, kind: str, who: DataFrame = enrols, by: list[str] = key) -> DataFrame:
         return pairs.where(condition).select(*by, "domain").distinct().join(who, by).select(F.col("id").alias("src"), F.col("domain").alias("dst"), F.lit(kind).alias("edge_type"))
@@ -122,7 +123,7 @@ def derive(nodes: DataFrame, edges: DataFrame, top: DataFrame, templates: DataFr
     three = ["ce", "agent", "target"]
     asked = chains.select(*three).distinct()
     rights = holders(asked, enrol_template, "agent", 1, three).union(holders(asked, enrol_template, "target", 2, three)).union(holders(asked, enrol_ca, "ce", 3, three))
-    found.append(chains.join(highest_holders(rights, edges, three, 3), three).select(F.col("id").alias("src"), F.col("domain").alias("dst"), F.lit("ADCSESC3").alias("edge_type")))
+    found.append(chains.join(highest_holders(rights, edges, three, 3, alike), three).select(F.col("id").alias("src"), F.col("domain").alias("dst"), F.lit("ADCSESC3").alias("edge_type")))
     # managers of an authority that publishes anything
     managed = edges.where(F.col("edge_type").isin(MANAGE)).select("src", F.col("dst").alias("ca"))
     found.append(pairs.select("ca", "domain").distinct().join(managed, "ca").select("src", F.col("domain").alias("dst"), F.lit("ADCSESC7").alias("edge_type")))
