@@ -233,8 +233,8 @@ def _selected(refs: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[Data
     return found.distinct(), problems
 
 
-#: So many objects on either side of a change are paired at once; a task makes about so many pairs.
-_SOURCES, _TARGETS, _ROWS = 256, 4096, 1 << 21
+#: So many objects on either side of a change are paired at once, which Spark holds as rows until they are read; a task makes about so many pairs.
+_SOURCES, _TARGETS, _ROWS = 32, 1024, 1 << 21
 
 
 def expand_changes(changes: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
